@@ -5,22 +5,42 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from voxstrata.llm import byte_bpe, token_counts, toxicity, url_filter, warc
+from voxstrata.llm import byte_bpe, cover_tree, decontaminate, line_dedup, lm_trie, ngram_join, token_counts, toxicity, url_filter, warc
 from voxstrata.llm.common import table
 
 
+def op1_ngram_join(spark, sf_dir) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"), size=3, per_cent=90).drop("n_links")
+
+
 def op2_url_filter(spark, sf_dir) -> DataFrame:
     return url_filter.query(spark, sf_dir)
 
 
+def op3_cover_tree(spark, sf_dir) -> DataFrame:
+    return cover_tree.query(spark, sf_dir)
+
+
 def op4_toxicity_crf(spark, sf_dir) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_trie(spark, sf_dir) -> DataFrame:
+    return lm_trie.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages")).drop("valid")
 
 
+def op7_line_dedup(spark, sf_dir) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark, sf_dir) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark, sf_dir) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True)
 
@@ -30,8 +50,8 @@ def op10_token_counts(spark, sf_dir) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_url_filter, op4_toxicity_crf, op6_warc, op9_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_cover_tree, op4_toxicity_crf, op5_lm_trie, op6_warc, op7_line_dedup, op8_decontaminate, op9_byte_bpe, op10_token_counts)}
 
 
 def oracle_sql():
-    return {"op2_url_filter": url_filter.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op3_cover_tree": cover_tree.ORACLE}
