@@ -1,0 +1 @@
+"""Readers: derived spatial tables, block arrays, SWC, tar, CSV points, JSON specs."""
