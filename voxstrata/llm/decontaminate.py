@@ -57,14 +57,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     n = items.count()
     sizes = items.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    spread = of(source).select("doc_id", _windows(F.col("words"), window).alias("hashes")).select("doc_id", F.posexplode("hashes").alias("doc_at", "hash"))
+    # the outer form keeps Spark from testing, thus making, the windows a second time below the explosion
+    spread = of(source).select("doc_id", _windows(F.col("words"), window).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("doc_at", "hash"))
     hits = written(spread.join(sized(items, n), "hash").select("doc_id", "item_id", "hash", "doc_at", "item_at"), "hits")
     likely = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sized(sizes, n), "item_id").where(F.col("n") >= similarity * F.col("item_windows")).select("doc_id", "item_id", "item_windows")
     likely = written(likely, "likely")
     m = likely.count()
     near = hits.join(sized(likely, m), ["doc_id", "item_id"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     # the words of the documents and items in play, by place
-    pick = lambda df, key: df.join(sized(likely.select(key).distinct(), m), key, "left_semi")
+    # written, so that templates are made of these texts alone
+    pick = lambda df, key: written(df.join(sized(likely.select(key).distinct(), m), key, "left_semi"), "texts")
     plain = lambda df, key: pick(df, key).select(key, F.arrays_zip(word_list(F.col("text")).alias("word"), word_list(template(F.col("text"))).alias("slot")).alias("w"))
     raw_items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
     bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
