@@ -64,22 +64,24 @@ def distance_pairs(points: DataFrame, radius: int, group: str | None = None) ->
 def knn(queries: DataFrame, points: DataFrame, k: int, size: int, same: bool = False) -> DataFrame:
     """id, nn, rank, d2: each query's k nearest points, ties to the smaller id; same leaves a point of the query's own id out.
 
-    Rings of cells grow until the kth distance is no more than what the searched cube surely holds."""
-    p = points.select(F.col("id").alias("nn"), *[F.col(a).alias(f"p_{a}") for a in AXES], *[cell(a, size).alias(f"c{a}") for a in AXES])
-    bounds = points.agg(*[f(cell(a, size)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    span = 1 + max((bounds[f"hi{a}"] or 0) - (bounds[f"lo{a}"] or 0) for a in AXES)
-    left, done, reach = queries.select("id", *[F.col(a).alias(f"q_{a}") for a in AXES]), None, 1
+    Queries look into the 27 cells around them, which surely hold all points within a cell's size; those whose kth point is
+    farther go on with cells twice as large, until one cell spans all points."""
+    bounds = points.agg(*[f(F.col(a)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    both = queries.agg(*[f(F.col(a)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = [[r[n + a] for r in (bounds, both) for n in ("lo", "hi") if r[n + a] is not None] for a in AXES]
+    span = 1 + max((max(e) - min(e) for e in ends if e), default=0)
+    left, done = queries.select("id", *[F.col(a).alias(f"q_{a}") for a in AXES]), None
     best = Window.partitionBy("id").orderBy("d2", "nn")
     while True:
-        around = left.withColumn("o", F.explode(offset_array([(0, 0, 0), *offsets(reach)]))).withColumns({f"c{a}": cell(f"q_{a}", size) + F.col(f"o.d{a}") for a in AXES})
+        p = points.select(F.col("id").alias("nn"), *[F.col(a).alias(f"p_{a}") for a in AXES], *[cell(a, size).alias(f"c{a}") for a in AXES])
+        around = left.withColumn("o", F.explode(offset_array([(0, 0, 0), *offsets(1)]))).withColumns({f"c{a}": cell(f"q_{a}", size) + F.col(f"o.d{a}") for a in AXES})
         found = around.join(p, ["cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
         if same:
             found = found.where("id <> nn")
         top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "nn", "rank", "d2")
         top = materialised(top, "knn")
-        # all points within reach * size of the query lie in the searched cells
-        sure = top.where((F.col("rank") == k) & (F.col("d2") <= (reach * size) ** 2)).select("id")
-        last = reach > span
+        last = size >= span
+        sure = top.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("id")
         got = top if last else top.join(sure, "id", "left_semi")
         done = got if done is None else done.unionByName(got)
         if last:
@@ -87,7 +89,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, size: int, same: bool = F
         left = materialised(left.join(sure, "id", "left_anti"), "unfinished")
         if left.isEmpty():
             return done
-        reach = min(2 * reach, span + 1) if reach < 8 else span + 1
+        size *= 2
 
 
 def relabel_nearest(labelled: DataFrame, points: DataFrame, size: int) -> DataFrame:
