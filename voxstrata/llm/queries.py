@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op3_cover_tree": cover_tree.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op3_cover_tree": cover_tree.ORACLE, "op6_warc": warc.ORACLE}

@@ -235,3 +235,12 @@ def roundtrip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     marked = base.join(roles(base, least_bytes).distinct(), "row").dropDuplicates(["row"])
     manifest = write_archives(marked.select("page", "row", "url", "payload", "refers_to"), new_path(spark, "warc"), segment_bytes, archive_bytes)
     return read_archives(manifest).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "valid")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), (5 * i) // 4 + 1, 2))::INTEGER >> (3 - (5 * i) % 4)::INTEGER) & 31)), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (h)
+"""
