@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from voxstrata.llm.common import written
 
-#: A side of at most so many rows of a few numbers is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 300_000
+#: A side of at most so many rows of a few numbers (some tens of MB) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -54,31 +54,44 @@ def components(links: DataFrame) -> DataFrame:
     return written(at.join(least, "to").select("node", "component"), "components")
 
 
-def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], prepare: Callable[[DataFrame], None] = lambda nodes: None) -> DataFrame:
+def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) that connect whatever verified pairs within blocks connect.
 
     blocks: key, node, rank (the leader has the smallest) and more columns; fits(x, y) is a cheap condition on a pair's
-    rows, given the prefixes of their columns; verify(pairs (a, b)) keeps the links; prepare gets the nodes in play first.
+    rows, given the prefixes of their columns; verify(pairs (a, b)), called at most twice, keeps the links.
+    With most, blocks of more members are only tried against their leader; their nodes that aren't connected with it come
+    back as a second result, for the caller to deal with by a finer key.
     """
     rest = [c for c in blocks.columns if c != "key"]
-    leaders = blocks.groupBy("key").agg(F.min(F.struct("rank", "node", *[c for c in rest if c not in ("rank", "node")])).alias("l"), F.count("*").alias("size")).where("size > 1")
     side = lambda p: [F.col(c).alias(p + c) for c in rest]
-    held = blocks.select("key", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key")
-    held = written(held, "blocks")
-    prepare(held.select(F.col("x_node").alias("node")).distinct())
+    # most keys have one row: they are told by a narrow count before any row is moved
+    keys = written(blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    shared = written(blocks.join(sized(keys, keys.count()), "key"), "shared")
+    leaders = shared.groupBy("key").agg(F.min(F.struct("rank", "node", *[c for c in rest if c not in ("rank", "node")])).alias("l"))
+    held = written(shared.select("key", "size", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key"), "blocks")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = held.where((F.col("x_node") != F.col("l_node")) & fits("x_", "l_")).select(*pair("x_node", "l_node")).distinct()
-    links = written(verify(first), "links")
+    links = written(verify(written(first, "pairs")), "links")
     found = components(links)
     n = found.count()
     of = lambda name: sized(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c")), n)
     placed = held.join(of("x_node"), "x_node", "left").join(of("l_node"), "l_node", "left")
     placed = placed.withColumns({f"{p}_node_c": F.coalesce(f"{p}_node_c", f"{p}_node") for p in ("x", "l")})
-    apart = written(placed.where("x_node_c <> l_node_c").select("key", *[f"x_{c}" for c in rest], "x_node_c"), "apart")
+    apart = written(placed.where("x_node_c <> l_node_c").select("key", "size", *[f"x_{c}" for c in rest], "x_node_c"), "apart")
     if apart.isEmpty():
-        return links
+        return links, None
+    over = None
+    if most:
+        over = apart.where(F.col("size") > most).select(F.col("x_node").alias("node")).distinct()
+        apart = apart.where(F.col("size") <= most)
     open_keys = apart.groupBy("key").agg(F.count("*").alias("open"))
     other = placed.join(open_keys, "key").where("x_node <> l_node").select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in rest], F.col("x_node_c").alias("y_node_c"), (F.col("x_node_c") == F.col("l_node_c")).alias("y_led"))
-    second = apart.join(other, "key").where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | (F.col("x_node") < F.col("y_node"))) & fits("x_", "y_"))
-    more = verify(second.select(*pair("x_node", "y_node")).distinct())
-    return written(links.unionByName(more), "links")
+    second = apart.drop("size").join(other, "key").where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | (F.col("x_node") < F.col("y_node"))) & fits("x_", "y_"))
+    more = verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs"))
+    return written(links.unionByName(more), "links"), over
+
+
+def nodes_of(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct nodes of pairs (a, b), and their number."""
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    return nodes, nodes.count()

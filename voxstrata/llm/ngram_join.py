@@ -3,8 +3,10 @@
 Texts with the same set of shingles are one class, found by a 128-bit digest of
 the set.  For the others, a document's tokens are its shingles, and a global
 order makes its prefix: any two sets that link share a token of both prefixes.
-Three orders are used: rarer tokens first, by a count sketch over all documents,
-with ever coarser counts and each with its own hash among equals.  Prefix tokens
+Three orders are used, each a function of a shingle alone.  All put shingles last
+that a count sketch over all documents shows to be common; among the others the
+first goes by the rarity of all its words, the second by that in coarse steps,
+the third by its rarest word, and each has its own hash among equals.  Prefix tokens
 under the first order are joined; a position bound drops pairs; the candidates
 that are left must share a prefix token under each of the other orders too; only
 then the whole sets are intersected.  Pairs within a block are dealt with by
@@ -25,32 +27,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxstrata.llm.common import written
-from voxstrata.llm.components import block_links, components, sized
-from voxstrata.llm.words import WordHashes, mix, shingles, words
+from voxstrata.llm.common import small_batches, written
+from voxstrata.llm.components import block_links, components, nodes_of, sized
+from voxstrata.llm.words import WordHashes, mix, shingles_at, words
 
-#: The count sketch has 2 ** BITS counters, sent in CHUNKS pieces: 2 MB in the driver, whatever the input.
+#: The count sketch has twice 2 ** BITS counters, sent in CHUNKS pieces: 4 MB in the driver, whatever the input.
 BITS, CHUNKS = 18, 16
 _SEEDS = tuple(np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D))
 
 
-def _sets(column, size: int, hashes: WordHashes):
-    for t in column.to_pylist():
-        yield shingles(np.array([hashes[w] for w in words(t)], dtype=np.uint64), size)
+class Tokens:
+    """A text's shingles: sorted distinct hashes, and the rarity of each (of all words, of the rarest), in eighths of a power of two."""
+
+    def __init__(self, size: int, rarity: np.ndarray | None = None):
+        self.size, self.rarity, self.hashes = size, rarity, WordHashes()
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = np.array([self.hashes[w] for w in words(text)], dtype=np.uint64)
+        s = shingles_at(h, self.size)
+        if self.rarity is None or not len(s):
+            return np.unique(s), h, h
+        s, first = np.unique(s, return_index=True)
+        r = self.rarity[_buckets(h)]
+        runs = np.lib.stride_tricks.sliding_window_view(r, min(self.size, len(r)))[first]
+        return s, runs.sum(1), runs.min(1)
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def shingle_counts(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
-    """Number of documents' shingles in each of the sketch's counters."""
+class Sketch:
+    """Counts of all documents' words and shingles by bucket of their hash, and what the orders make of them."""
+
+    def __init__(self, counts: np.ndarray):
+        of_words, of_shingles = counts
+        self.rarity = np.round(8 * np.log2(np.maximum(of_words, 1))).astype(np.int64)
+        mean = of_shingles.mean()
+        # a bucket this far over the mean holds a shingle that is common itself
+        common = of_shingles > mean + 6 * np.sqrt(mean) + 2
+        self.common = np.where(common, np.round(8 * np.log2(np.maximum(of_shingles, 1))), 0).astype(np.int64)
+
+
+def sketch(docs: DataFrame, size: int, text: str = "text") -> Sketch:
+    """One pass over all documents; 2 ** BITS counters for words and as many for shingles, summed in CHUNKS pieces."""
 
     def count(batches):
-        total, hashes = np.zeros(1 << BITS, np.int64), WordHashes()
+        total, tokens = np.zeros((2, 1 << BITS), np.int64), Tokens(size)
         for b in batches:
-            for s in _sets(b.column(0), size, hashes):
-                np.add.at(total, _buckets(s), 1)
+            for t in b.column(0).to_pylist():
+                s, h, _ = tokens.of(t)
+                np.add.at(total[0], _buckets(h), 1)
+                np.add.at(total[1], _buckets(s), 1)
         parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(CHUNKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
@@ -63,12 +91,11 @@ def shingle_counts(docs: DataFrame, size: int, text: str = "text") -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in held.values()], pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    parts = docs.select(text).mapInArrow(count, schema)
-    summed = parts.repartition(CHUNKS, "chunk").mapInArrow(add, schema)
-    out = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.int64)
+    summed = docs.select(text).mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema)
+    out = np.zeros((CHUNKS, (2 << BITS) // CHUNKS), np.int64)
     for r in summed.collect():
         out[r.chunk] += np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return out.ravel()
+    return Sketch(out.reshape(2, -1))
 
 
 def prefix_length(n: int, per_cent: int) -> int:
@@ -76,21 +103,18 @@ def prefix_length(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1 if n else 0
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, order: int, per_cent: int) -> np.ndarray:
-    """The set's first tokens under one of the orders: 0 takes exact counters, 1 and 2 their logarithms to base 2 and 4."""
-    c = counts[_buckets(s)]
-    if order:
-        c = np.log2(np.maximum(c, 1)).astype(np.int64) // order
-    return s[np.lexsort((mix(s ^ _SEEDS[order]), c))][: prefix_length(len(s), per_cent)]
+def prefix(tokens: tuple[np.ndarray, np.ndarray, np.ndarray], counts: Sketch, order: int, per_cent: int) -> np.ndarray:
+    """The set's first tokens under one of the orders."""
+    s, all_words, rarest = tokens
+    by = (all_words, all_words // 32, rarest)[order]
+    return s[np.lexsort((mix(s ^ _SEEDS[order]), by, counts.common[_buckets(s)]))][: prefix_length(len(s), per_cent)]
 
 
-def _signed(s: np.ndarray) -> np.ndarray:
-    return s.view(np.int64)
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
+    """Lists of the hashes as signed numbers; as 32-bit ones their low halves, enough for a filter."""
     ends = np.cumsum([0] + [len(a) for a in arrays])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(arrays)) if arrays else [], pa.int64()))
+    flat = np.concatenate(arrays).astype(kind) if arrays else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.dtype(f"i{flat.itemsize}"))))
 
 
 def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,19 +122,21 @@ def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc
 
     Two documents link when 100 * intersection >= per_cent * union of their sets of word shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
+    counts = spark.sparkContext.broadcast(sketch(docs, size))
 
     def signatures(batches):
-        hashes = WordHashes()
+        tokens = Tokens(size, counts.value.rarity)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                sets = list(_sets(part.column(1), size, hashes))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                found = [tokens.of(t) for t in part.column(1).to_pylist()]
+                sets = [f[0] for f in found]
                 with np.errstate(over="ignore"):
                     d = [(int(mix(s).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[2])).view(np.int64))) if len(s) else (0, 0) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), _lists([prefix(s, counts.value, 0, per_cent) for s in sets])],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), _lists([prefix(f, counts.value, 0, per_cent) for f in found])],
                     ["doc_id", "n", "d1", "d2", "p"],
                 )
 
@@ -118,20 +144,14 @@ def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc
     named = signed.where("n > 0 and doc_id is not null")
     classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     blocks = named.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.posexplode("p").alias("rank", "key"))
-    prepared: list[DataFrame] = []
 
     def whole_sets(batches):
-        hashes = WordHashes()
+        tokens = Tokens(size, counts.value.rarity)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                sets = list(_sets(part.column(1), size, hashes))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[_lists([prefix(s, counts.value, k, per_cent) for s in sets]) for k in (1, 2)], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "p1", "p2", "tokens"])
-
-    def prepare(nodes: DataFrame) -> None:
-        nodes = written(nodes, "nodes")
-        some = docs.join(sized(nodes, nodes.count()).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        prepared.append(written(some.mapInArrow(whole_sets, "node long, p1 array<long>, p2 array<long>, tokens binary"), "sets"))
+                found = [tokens.of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[_lists([prefix(f, counts.value, k, per_cent) for f in found], np.uint32) for k in (1, 2)], pa.array([f[0].tobytes() for f in found], pa.binary())], ["node", "p1", "p2", "tokens"])
 
     def check(batches):
         for b in batches:
@@ -144,9 +164,13 @@ def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = prepared[0]
-        of = lambda c: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("p1", "p2", "tokens")])
-        both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2"))
+        nodes, n = nodes_of(pairs)
+        some = docs.join(sized(nodes.withColumnRenamed("node", "doc_id"), n), "doc_id", "left_semi")
+        sets = written(some.mapInArrow(whole_sets, "node long, p1 array<int>, p2 array<int>, tokens binary"), "sets")
+        of = lambda c, *cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
+        # only what passes the other orders' filters is given its whole sets
+        passed = pairs.join(of("a", "p1", "p2"), "a").join(of("b", "p1", "p2"), "b").where(F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2"))
+        both = written(passed.select("a", "b").distinct(), "passed").join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
         return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long").distinct()
 
     def fits(x: str, y: str) -> Column:
@@ -154,7 +178,7 @@ def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc
         room = F.least(F.col(f"{x}n") - F.col(f"{x}rank"), F.col(f"{y}n") - F.col(f"{y}rank"))  # ranks count from 0: this token and those after it
         return (100 + per_cent) * room >= per_cent * n
 
-    links = block_links(blocks, verify, fits, prepare)
+    links, _ = block_links(blocks, verify, fits)
     found = components(links)
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     placed = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").join(degrees, "class_id", "left")

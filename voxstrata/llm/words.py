@@ -17,7 +17,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, kept for the words seen lately."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -34,8 +34,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `size` words; with fewer words the whole run is one; without words none."""
+def shingles_at(hashes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the runs of `size` words, by place; with fewer words the whole run is one; without words none."""
     n = len(hashes)
     if not n:
         return hashes
@@ -43,4 +43,4 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     h = np.full(n - size + 1, np.uint64(size), dtype=np.uint64)
     for k in range(size):
         h = mix(h * _M3 + hashes[k : n - size + 1 + k])
-    return np.unique(h)
+    return h
