@@ -83,5 +83,5 @@ class SkeletonStore:
         return self.read().join(ids.select("segid").distinct(), "segid", "left_semi")
 
     def manifest(self) -> DataFrame:
-        """seq, file, box, n of the live rows."""
-        return self.read().withColumn("file", F.input_file_name()).groupBy("seq").agg(*[F.min(f"min_{a}").alias(f"min_{a}") for a in AXES], *[F.max(f"max_{a}").alias(f"max_{a}") for a in AXES], F.count("*").alias("n"))
+        """seq, box, n of the live rows of each write."""
+        return self.read().groupBy("seq").agg(*[F.min(f"min_{a}").alias(f"min_{a}") for a in AXES], *[F.max(f"max_{a}").alias(f"max_{a}") for a in AXES], F.count("*").alias("n"))
