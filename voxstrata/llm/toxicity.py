@@ -122,12 +122,15 @@ def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share:
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return Model({}, 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0), False)
-    lines, owner = chains(texts)
-    lengths = np.array([len(x) for x in lines], dtype=np.int64)
-    words = [token(w) for x in lines for w in x]
-    docs = np.repeat(owner, lengths)
     ids: dict[bytes, int] = {}
-    col = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
+    cols, owners, sizes = [], [], []
+    for k, t in enumerate(texts):  # one text's words at a time: only numbers are kept
+        lines, _ = chains([t])
+        sizes += [len(x) for x in lines]
+        owners += [k] * len(lines)
+        cols.append(np.array([ids.setdefault(token(w), len(ids)) for x in lines for w in x], dtype=np.int64))
+    col, owner, lengths = np.concatenate(cols), np.array(owners, np.int64), np.array(sizes, np.int64)
+    docs = np.repeat(owner, lengths)
     pair = np.unique(docs * len(ids) + col)
     d, c = pair // len(ids), pair % len(ids)
     bad, good = np.bincount(c, y[d], len(ids)), np.bincount(c, 1 - y[d], len(ids))
@@ -144,7 +147,7 @@ def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share:
     x[-4] = -3.0
     m1, m2 = np.zeros_like(x), np.zeros_like(x)
     ends = np.cumsum(lengths)
-    inner = np.ones(len(words), bool)
+    inner = np.ones(len(col), bool)
     inner[ends - 1] = False
     here = np.nonzero(inner)[0]
     for k in range(1, rounds + 1):
@@ -170,7 +173,7 @@ def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share:
     return Model({back[i]: float(x[slot[i]]) for i in rank.tolist()}, float(x[-4]), steps, tuple(map(float, w)))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = 4000, **options) -> Model:
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = 2000, **options) -> Model:
     """Fits on at most sample_docs labelled rows, up to half of them toxic, chosen by hash of the id."""
     one = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__y"))
     pick = lambda y, n: one.where(F.col("__y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
