@@ -54,19 +54,21 @@ def components(links: DataFrame) -> DataFrame:
     return written(at.join(least, "to").select("node", "component"), "components")
 
 
-def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) that connect whatever verified pairs within blocks connect.
 
     blocks: key, node, rank (the leader has the smallest) and more columns; fits(x, y) is a cheap condition on a pair's
     rows, given the prefixes of their columns; verify(pairs (a, b)), called at most twice, keeps the links.
     With most, blocks of more members are only tried against their leader; their nodes that aren't connected with it come
-    back as a second result, for the caller to deal with by a finer key.
+    back as a second result, for the caller to deal with by a finer key.  prepare gets the nodes that share a key first.
     """
     rest = [c for c in blocks.columns if c != "key"]
     side = lambda p: [F.col(c).alias(p + c) for c in rest]
     # most keys have one row: they are told by a narrow count before any row is moved
     keys = written(blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
     shared = written(blocks.join(sized(keys, keys.count()), "key"), "shared")
+    if prepare:
+        prepare(shared.select("node").distinct())
     leaders = shared.groupBy("key").agg(F.min(F.struct("rank", "node", *[c for c in rest if c not in ("rank", "node")])).alias("l"))
     held = written(shared.select("key", "size", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key"), "blocks")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
