@@ -257,6 +257,28 @@ def test_line_dedup_texts(spark):
     assert got.columns == docs(spark, []).columns and line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def edited(rng, line, edits):
+    """The line with words changed, apart from each other."""
+    w = line.split()
+    for k in rng.sample(range(len(w)), min(edits, len(w))):
+        w[k] = "".join(rng.choice("klmnopq") for _ in range(len(w[k])))
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("low,high", [(24, 36), (36, 72), (72, 400)])
+def test_line_dedup_recall_by_length(spark, low, high):
+    rng = random.Random(low)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8)))
+    lines = []
+    while len(lines) < 240:
+        line = " ".join(word() for _ in range(high // 4))[: rng.randint(low, high - 2)].strip()
+        near = line[:-1] + "x" if len(line) < 36 else edited(rng, line, rng.randint(1, max(1, len(line) // 60)))
+        if low <= len(line) < high and gram_jaccard(line, near) >= 0.8:
+            lines += [line, near]
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, lines)).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 240, 2)) >= 0.98 * 120 and all(got[i] == i for i in range(0, 240, 2))
+
+
 def test_decontamination_catches_other_parameters(spark):
     item = "A train leaves Berlin at 14:30 and covers 120 km before it meets the other train from Paris near the bridge. How far is Berlin from there?"
     same = item.replace("Berlin", "Oslo").replace("120", "75.5").replace("Paris", "Rome")

@@ -1,12 +1,14 @@
 """Fuzzy line dedup by MinHash [native].
 
-Equal lines are one node, keyed by their MD5.  A line's signature is the
-``bands`` smallest hashes of its character shingles (bottom-k MinHash), where
-shingles that begin at a word come first; lines of few words add those at every
-place.  Each value of a signature is a band: lines that share one are candidates,
-so two lines miss each other only if none of ``bands`` values agrees.  Exact
-Jaccard similarity of the lines' sets of ``gram``-character shingles verifies
-candidates; a band of more than ``most`` lines, as a passage that many lines hold
+Equal lines are one node, keyed by their MD5.  A line's signature has two parts.
+Lines of up to ``longest`` characters have MinHash over their ``gram``-character
+shingles, the sets that are compared in the end, in the bands and rows of ``short``.
+Lines of ``shortest`` or more have the ``bands`` smallest hashes of their shingles of
+``shingle`` characters (bottom-k MinHash) that begin at a word, and of those at every
+place where there are few words.  ``shortest`` is so far under ``longest`` that two
+similar lines have a part in common.  Each value is a band: lines that share one are
+candidates, so lines miss each other only if none of the values agrees.  Exact Jaccard similarity of the sets verifies
+candidates. A band of more than ``most`` lines, as a passage that many lines hold
 makes one, is only tried against its commonest line; what isn't like that is
 banded anew by MinHash of all its ``gram``-character shingles, in the bands and rows
 of ``fine``, ever more selective, and tried against a leader of each band and, in
@@ -35,21 +37,24 @@ def _shingles(pattern: str, text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
 
 
-def signature(line: Column, shingle: int, bands: int) -> Column:
-    """Up to `bands` smallest hashes of the shingles that begin at a word, and of all shingles where there are few words."""
-    least = lambda a: F.slice(F.sort_array(F.array_distinct(a)), 1, bands)
-    by_word = least(_shingles(rf"(?s) (?=(.{{{shingle}}}))", F.concat(F.lit(" "), line)))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(spaces < 8, F.array_union(by_word, least(_shingles(rf"(?s)(?=(.{{{shingle}}}))", line)))).otherwise(by_word)
-
-
-def fine_bands_of(line: Column, gram: int, bands: int, rows: int) -> Column:
+def bands_of(line: Column, gram: int, bands: int, rows: int) -> Column:
     """Keys of MinHash bands over all shingles of `gram` characters."""
     least = lambda g, k: F.array_min(F.transform(g, lambda h: F.xxhash64(h, F.lit(k))))
     keys = lambda g: F.array(*[F.xxhash64(F.lit(b), *[least(g, b * rows + r) for r in range(rows)]) for b in range(bands)])
     return F.transform(F.array(F.array_distinct(_shingles(rf"(?s)(?=(.{{{gram}}}))", line))), keys)[0]
 
 
+def signature(line: Column, shingle: int, bands: int, gram: int, short: tuple, shortest: int, longest: int) -> Column:
+    """MinHash bands of short lines; up to `bands` smallest hashes of the longer shingles of long ones; both for those between."""
+    least = lambda a: F.slice(F.sort_array(F.array_distinct(a)), 1, bands)
+    by_word = least(_shingles(rf"(?s) (?=(.{{{shingle}}}))", F.concat(F.lit(" "), line)))
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    long = F.when(spaces < 8, F.array_union(by_word, least(_shingles(rf"(?s)(?=(.{{{shingle}}}))", line)))).otherwise(by_word)
+    minima = bands_of(line, gram, *short)
+    n = F.length(line)
+    return F.when(n < shortest, minima).when(n <= longest, F.concat(minima, long)).otherwise(long)
+
+
 def _grams(line: Column, gram: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
 
@@ -59,11 +64,11 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
     return rows.withColumn("node", F.when(F.length(F.trim("line")) >= least_chars, F.unhex(F.md5(F.col("line").cast("binary")))))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 36, gram: int = 5, bands: int = 8, least_chars: int = 24, most: int = 64, fine: tuple = ((12, 5), (24, 8))) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 16, gram: int = 5, bands: int = 12, short: tuple = (12, 4), shortest: int = 72, longest: int = 96, least_chars: int = 24, most: int = 64, fine: tuple = ((12, 5), (24, 8))) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no (of its group's kept line), kept, of every line."""
     lines = _lines(docs, doc_id, text, least_chars)
     long = lines.where(F.col("node").isNotNull())
-    signed = written(lines.select("doc_id", "line_no", "node", F.when(F.col("node").isNotNull(), signature(F.col("line"), shingle, bands)).alias("sig")), "lines")
+    signed = written(lines.select("doc_id", "line_no", "node", F.when(F.col("node").isNotNull(), signature(F.col("line"), shingle, bands, gram, short, shortest, longest)).alias("sig")), "lines")
     distinct = written(signed.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), (-F.count("*")).alias("rank")), "distinct")
     blocks = distinct.select("node", "rank", F.explode("sig").alias("key"))
 
@@ -89,7 +94,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         if over is None or not (n := (over := written(over, "over")).count()):
             break
         texts = candidates[0].join(sized(over, n), "node", "left_semi")
-        keyed = texts.select("node", F.explode_outer(fine_bands_of(F.col("line"), gram, fine_bands, fine_rows)).alias("key"))
+        keyed = texts.select("node", F.explode_outer(bands_of(F.col("line"), gram, fine_bands, fine_rows)).alias("key"))
         # another leader in each band: a line meets as many of them as it has bands
         more, over = block_links(written(keyed.select("key", "node", F.xxhash64("key", "node").alias("rank")), "fine"), verify, lambda x, y: F.lit(True), most)
         links = links.unionByName(more)
