@@ -279,6 +279,27 @@ def test_line_dedup_recall_by_length(spark, low, high):
     assert sum(got[i + 1] == i for i in range(0, 240, 2)) >= 0.98 * 120 and all(got[i] == i for i in range(0, 240, 2))
 
 
+@pytest.mark.parametrize("fine,chunk", [((), 3), ((), 1000), (((24, 8),), 3)])
+def test_line_dedup_large_bands(spark, fine, chunk):
+    """A passage that all lines hold, chains of lines where only neighbours are alike: groups equal brute force, whatever the bands' size."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage, lines = " ".join(word() for _ in range(12)), []
+    for _ in range(8):
+        w = [word() for _ in range(7)]
+        for k in range(4):
+            w[k] = word()
+            lines.append(passage + " " + " ".join(w))
+    up = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if gram_jaccard(lines[i], lines[j]) >= 0.8 and up[i] != up[j]:
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    assert 8 <= len(set(up)) < 20
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, lines), most=2, fine=fine, chunk=chunk).collect()}
+    assert [got[i] for i in range(len(lines))] == up
+
+
 def test_decontamination_catches_other_parameters(spark):
     item = "A train leaves Berlin at 14:30 and covers 120 km before it meets the other train from Paris near the bridge. How far is Berlin from there?"
     same = item.replace("Berlin", "Oslo").replace("120", "75.5").replace("Paris", "Rome")

@@ -54,13 +54,14 @@ def components(links: DataFrame) -> DataFrame:
     return written(at.join(least, "to").select("node", "component"), "components")
 
 
-def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame | None]:
+def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) that connect whatever verified pairs within blocks connect.
 
     blocks: key, node, rank (the leader has the smallest) and more columns; fits(x, y) is a cheap condition on a pair's
     rows, given the prefixes of their columns; verify(pairs (a, b)), called at most twice, keeps the links.
-    With most, blocks of more members are only tried against their leader; their nodes that aren't connected with it come
-    back as a second result, for the caller to deal with by a finer key.  prepare gets the nodes that share a key first.
+    With most, blocks of more members are only tried against their leader; where that doesn't connect all, all members come
+    back as a second result, for the caller to deal with by a finer key: also the led ones, which others may be like.
+    prepare gets the nodes that share a key first.  linked has links found before; pairs that they connect aren't tried.
     """
     rest = [c for c in blocks.columns if c != "key"]
     side = lambda p: [F.col(c).alias(p + c) for c in rest]
@@ -73,8 +74,10 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
     held = written(shared.select("key", "size", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key"), "blocks")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = held.where((F.col("x_node") != F.col("l_node")) & fits("x_", "l_")).select(*pair("x_node", "l_node")).distinct()
+    if linked is not None:
+        first = apart_in(first, components(linked))
     links = written(verify(written(first, "pairs")), "links")
-    found = components(links)
+    found = components(links if linked is None else linked.select("a", "b").unionByName(links))
     n = found.count()
     of = lambda name: sized(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c")), n)
     placed = held.join(of("x_node"), "x_node", "left").join(of("l_node"), "l_node", "left")
@@ -84,7 +87,8 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
         return links, None
     over = None
     if most:
-        over = apart.where(F.col("size") > most).select(F.col("x_node").alias("node")).distinct()
+        large = apart.where(F.col("size") > most).select("key").distinct()
+        over = placed.join(large, "key", "left_semi").select(F.col("x_node").alias("node")).distinct()
         apart = apart.where(F.col("size") <= most)
     open_keys = apart.groupBy("key").agg(F.count("*").alias("open"))
     other = placed.join(open_keys, "key").where("x_node <> l_node").select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in rest], F.col("x_node_c").alias("y_node_c"), (F.col("x_node_c") == F.col("l_node_c")).alias("y_led"))
@@ -93,6 +97,13 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
     return written(links.unionByName(more), "links"), over
 
 
+def apart_in(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that found (node, component) doesn't connect."""
+    n = found.count()
+    of = lambda c: sized(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")), n)
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+
+
 def nodes_of(pairs: DataFrame) -> tuple[DataFrame, int]:
     """The distinct nodes of pairs (a, b), and their number."""
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")

@@ -8,12 +8,14 @@ Lines of ``shortest`` or more have the ``bands`` smallest hashes of their shingl
 place where there are few words.  ``shortest`` is so far under ``longest`` that two
 similar lines have a part in common.  Each value is a band: lines that share one are
 candidates, so lines miss each other only if none of the values agrees.  Exact Jaccard similarity of the sets verifies
-candidates. A band of more than ``most`` lines, as a passage that many lines hold
-makes one, is only tried against its commonest line; what isn't like that is
-banded anew by MinHash of all its ``gram``-character shingles, in the bands and rows
-of ``fine``, ever more selective, and tried against a leader of each band and, in
-bands of up to ``most``, against all.  The links' components (distributed union-find by contraction) are
-the groups, and the first line of a group, by doc_id and place, is kept.
+candidates.  A band of more than ``most`` lines, as a passage that many lines hold
+makes one, is first tried against its commonest line; unless that connects all, all
+its lines are banded anew, in the bands and rows of ``fine``, ever more selective.
+What is in large bands even after the last of these is joined exactly, by the
+prefixes of the sets in order of rarity, in blocks of at most ``chunk`` lines a
+side, so no pair is left out for the size of its band.  The links' components
+(distributed union-find by contraction) are the groups, and the first line of a
+group, by doc_id and place, is kept.
 
 Lines of fewer than ``least_chars`` characters, blanks at their ends aside, are
 never compared nor removed: blank lines and single words repeat by chance.
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxstrata.llm.common import written
-from voxstrata.llm.components import block_links, components, nodes_of, sized
+from voxstrata.llm.components import apart_in, block_links, components, nodes_of, sized
 
 
 def _shingles(pattern: str, text: Column) -> Column:
@@ -55,6 +57,27 @@ def signature(line: Column, shingle: int, bands: int, gram: int, short: tuple, s
     return F.when(n < shortest, minima).when(n <= longest, F.concat(minima, long)).otherwise(long)
 
 
+def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: float, chunk: int) -> DataFrame:
+    """Pairs (a, b) of lines (node, line) that links don't connect, with all those of `similarity` or more among them.
+
+    Of any such pair, the rarest shingle of both is in both prefixes, with enough shingles left after it."""
+    spread = written(lines.select("node", F.explode(F.array_distinct(_shingles(rf"(?s)(?=(.{{{gram}}}))", F.col("line")))).alias("g")), "shingles")
+    often = spread.groupBy("g").agg(F.count("*").alias("f"))
+    ordered = spread.join(often, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("s")).withColumn("n", F.size("s"))
+    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
+    rows = written(ordered.select("node", "n", F.posexplode(prefix).alias("at", "t")).select("node", "n", "at", "t.g"), "prefixes")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size")).where("size > 1").select("g", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
+    dealt = written(rows.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "dealt")
+    side = lambda p, own, other, places: dealt.select("g", F.col("part").alias(own), F.explode(places).alias(other), *[F.col(c).alias(p + c) for c in ("node", "n", "at")])
+    x = side("x_", "i", "j", F.sequence(F.col("part"), F.col("parts") - 1))
+    y = side("y_", "j", "i", F.sequence(F.lit(0), F.col("part")))
+    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    fits = (F.least("x_n", "y_n") + 1e-9 >= similarity * F.greatest("x_n", "y_n")) & ((1 + similarity) * room + 1e-9 >= similarity * (F.col("x_n") + F.col("y_n")))
+    met = x.join(y, ["g", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x_node") < F.col("y_node"))) & fits)
+    pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return apart_in(pairs, components(links))
+
+
 def _grams(line: Column, gram: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
 
@@ -64,7 +87,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
     return rows.withColumn("node", F.when(F.length(F.trim("line")) >= least_chars, F.unhex(F.md5(F.col("line").cast("binary")))))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 16, gram: int = 5, bands: int = 12, short: tuple = (12, 4), shortest: int = 72, longest: int = 96, least_chars: int = 24, most: int = 64, fine: tuple = ((12, 5), (24, 8))) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 16, gram: int = 5, bands: int = 12, short: tuple = (12, 4), shortest: int = 72, longest: int = 96, least_chars: int = 24, most: int = 64, fine: tuple = ((24, 8),), chunk: int = 1000) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no (of its group's kept line), kept, of every line."""
     lines = _lines(docs, doc_id, text, least_chars)
     long = lines.where(F.col("node").isNotNull())
@@ -90,14 +113,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         return both.where((1 + similarity) * shared + 1e-9 >= similarity * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
     links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare)
-    for fine_bands, fine_rows in fine:
+    for fine_bands, fine_rows in (*fine, (None, None)):
         if over is None or not (n := (over := written(over, "over")).count()):
             break
         texts = candidates[0].join(sized(over, n), "node", "left_semi")
+        if fine_bands is None:
+            links = links.unionByName(verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs")))
+            break
         keyed = texts.select("node", F.explode_outer(bands_of(F.col("line"), gram, fine_bands, fine_rows)).alias("key"))
         # another leader in each band: a line meets as many of them as it has bands
-        more, over = block_links(written(keyed.select("key", "node", F.xxhash64("key", "node").alias("rank")), "fine"), verify, lambda x, y: F.lit(True), most)
-        links = links.unionByName(more)
+        more, over = block_links(written(keyed.select("key", "node", F.xxhash64("key", "node").alias("rank")), "fine"), verify, lambda x, y: F.lit(True), most, linked=links)
+        links = written(links.unionByName(more), "links")
     found = components(links)
     grouped = signed.drop("sig").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     here = F.struct("doc_id", "line_no")
