@@ -313,6 +313,14 @@ def test_decontamination_catches_other_parameters(spark):
     assert decontaminate.contaminated(docs(spark, []), b).count() == 0 and decontaminate.contaminated(docs(spark, [item]), b.limit(0)).count() == 0
 
 
+def test_decontamination_whatever_the_letter_case(spark):
+    item = "which of those rivers, lakes, seas, bays, ponds, brooks, creeks, or canals lies 30 km north of the town"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = ["so " + item.upper(), item.upper().replace("30", "41"), item.upper().replace("RIVERS, LAKES, SEAS, BAYS", "a b c d"), "So " + item.title(), item]
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, texts), b).collect()}
+    assert set(got) == {0, 1, 3, 4} and got[1].reparameterised and not got[0].reparameterised
+
+
 WEIRD = ["", None, " ", "\n", "a  b\n\nc", "▁ x ▁", "don't we'll", "\x1c\x1d\x85 ​　x", "日本語 テキスト", "😀😀", "a" * 30_000, " " * 5000 + "x", "\x00y", "<s> </s> <|endoftext|>"]
 
 

@@ -6,7 +6,9 @@ documents' templates are hash-joined with those of the benchmark's.  Windows of
 pair that lie at the same shift are one alignment; it counts only if its slots
 are consistent: each value of a benchmark slot stands for one value throughout.
 A document holds an item if consistent alignments cover at least ``similarity``
-of the item's distinct windows.
+of the item's distinct windows.  All this is done for two forms of the texts: the
+whole template, and one made of the text in lower case, without names, as names
+can't be told from other words in a text in capitals; either will do.
 
 The benchmark's windows are broadcast only when counted few; beyond that the
 join is shuffled.
@@ -29,11 +31,15 @@ from voxstrata.llm.components import sized
 UNITS = "km kg mg cm mm ml mph kmh m g l s h %".split() + "meter meters metre metres mile miles foot feet inch inches pound pounds ounce ounces gram grams liter liters hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends; words stay one to one."""
-    t = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", "<n>")
+def template(text: Column, names: bool = True) -> Column:
+    """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends; words stay one to one.
+
+    Without names there is no <p>, and letter case makes no difference."""
+    t = text if names else F.lower(text)
+    t = F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", "<n>")
     t = F.regexp_replace(t, rf"(?<=<n> {{0,1}})(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", "<u>")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,;>] )\p{Lu}\p{L}[\p{L}'’-]*", "<p>")
+    if names:
+        t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,;>] )\p{Lu}\p{L}[\p{L}'’-]*", "<p>")
     return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
 
 
@@ -51,35 +57,38 @@ def _windows(words: Column, window: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, coverage, n_slots, reparameterised: the benchmark items that documents hold."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
-    of = lambda df: df.withColumn("words", word_list(template(F.col("text"))))
-    items = of(items).select("item_id", F.posexplode(_windows(F.col("words"), window)).alias("item_at", "hash"))
+    # form 0 is the whole template, form 1 the one without names
+    both = lambda make: make(True).withColumn("form", F.lit(0)).unionByName(make(False).withColumn("form", F.lit(1)))
+    of = lambda df, names: df.withColumn("words", word_list(template(F.col("text"), names)))
+    texts = items
+    items = both(lambda names: of(texts, names).select("item_id", F.posexplode(_windows(F.col("words"), window)).alias("item_at", "hash")))
     items = written(items, "item-windows")
     n = items.count()
-    sizes = items.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
+    sizes = items.groupBy("form", "item_id").agg(F.countDistinct("hash").alias("item_windows"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     # the outer form keeps Spark from testing, thus making, the windows a second time below the explosion
-    spread = of(source).select("doc_id", _windows(F.col("words"), window).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("doc_at", "hash"))
-    hits = written(spread.join(sized(items, n), "hash").select("doc_id", "item_id", "hash", "doc_at", "item_at"), "hits")
-    likely = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sized(sizes, n), "item_id").where(F.col("n") >= similarity * F.col("item_windows")).select("doc_id", "item_id", "item_windows")
+    spread = both(lambda names: of(source, names).select("doc_id", _windows(F.col("words"), window).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("doc_at", "hash")))
+    hits = written(spread.join(sized(items, n), ["form", "hash"]).select("form", "doc_id", "item_id", "hash", "doc_at", "item_at"), "hits")
+    likely = hits.groupBy("form", "doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sized(sizes, n), ["form", "item_id"]).where(F.col("n") >= similarity * F.col("item_windows")).select("form", "doc_id", "item_id", "item_windows")
     likely = written(likely, "likely")
     m = likely.count()
-    near = hits.join(sized(likely, m), ["doc_id", "item_id"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    near = hits.join(sized(likely, m), ["form", "doc_id", "item_id"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     # the words of the documents and items in play, by place
     # written, so that templates are made of these texts alone
     pick = lambda df, key: written(df.join(sized(likely.select(key).distinct(), m), key, "left_semi"), "texts")
-    plain = lambda df, key: pick(df, key).select(key, F.arrays_zip(word_list(F.col("text")).alias("word"), word_list(template(F.col("text"))).alias("slot")).alias("w"))
-    raw_items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
+    plain = lambda df, key, names: df.select(key, F.arrays_zip(word_list(F.col("text")).alias("word"), word_list(template(F.col("text"), names)).alias("slot")).alias("w"))
     bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    slots = lambda df, key, at, out: plain(df, key).select(key, F.posexplode("w").alias(at, "w")).where(F.col("w.slot").contains("<")).select(key, at, bare(F.col("w.word")).alias(out))
-    item_slots = slots(raw_items, "item_id", "item_word", "item_value")
-    doc_slots = slots(source, "doc_id", "doc_word", "doc_value")
-    covered = near.select("doc_id", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + (window - 1))).alias("item_word")).distinct()
-    paired = covered.join(item_slots, ["item_id", "item_word"]).withColumn("doc_word", F.col("item_word") + F.col("shift")).join(doc_slots, ["doc_id", "doc_word"])
-    values = paired.groupBy("doc_id", "item_id", "shift", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.count("*").alias("slots"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("other"))
-    judged = values.groupBy("doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.sum("slots").alias("slots"), F.max("other").alias("other"))
-    found = near.join(judged, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("values", F.lit(1)) <= 1)
-    out = found.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("hash").alias("n"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"), (F.coalesce(F.min(F.coalesce("other", F.lit(0))), F.lit(0)) > 0).alias("reparameterised"))
-    return out.where(F.col("n") >= similarity * F.col("item_windows")).select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("coverage"), "n_slots", "reparameterised")
+    slots = lambda df, key, at, out: both(lambda names: plain(df, key, names).select(key, F.posexplode("w").alias(at, "w")).where(F.col("w.slot").contains("<")).select(key, at, bare(F.col("w.word")).alias(out)))
+    item_slots = slots(pick(texts, "item_id"), "item_id", "item_word", "item_value")
+    doc_slots = slots(pick(source, "doc_id"), "doc_id", "doc_word", "doc_value")
+    covered = near.select("form", "doc_id", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + (window - 1))).alias("item_word")).distinct()
+    paired = covered.join(item_slots, ["form", "item_id", "item_word"]).withColumn("doc_word", F.col("item_word") + F.col("shift")).join(doc_slots, ["form", "doc_id", "doc_word"])
+    values = paired.groupBy("form", "doc_id", "item_id", "shift", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.count("*").alias("slots"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("other"))
+    judged = values.groupBy("form", "doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.sum("slots").alias("slots"), F.max("other").alias("other"))
+    found = near.join(judged, ["form", "doc_id", "item_id", "shift"], "left").where(F.coalesce("values", F.lit(1)) <= 1)
+    out = found.groupBy("form", "doc_id", "item_id", "item_windows").agg(F.countDistinct("hash").alias("n"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"), (F.coalesce(F.min(F.coalesce("other", F.lit(0))), F.lit(0)) > 0).alias("reparameterised"))
+    held = out.where(F.col("n") >= similarity * F.col("item_windows")).groupBy("doc_id", "item_id").agg(F.min(F.struct("form", (F.col("n") / F.col("item_windows")).alias("coverage"), "n_slots", "reparameterised")).alias("o"))
+    return held.select("doc_id", "item_id", "o.coverage", "o.n_slots", "o.reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
