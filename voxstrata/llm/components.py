@@ -24,6 +24,9 @@ from voxstrata.llm.common import written
 #: A side of at most so many rows of a few numbers (some tens of MB) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Members of a block that one task's key holds in the search for links between members.
+CHUNK = 1000
+
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast only if its counted rows are few."""
@@ -50,8 +53,9 @@ def components(links: DataFrame) -> DataFrame:
     for move in moves[1:]:
         at = at.join(move.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     at = written(at, "roots")
-    least = at.groupBy("to").agg(F.min("node").alias("component"))
-    return written(at.join(least, "to").select("node", "component"), "components")
+    # written on its own: a large component's rows can then be split among tasks in the join
+    least = written(at.groupBy("to").agg(F.min("node").alias("component")), "least")
+    return written(at.join(sized(least, least.count()), "to").select("node", "component"), "components")
 
 
 def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -90,9 +94,12 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
         large = apart.where(F.col("size") > most).select("key").distinct()
         over = placed.join(large, "key", "left_semi").select(F.col("x_node").alias("node")).distinct()
         apart = apart.where(F.col("size") <= most)
-    open_keys = apart.groupBy("key").agg(F.count("*").alias("open"))
-    other = placed.join(open_keys, "key").where("x_node <> l_node").select("key", *[F.col(f"x_{c}").alias(f"y_{c}") for c in rest], F.col("x_node_c").alias("y_node_c"), (F.col("x_node_c") == F.col("l_node_c")).alias("y_led"))
-    second = apart.drop("size").join(other, "key").where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | (F.col("x_node") < F.col("y_node"))) & fits("x_", "y_"))
+    open_keys = apart.select("key").distinct()
+    # a large block's members are dealt to parts, each of which the open ones meet on its own: no task holds a block
+    open_keys = open_keys.join(held.select("key", "size").distinct(), "key").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts"))
+    other = placed.drop("size").join(open_keys, "key").where("x_node <> l_node").select("key", F.pmod(F.xxhash64("x_node"), "parts").cast("int").alias("part"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in rest], F.col("x_node_c").alias("y_node_c"), (F.col("x_node_c") == F.col("l_node_c")).alias("y_led"))
+    dealt = apart.drop("size").join(open_keys, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    second = dealt.join(other, ["key", "part"]).where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | (F.col("x_node") < F.col("y_node"))) & fits("x_", "y_"))
     more = verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs"))
     return written(links.unionByName(more), "links"), over
 

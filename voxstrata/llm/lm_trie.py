@@ -385,10 +385,12 @@ def _columns(batches) -> list[np.ndarray]:
 
 def train(docs: DataFrame, text: str = "text", order: int = 2, least: int = 2, discount: float = 0.7, per_shard: int = 2_000_000) -> Trie:
     """Counts and builds the trie of the texts of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(text)
-    root = new_path(spark, "trie")
+    with small_batches(docs.sparkSession):
+        return _train(docs.select(text), order, least, discount, per_shard)
+
+
+def _train(docs: DataFrame, order: int, least: int, discount: float, per_shard: int) -> Trie:
+    root = new_path(docs.sparkSession, "trie")
 
     def count_words(batches):
         seen: Counter = Counter()

@@ -33,6 +33,8 @@ from voxstrata.llm.words import WordHashes, mix, shingles_at, words
 
 #: The count sketch has twice 2 ** BITS counters, sent in CHUNKS pieces: 4 MB in the driver, whatever the input.
 BITS, CHUNKS = 18, 16
+#: Buckets of a set's counts in the bound on intersections; bits of the filter of tokens that go behind all others (1 MB).
+BUCKETS, HEAVY_BITS = 128, 23
 _SEEDS = tuple(np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D))
 
 
@@ -60,6 +62,9 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 class Sketch:
     """Counts of all documents' words and shingles by bucket of their hash, and what the orders make of them."""
 
+    #: one bit for each hash by its top bits: tokens that go behind all others in the first order
+    heavy: np.ndarray | None = None
+
     def __init__(self, counts: np.ndarray):
         of_words, of_shingles = counts
         self.rarity = np.round(8 * np.log2(np.maximum(of_words, 1))).astype(np.int64)
@@ -107,7 +112,20 @@ def prefix(tokens: tuple[np.ndarray, np.ndarray, np.ndarray], counts: Sketch, or
     """The set's first tokens under one of the orders."""
     s, all_words, rarest = tokens
     by = (all_words, all_words // 32, rarest)[order]
-    return s[np.lexsort((mix(s ^ _SEEDS[order]), by, counts.common[_buckets(s)]))][: prefix_length(len(s), per_cent)]
+    keys = [mix(s ^ _SEEDS[order]), by, counts.common[_buckets(s)]]
+    if order == 0 and counts.heavy is not None:
+        at = s >> np.uint64(64 - HEAVY_BITS)
+        keys.append(counts.heavy[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+    return s[np.lexsort(keys)][: prefix_length(len(s), per_cent)]
+
+
+def heavy_filter(keys: DataFrame) -> np.ndarray:
+    """The filter of tokens `key`: at most 2 ** (HEAVY_BITS - 6) words, however many tokens there are.  A false hit only moves a token in the order."""
+    at = F.shiftrightunsigned("key", 64 - HEAVY_BITS)
+    words_ = keys.select(F.shiftrightunsigned(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - HEAVY_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << HEAVY_BITS - 6, np.uint64)
+    out[words_.column("word").to_numpy()] = words_.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
@@ -117,41 +135,78 @@ def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.dtype(f"i{flat.itemsize}"))))
 
 
-def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc_id", text: str = "text", most: int = 64) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), n_links (of the class, to others it was verified with), component_id.
 
     Two documents link when 100 * intersection >= per_cent * union of their sets of word shingles."""
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(sketch(docs, size))
+    with small_batches(docs.sparkSession):
+        return _linked(docs, size, per_cent, most)
 
-    def signatures(batches):
-        tokens = Tokens(size, counts.value.rarity)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found = [tokens.of(t) for t in part.column(1).to_pylist()]
-                sets = [f[0] for f in found]
-                with np.errstate(over="ignore"):
-                    d = [(int(mix(s).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[2])).view(np.int64))) if len(s) else (0, 0) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), _lists([prefix(f, counts.value, 0, per_cent) for f in found])],
-                    ["doc_id", "n", "d1", "d2", "p"],
-                )
-
-    signed = written(docs.mapInArrow(signatures, "doc_id long, n long, d1 long, d2 long, p array<long>"), "signatures")
+
+def _linked(docs: DataFrame, size: int, per_cent: int, most: int) -> DataFrame:
+    spark = docs.sparkSession
+    orders = sketch(docs, size)
+    counts = spark.sparkContext.broadcast(orders)
+
+    def signatures(shipped):
+        def run(batches):
+            tokens = Tokens(size, shipped.value.rarity)
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    found = [tokens.of(t) for t in part.column(1).to_pylist()]
+                    sets = [f[0] for f in found]
+                    with np.errstate(over="ignore"):
+                        d = [(int(mix(s).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[2])).view(np.int64))) if len(s) else (0, 0) for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), _lists([prefix(f, shipped.value, 0, per_cent) for f in found])],
+                        ["doc_id", "n", "d1", "d2", "p"],
+                    )
+
+        return run
+
+    signed_schema = "doc_id long, n long, d1 long, d2 long, p array<long>"
+    signed = written(docs.mapInArrow(signatures(counts), signed_schema), "signatures")
     named = signed.where("n > 0 and doc_id is not null")
     classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
-    blocks = named.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.posexplode("p").alias("rank", "key"))
-
-    def whole_sets(batches):
-        tokens = Tokens(size, counts.value.rarity)
+    prefixes = named.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "p")
+
+    # the first order mended: a document whose prefix holds none of the moved tokens keeps its prefix
+    spread = lambda df: df.select("node", F.explode("p").alias("key"))
+    heavy = written(spread(prefixes).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most).select("key"), "heavy")
+    if m := heavy.count():
+        orders.heavy = heavy_filter(heavy)
+        mended = spark.sparkContext.broadcast(orders)
+        moved = written(spread(prefixes).join(sized(heavy, m), "key", "left_semi").select("node").distinct(), "moved")
+        some = sized(moved, moved.count())
+        again = docs.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(signatures(mended), signed_schema)
+        again = written(again.where("n > 0").select(F.col("doc_id").alias("node"), "n", "p"), "mended")
+        prefixes = prefixes.join(some, "node", "left_anti").unionByName(again)
+    blocks = prefixes.select("node", "n", F.posexplode("p").alias("rank", "key"))
+
+    def tokens_of(columns, out):
+        """Rows (doc_id, text) to their node and columns(tokens of a text)."""
+
+        def run(batches):
+            tokens = Tokens(size, counts.value.rarity)
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    part = b.slice(at, 500)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns([tokens.of(t) for t in part.column(1).to_pylist()])], ["node", *out])
+
+        return run
+
+    def filters(found):
+        c = [np.bincount((f[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() for f in found]
+        return [*[_lists([prefix(f, counts.value, k, per_cent) for f in found], np.uint32) for k in (1, 2)], pa.array(c, pa.binary())]
+
+    def roomy(batches):
+        """Pairs whose counts by bucket leave room for the intersection that a link needs."""
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found = [tokens.of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[_lists([prefix(f, counts.value, k, per_cent) for f in found], np.uint32) for k in (1, 2)], pa.array([f[0].tobytes() for f in found], pa.binary())], ["node", "p1", "p2", "tokens"])
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for k in (2, 3))
+            both = np.minimum(x, y).sum(1)
+            yield b.select(["a", "b"]).filter(pa.array(100 * both >= per_cent * (x.sum(1) + y.sum(1) - both)))
 
     def check(batches):
         for b in batches:
@@ -163,14 +218,18 @@ def link_documents(docs: DataFrame, size: int, per_cent: int, doc_id: str = "doc
                     keep.append(k)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def texts(pairs: DataFrame) -> DataFrame:
         nodes, n = nodes_of(pairs)
-        some = docs.join(sized(nodes.withColumnRenamed("node", "doc_id"), n), "doc_id", "left_semi")
-        sets = written(some.mapInArrow(whole_sets, "node long, p1 array<int>, p2 array<int>, tokens binary"), "sets")
-        of = lambda c, *cols: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
-        # only what passes the other orders' filters is given its whole sets
-        passed = pairs.join(of("a", "p1", "p2"), "a").join(of("b", "p1", "p2"), "b").where(F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2"))
-        both = written(passed.select("a", "b").distinct(), "passed").join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
+        return docs.join(sized(nodes.withColumnRenamed("node", "doc_id"), n), "doc_id", "left_semi")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        narrow = written(texts(pairs).mapInArrow(tokens_of(filters, ["p1", "p2", "c"]), "node long, p1 array<int>, p2 array<int>, c binary"), "filters")
+        of = lambda df, c, *cols: df.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
+        met = pairs.join(of(narrow, "a", "p1", "p2", "c"), "a").join(of(narrow, "b", "p1", "p2", "c"), "b").where(F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2"))
+        passed = written(met.select("a", "b", "a_c", "b_c").mapInArrow(roomy, "a long, b long").distinct(), "passed")
+        # whole sets only of what passed all filters
+        sets = written(texts(passed).mapInArrow(tokens_of(lambda found: [pa.array([f[0].tobytes() for f in found], pa.binary())], ["tokens"]), "node long, tokens binary"), "sets")
+        both = passed.join(of(sets, "a", "tokens"), "a").join(of(sets, "b", "tokens"), "b")
         return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a long, b long").distinct()
 
     def fits(x: str, y: str) -> Column:
