@@ -73,6 +73,24 @@ def test_ngram_join_defined_cases(spark):
     assert sorted((r.doc_id is None, r.component_id or 0) for r in got) == [(False, 4), (False, 4), (False, 8), (False, 9), (True, 0)]
 
 
+def test_ngram_join_of_passages_and_groups(spark):
+    """A passage that all hold, a large group of near copies, a long text: whatever the blocks' sizes, groups equal brute force."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage, base = " ".join(word() for _ in range(30)), [word() for _ in range(60)]
+    texts = [passage + " " + " ".join(word() for _ in range(25)) for _ in range(40)]
+    for _ in range(40):
+        w = list(base)
+        for k in range(rng.randrange(3)):
+            w[k * 20 + rng.randrange(20)] = word()
+        texts.append(" ".join(w))
+    long = [word() for _ in range(20_000)]
+    texts += [" ".join(long), " ".join(long[:-300]), " ".join(long[:10_000])]
+    for most in (2, 64):
+        got = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs(spark, texts), 3, 80, most=most).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_classes(texts, 3, 80)[0]
+
+
 def test_components_of_long_chains(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(80)] + [(200, 300)], "a long, b long")
     assert {r.node: r.component for r in components.components(e).collect()} == {i: 0 for i in range(81)} | {200: 200, 300: 200}
@@ -202,17 +220,28 @@ def test_elias_fano(n, top):
     assert (lm_trie.ef_get(lm_trie.ef_build(v), np.arange(n)) == v).all()
 
 
+def warc_rows(pages):
+    """What the contract asks of rows (page_id, url, html), by brute force."""
+    out = []
+    for page, _, html in pages:
+        b = (html or "").encode()
+        top = max((p for p, _, h in pages if (h or "") == (html or "") and p is not None), default=None)
+        revisit = top is not None and (page is None or page < top)
+        out.append((page, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", top if revisit else None, True))
+    return sorted(out, key=str)
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(3)
     html = ["", None, "x" * 50_000, "é" * 9000, "".join(rng.choice("ab\r\n\0") for _ in range(40_000)), "same", "same", "", "same"]
-    pages = spark.createDataFrame([(i, f"http://a/{i}\r\nX: y", h) for i, h in enumerate(html)] + [(6, "http://a/6\r\nX: y", "same")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.roundtrip(pages, segment_bytes=4096, archive_bytes=30_000).collect()}
-    assert len(got) == len(html)
-    last = {h or "": i for i, h in enumerate(html)}
-    for i, h in enumerate(html):
-        b = (h or "").encode()
-        assert (got[i].payload_bytes, got[i].payload_digest, got[i].valid) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), True)
-        assert (got[i].record_type, got[i].refers_to) == (("response", None) if last[h or ""] == i else ("revisit", last[h or ""]))
+    rows = [(i, f"http://a/{i}\r\nX: y", h) for i, h in enumerate(html)]
+    # rows that repeat, an id with other payloads, nulls in every column
+    rows += [rows[6], rows[6], rows[8], (2, None, "a"), (2, "a", None), (2, "b", "x" * 50_000), (1, "c", "x" * 50_000), (None, None, None), (None, "u", "same"), (None, "u", "alone"), (None, "u", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("key", "page", "payload", "top", "row", "segment")})
+    got = warc.roundtrip(pages, segment_bytes=4096, archive_bytes=30_000).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.valid) for r in got), key=str) == warc_rows(rows)
+    least = warc.roundtrip(pages, least_bytes=5).where("record_type = 'revisit'").collect()
+    assert {r.payload_bytes for r in least} == {50_000}
     assert warc.roundtrip(pages.limit(0)).count() == 0
 
 

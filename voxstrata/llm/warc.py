@@ -9,16 +9,21 @@ it in WARC-Segment-Origin-ID; the last has WARC-Segment-Total-Length.
 Read: records are parsed one at a time from each archive's stream; segments are
 grouped by their origin's identifier, ordered by segment number, checked against
 the total length, and the chunked framing is decoded.  Only records that are cut
-are shuffled.
+are shuffled; a group holds one record.
 
 Archives go to the folder in spark.checkpoint.dir under a name of the task
 attempt; the manifest, itself a written table, lists those of the attempts that
 counted, so a retry leaves at most an unread file.
 
+A record's role depends on its page_id and payload alone: rows need no numbers,
+and record identifiers are made where a record is written, of its archive's name
+and its place there.
+
 Defined cases: a null payload is empty; an empty payload is a record of its own
-and can be revisited; an exactly repeated row is written once, a page_id repeated
-with another url or html gives a record each;
-an empty table gives no archives and no rows.
+and can be revisited; each row is a record and gives a row, repeated ones too;
+rows of one page_id with equal payloads have the same role; a null page_id ranks
+below all others; a null url is empty; other columns, whatever their names, are
+ignored; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ import gzip
 import hashlib
 import uuid
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxstrata.llm.common import new_path, written
+from voxstrata.llm.common import new_path, small_batches, written
+from voxstrata.llm.components import sized
 
 VERSION = b"WARC/1.1"
 CHUNK = 8192
@@ -73,14 +78,14 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page: int, row: int, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{row}/{segment}')}>"
+def record_id(archive: str, place: int, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{place}/{segment}')}>"
 
 
-def page_records(page: int, row: int, url: str, payload: bytes, refers_to: int | None, segment_bytes: int) -> list[bytes]:
-    """All records of a page, in order."""
-    rid = record_id(page, row)
-    common = [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Page", str(page)), ("WARC-Row", str(row)), ("WARC-Payload-Digest", "sha1:" + digest(payload))]
+def page_records(page: int | None, url: str, payload: bytes, refers_to: int | None, segment_bytes: int, archive: str, place: int) -> list[bytes]:
+    """All records of a page, in order; archive and place name them."""
+    rid = record_id(archive, place)
+    common = [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), *[("WARC-Page", str(page))] * (page is not None), ("WARC-Payload-Digest", "sha1:" + digest(payload))]
     if refers_to is not None:
         return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", rid), *common, ("WARC-Refers-To-Page", str(refers_to)), ("WARC-Payload-Length", str(len(payload))), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], b"")]
     block = HEAD + chunked(payload)
@@ -93,7 +98,7 @@ def page_records(page: int, row: int, url: str, payload: bytes, refers_to: int |
             out.append(record([("WARC-Type", "response"), ("WARC-Record-ID", rid), *common, number], part))
         else:
             last = [("WARC-Segment-Total-Length", str(len(block)))] * (k == len(parts))
-            out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, row, k)), ("WARC-Segment-Origin-ID", rid), number, *last], part))
+            out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(archive, place, k)), ("WARC-Segment-Origin-ID", rid), number, *last], part))
     return out
 
 
@@ -120,22 +125,23 @@ def _store(uri: str):
 
 
 def write_archives(pages: DataFrame, root: str, segment_bytes: int, archive_bytes: int) -> DataFrame:
-    """Writes rows (page, row, url, payload, refers_to); returns the manifest (path, records), written and reread."""
+    """Writes rows (page, url, payload, refers_to); returns the manifest (path, records), written and reread."""
 
     def run(batches):
         where, name, out, paths = None, "", None, []
-        raw = n = 0
+        raw = n = rows = 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                for r in b.slice(at, 200).to_pylist():
+            for at in range(0, b.num_rows, 20):
+                for r in b.slice(at, 20).to_pylist():
                     if out is None:
                         fs, where = _store(root)
                         fs.create_dir(where, recursive=True)
                         name = f"{uuid.uuid4().hex}.warc.gz"
-                        out, raw, n = gzip.GzipFile(fileobj=(sink := fs.open_output_stream(f"{where}/{name}", compression=None)), mode="wb", compresslevel=4, mtime=0), 0, 0
-                    for rec in page_records(r["page"], r["row"], r["url"] or "", r["payload"] or b"", r["refers_to"], segment_bytes):
+                        out, raw, n, rows = gzip.GzipFile(fileobj=(sink := fs.open_output_stream(f"{where}/{name}", compression=None)), mode="wb", compresslevel=4, mtime=0), 0, 0, 0
+                    for rec in page_records(r["page"], r["url"] or "", r["payload"] or b"", r["refers_to"], segment_bytes, name, rows):
                         out.write(rec)
                         raw, n = raw + len(rec), n + 1
+                    rows += 1
                     if raw >= archive_bytes:
                         out.close(), sink.close()
                         paths.append((f"{root}/{name}", n))
@@ -145,7 +151,8 @@ def write_archives(pages: DataFrame, root: str, segment_bytes: int, archive_byte
             paths.append((f"{root}/{name}", n))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in paths], pa.string()), pa.array([n for _, n in paths], pa.int64())], ["path", "records"])
 
-    return written(pages.mapInArrow(run, "path string, records long"), "warc-manifest")
+    with small_batches(pages.sparkSession):
+        return written(pages.mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
 def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -160,16 +167,28 @@ def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_READ = pa.schema([("origin", pa.string()), ("page", pa.int64()), ("row", pa.int64()), ("kind", pa.string()), ("stated", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("valid", pa.bool_()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
-_READ_SQL = "origin string, page long, row long, kind string, stated string, refers_to long, payload_bytes long, payload_digest string, valid boolean, segment long, total long, block binary"
-_PAGE_SQL = "page long, row long, kind string, stated string, refers_to long, payload_bytes long, payload_digest string, valid boolean"
+_READ_SQL = "origin string, page long, kind string, stated string, refers_to long, payload_bytes long, payload_digest string, valid boolean, segment long, total long, block binary"
+_PAGE = ["page", "kind", "stated", "refers_to", "payload_bytes", "payload_digest", "valid"]
+_PAGE_SQL = "page long, kind string, stated string, refers_to long, payload_bytes long, payload_digest string, valid boolean"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_arrow = lambda ddl: pa.schema([(k, _TYPES[v]) for k, v in (c.split(" ") for c in ddl.split(", "))])
+
+
+def _checked(segments: list[tuple[int, int | None, bytes]], stated: str | None) -> dict:
+    """Length and digest of the payload, and whether that is the stated one; no payload where the segments or the framing are broken."""
+    try:
+        p = assemble(segments)
+    except ValueError:
+        return {"payload_bytes": None, "payload_digest": None, "valid": False}
+    d = digest(p)
+    return {"payload_bytes": len(p), "payload_digest": d, "valid": d == stated}
 
 
 def _read(f: dict[str, str], block: bytes) -> dict:
     """A record's row: payload length and digest of a whole one, the block of a segment."""
     whole = lambda k: int(f[k]) if k in f else None
     row = {
-        "origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "page": whole("warc-page"), "row": whole("warc-row"), "kind": f["warc-type"],
+        "origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "page": whole("warc-page"), "kind": f["warc-type"],
         "stated": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": whole("warc-refers-to-page"),
         "payload_bytes": None, "payload_digest": None, "valid": None, "segment": whole("warc-segment-number"), "total": whole("warc-segment-total-length"), "block": None,
     }
@@ -177,16 +196,11 @@ def _read(f: dict[str, str], block: bytes) -> dict:
         return row | {"payload_bytes": whole("warc-payload-length"), "payload_digest": row["stated"], "valid": True}
     if row["segment"] is not None:
         return row | {"block": block}
-    try:
-        p = assemble([(1, None, block)])
-        return row | {"payload_bytes": len(p), "payload_digest": digest(p), "valid": digest(p) == row["stated"]}
-    except ValueError:
-        return row | {"valid": False}
+    return row | _checked([(1, None, block)], row["stated"])
 
 
 def _rows(batches):
-    held: list[dict] = []
-    size = 0
+    held, size, schema = [], 0, _arrow(_READ_SQL)
     for b in batches:
         for path in b.column(0).to_pylist():
             fs, where = _store(path)
@@ -194,46 +208,49 @@ def _rows(batches):
                 for f, block in read_records(stream):
                     held.append(_read(f, block))
                     size += len(held[-1]["block"] or b"")
-                    if size > 4_000_000 or len(held) >= 5000:
-                        yield pa.RecordBatch.from_pylist(held, _READ)
+                    if size > 2_000_000 or len(held) >= 2000:
+                        yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, _READ)
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One record's segments: as much as that record holds."""
-    first = pdf.loc[pdf["segment"].idxmin()]
-    try:
-        p = assemble([(int(s), None if pd.isna(t) else int(t), bytes(b)) for s, t, b in zip(pdf["segment"], pdf["total"], pdf["block"])])
-        n, d = len(p), digest(p)
-    except ValueError:
-        n = d = None
-    return pd.DataFrame([{"page": first["page"], "row": first["row"], "kind": first["kind"], "stated": first["stated"], "refers_to": None, "payload_bytes": n, "payload_digest": d, "valid": d is not None and d == first["stated"]}])
+def _joined(batches):
+    """A row for each record from its segments: as much at a time as one record holds."""
+    schema = _arrow(_PAGE_SQL)
+    for b in batches:
+        for at in range(b.num_rows):
+            (parts,) = b.column(0).slice(at, 1).to_pylist()
+            first = min(parts, key=lambda s: s["segment"])
+            row = {k: first[k] for k in ("page", "kind", "stated")} | {"refers_to": None}
+            yield pa.RecordBatch.from_pylist([row | _checked([(s["segment"], s["total"], s["block"]) for s in parts], first["stated"])], schema)
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """page, row, kind, stated, refers_to, payload_bytes, payload_digest, valid of each record of the archives in manifest.path.
+    """page, kind, stated, refers_to, payload_bytes, payload_digest, valid of each record of the archives in manifest.path.
 
     A revisit has the payload length and digest that it states."""
-    rows = written(manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(_rows, _READ_SQL), "warc-records")
-    pages = ["page", "row", "kind", "stated", "refers_to", "payload_bytes", "payload_digest", "valid"]
-    return rows.where("segment is null").select(pages).unionByName(rows.where("segment is not null").groupBy("origin").applyInPandas(_group, _PAGE_SQL))
+    paths = manifest.select("path").repartition(max(1, manifest.count()), "path")
+    rows = written(paths.mapInArrow(_rows, _READ_SQL), "warc-records")
+    parts = rows.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "block", "page", "kind", "stated")).alias("parts"))
+    with small_batches(manifest.sparkSession):
+        joined = written(parts.select("parts").mapInArrow(_joined, _PAGE_SQL), "warc-joined")
+    return rows.where("segment is null").select(_PAGE).unionByName(joined)
 
 
-def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """row, refers_to of each row (page, row, payload): the equal payload of the largest page, null for that page itself and for payloads under least_bytes."""
-    keyed = pages.select("page", "row", F.sha2("payload", 256).alias("key"), F.length("payload").alias("n"))
-    first = keyed.groupBy("key").agg(F.max(F.struct("page", "row")).alias("first"))
-    return keyed.join(first, "key").select("row", F.when((F.col("n") >= least_bytes) & ((F.col("page") != F.col("first.page")) | (F.col("row") != F.col("first.row"))), F.col("first.page")).alias("refers_to"))
+def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """pages (page, url, payload) and refers_to: the largest page of those with an equal payload, null for that page and for payloads under least_bytes."""
+    keyed = pages.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    # only payloads that several rows have: narrow, and pre-aggregated before it's shuffled
+    shared = written(keyed.where(F.length("payload") >= least_bytes).groupBy("key").agg(F.max("page").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top"), "shared-payloads")
+    marked = keyed.join(sized(shared, shared.count()), "key", "left")
+    return marked.select("page", "url", "payload", F.when(F.coalesce(F.col("page") < F.col("top"), F.col("top").isNotNull()), F.col("top")).alias("refers_to"))
 
 
 def roundtrip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, segment_bytes: int = 16_384, archive_bytes: int = 64 << 20) -> DataFrame:
-    """Writes a record per page and reads the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, valid."""
-    spark = pages.sparkSession
-    base = pages.select(F.col(page_id).cast("long").alias("page"), F.xxhash64(page_id, url, html).alias("row"), F.col(url).alias("url"), F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")).alias("payload"))
-    marked = base.join(roles(base, least_bytes).distinct(), "row").dropDuplicates(["row"])
-    manifest = write_archives(marked.select("page", "row", "url", "payload", "refers_to"), new_path(spark, "warc"), segment_bytes, archive_bytes)
+    """Writes a record per row and reads the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, valid."""
+    base = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
+    manifest = write_archives(with_roles(base, least_bytes), new_path(pages.sparkSession, "warc"), segment_bytes, archive_bytes)
     return read_archives(manifest).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "valid")
 
 
@@ -241,6 +258,7 @@ ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), (5 * i) // 4 + 1, 2))::INTEGER >> (3 - (5 * i) % 4)::INTEGER) & 31)), 1)), '') AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+  CASE WHEN coalesce(page_id < top, top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN coalesce(page_id < top, top IS NOT NULL) THEN top END AS refers_to
 FROM p JOIN m USING (h)
 """
