@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 
 from voxstrata.llm.common import written
 
-#: A side of at most so many rows of a few numbers (some tens of MB) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes, by its counted rows and its columns' types, is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+_WIDTHS = {"bigint": 8, "int": 4, "double": 8, "boolean": 1}
+
 
 #: Members of a block that one task's key holds in the search for links between members.
 CHUNK = 1000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast only if its counted rows are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """df, marked for broadcast only if its counted rows are few for their width.  Its columns are numbers, digests and the like."""
+    width = 16 + sum(_WIDTHS.get(kind, 32) for _, kind in df.dtypes)
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,19 +1,20 @@
 """Fuzzy line dedup by MinHash [native].
 
-Equal lines are one node, keyed by their MD5.  A line's signature has two parts.
-Lines of up to ``longest`` characters have MinHash over their ``gram``-character
-shingles, the sets that are compared in the end, in the bands and rows of ``short``.
-Lines of ``shortest`` or more have the ``bands`` smallest hashes of their shingles of
-``shingle`` characters (bottom-k MinHash) that begin at a word, and of those at every
-place where there are few words.  ``shortest`` is so far under ``longest`` that two
-similar lines have a part in common.  Each value is a band: lines that share one are
-candidates, so lines miss each other only if none of the values agrees.  Exact Jaccard similarity of the sets verifies
-candidates.  A band of more than ``most`` lines, as a passage that many lines hold
-makes one, is first tried against its commonest line; unless that connects all, all
-its lines are banded anew, in the bands and rows of ``fine``, ever more selective.
-What is in large bands even after the last of these is joined exactly, by the
-prefixes of the sets in order of rarity, in blocks of at most ``chunk`` lines a
-side, so no pair is left out for the size of its band.  The links' components
+Equal lines are one node, keyed by their MD5.  The distinct lines' shingles of
+``shingle`` characters are hashed by place and aggregated to ``bands`` x ``rows``
+minima a line: minimum k is that of the hashes after an XOR with a constant of its
+own.  The minima of a band make its key, and lines that share one are candidates.
+Lines of ``shortest`` characters or more have enough shingles for a quarter of them,
+those whose hash is in the upper quarter of the range; lines of up to ``longest``
+characters have minima over all of theirs.  Lines between have both sets of keys, so
+two similar lines have one in common.  Exact Jaccard similarity of the lines' sets of
+``gram`` characters verifies candidates.
+
+A band's lines are first tried against its commonest line, then those that this
+doesn't connect against each other.  The lines of bands of more than ``most``, as a
+passage that many lines hold makes them, are joined exactly instead, by the prefixes
+of their sets in order of rarity, in blocks of at most ``chunk`` lines a side: no
+pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
 group, by doc_id and place, is kept.
 
@@ -23,45 +24,53 @@ never compared nor removed: blank lines and single words repeat by chance.
 Defined cases: a null text has no lines; an empty text is one empty line, kept;
 rows that share a doc_id and hold the same line at the same place count as one;
 a null doc_id sorts first; ties go to the smaller doc_id, then place; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows.  Very long lines are as others:
+their shingles are rows that are aggregated as they come.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxstrata.llm.common import written
-from voxstrata.llm.components import apart_in, block_links, components, nodes_of, sized
+from voxstrata.llm.components import apart_in, block_links, components, sized
 
 
-def _shingles(pattern: str, text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
+#: Hashes from here on are the upper quarter of the range; of the long lines' shingles, the first HEAD are used too, for lines that repeat a few shingles.
+QUARTER, HEAD = 1 << 62, 60
 
 
-def bands_of(line: Column, gram: int, bands: int, rows: int) -> Column:
-    """Keys of MinHash bands over all shingles of `gram` characters."""
-    least = lambda g, k: F.array_min(F.transform(g, lambda h: F.xxhash64(h, F.lit(k))))
-    keys = lambda g: F.array(*[F.xxhash64(F.lit(b), *[least(g, b * rows + r) for r in range(rows)]) for b in range(bands)])
-    return F.transform(F.array(F.array_distinct(_shingles(rf"(?s)(?=(.{{{gram}}}))", line))), keys)[0]
+def shingle_rows(lines: DataFrame, size: int, *keep: str) -> DataFrame:
+    """keep, chars (of the line), at, g: a row for the hash of every run of `size` characters of lines (line, ...)."""
+    # four bytes a character, so that a shingle is cut without a walk along the line
+    coded = lines.select(*keep, F.length("line").alias("chars"), F.encode("line", "UTF-32").alias("code"))
+    spread = coded.select(*keep, "chars", "code", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.col("chars") - size, F.lit(0)))).alias("at"))
+    return spread.select(*keep, "chars", "at", F.xxhash64(F.substring("code", F.col("at") * 4 + 1, F.lit(4 * size))).alias("g"))
 
 
-def signature(line: Column, shingle: int, bands: int, gram: int, short: tuple, shortest: int, longest: int) -> Column:
-    """MinHash bands of short lines; up to `bands` smallest hashes of the longer shingles of long ones; both for those between."""
-    least = lambda a: F.slice(F.sort_array(F.array_distinct(a)), 1, bands)
-    by_word = least(_shingles(rf"(?s) (?=(.{{{shingle}}}))", F.concat(F.lit(" "), line)))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    long = F.when(spaces < 8, F.array_union(by_word, least(_shingles(rf"(?s)(?=(.{{{shingle}}}))", line)))).otherwise(by_word)
-    minima = bands_of(line, gram, *short)
-    n = F.length(line)
-    return F.when(n < shortest, minima).when(n <= longest, F.concat(minima, long)).otherwise(long)
+def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int, shortest: int, longest: int) -> DataFrame:
+    """node, rank, keys of distinct lines (node, rank, line); one row or two for each.  Where lines are dealt out by node, nothing is shuffled."""
+    n = F.length("line")
+    kinds = F.array_compact(F.array(F.when(n <= longest, F.lit(0)), F.when(n >= shortest, F.lit(1))))
+    spread = shingle_rows(lines.select("node", "rank", "line", F.explode_outer(kinds).alias("kind")), shingle, "node", "rank", "kind")
+    used = spread.where((F.col("kind") == 0) | (F.col("g") >= QUARTER) | (F.col("at") < HEAD))
+    draw = random.Random(1)
+    # the two upper bits set: hashes of the upper quarter come first under every constant
+    constants = [(draw.getrandbits(62) | 3 << 62) - (1 << 64) for _ in range(bands * rows)]
+    wide = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
+    own = [F.min(F.col("g").bitwiseXOR(F.when(F.col("kind") == 0, F.lit(w)).otherwise(F.lit(c)))).alias(f"m{k}") for k, (w, c) in enumerate(zip(wide, constants))]
+    minima = used.groupBy("node", "kind").agg(F.first("rank").alias("rank"), *own)
+    return minima.select("node", "rank", F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
 def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: float, chunk: int) -> DataFrame:
     """Pairs (a, b) of lines (node, line) that links don't connect, with all those of `similarity` or more among them.
 
     Of any such pair, the rarest shingle of both is in both prefixes, with enough shingles left after it."""
-    spread = written(lines.select("node", F.explode(F.array_distinct(_shingles(rf"(?s)(?=(.{{{gram}}}))", F.col("line")))).alias("g")), "shingles")
+    spread = written(shingle_rows(lines, gram, "node").select("node", "g").distinct(), "shingles")
     often = spread.groupBy("g").agg(F.count("*").alias("f"))
     ordered = spread.join(often, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("s")).withColumn("n", F.size("s"))
     prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
@@ -78,8 +87,12 @@ def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: floa
     return apart_in(pairs, components(links))
 
 
-def _grams(line: Column, gram: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{gram}}}))"), F.lit(1))
+def similar(x: Column, y: Column, gram: int, similarity: float) -> Column:
+    """Whether the Jaccard similarity of two lines' sets of runs of `gram` characters is at least `similarity`."""
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # bound to a lambda's variable, c is made once
+    cut = lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest((F.length(code) / 4).cast("int") - gram, F.lit(0))), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram)))))
+    sets = F.struct(once(F.encode(x, "UTF-32"), cut).alias("x"), once(F.encode(y, "UTF-32"), cut).alias("y"))
+    return once(sets, lambda p: (1 + similarity) * F.size(F.array_intersect(p["x"], p["y"])) + 1e-9 >= similarity * (F.size(p["x"]) + F.size(p["y"])))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
@@ -87,13 +100,14 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
     return rows.withColumn("node", F.when(F.length(F.trim("line")) >= least_chars, F.unhex(F.md5(F.col("line").cast("binary")))))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 16, gram: int = 5, bands: int = 12, short: tuple = (12, 4), shortest: int = 72, longest: int = 96, least_chars: int = 24, most: int = 64, fine: tuple = ((24, 8),), chunk: int = 1000) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, gram: int = 5, shingle: int = 10, bands: int = 14, rows: int = 3, shortest: int = 200, longest: int = 250, least_chars: int = 24, most: int = 64, chunk: int = 1000) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no (of its group's kept line), kept, of every line."""
     lines = _lines(docs, doc_id, text, least_chars)
     long = lines.where(F.col("node").isNotNull())
-    signed = written(lines.select("doc_id", "line_no", "node", F.when(F.col("node").isNotNull(), signature(F.col("line"), shingle, bands, gram, short, shortest, longest)).alias("sig")), "lines")
-    distinct = written(signed.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), (-F.count("*")).alias("rank")), "distinct")
-    blocks = distinct.select("node", "rank", F.explode("sig").alias("key"))
+    signed = written(lines.select("doc_id", "line_no", "node"), "lines")
+    distinct = long.groupBy("node").agg(F.first("line").alias("line"), (-F.count("*")).alias("rank"))
+    keyed = written(band_keys(distinct, shingle, bands, rows, shortest, longest), "bands")
+    blocks = keyed.select("node", "rank", F.explode("keys").alias("key"))
 
     candidates: list[DataFrame] = []
 
@@ -103,29 +117,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         candidates.append(written(long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]), "candidates"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes, n = nodes_of(pairs)
-        texts = candidates[0].join(sized(nodes, n), "node", "left_semi")
-        texts = written(texts.withColumn("n", F.size(F.array_distinct(_grams(F.col("line"), gram)))), "texts")
-        of = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
-        # sets of unlike sizes can't be similar; for the others, the exact similarity
-        both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n"))
-        shared = F.size(F.array_intersect(_grams(F.col("a_line"), gram), _grams(F.col("b_line"), gram)))
-        return both.where((1 + similarity) * shared + 1e-9 >= similarity * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(similar(F.col("a_line"), F.col("b_line"), gram, similarity)).select("a", "b")
 
     links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare)
-    for fine_bands, fine_rows in (*fine, (None, None)):
-        if over is None or not (n := (over := written(over, "over")).count()):
-            break
+    if over is not None and (n := (over := written(over, "over")).count()):
         texts = candidates[0].join(sized(over, n), "node", "left_semi")
-        if fine_bands is None:
-            links = links.unionByName(verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs")))
-            break
-        keyed = texts.select("node", F.explode_outer(bands_of(F.col("line"), gram, fine_bands, fine_rows)).alias("key"))
-        # another leader in each band: a line meets as many of them as it has bands
-        more, over = block_links(written(keyed.select("key", "node", F.xxhash64("key", "node").alias("rank")), "fine"), verify, lambda x, y: F.lit(True), most, linked=links)
-        links = written(links.unionByName(more), "links")
+        links = links.unionByName(verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs")))
     found = components(links)
-    grouped = signed.drop("sig").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    grouped = signed.join(sized(found, found.count()), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     here = F.struct("doc_id", "line_no")
     # written on its own, so that a common line's rows can be split among tasks in the join
     first = written(grouped.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
