@@ -5,8 +5,9 @@ can merge waits in the bucket of its rank, as the position of its left part.
 A two-level bitmap tells which buckets hold positions: the first set bit of the
 summary names a word, the first set bit of that word names the lowest rank.
 A merge changes at most two pairs; positions whose pair has changed since are
-stale and are skipped when they come up.  A pre-token of n bytes thus
-takes O(n) queue steps however long it is.
+stale and are skipped when they come up.  A pre-token of n bytes takes O(n) queue
+steps; a bucket hands out its leftmost position first, so that a step may cost
+O(log n) where very many positions share a rank.
 
 Defined cases: a null text counts as empty, an empty text gives no ids; ids of
 rows may be null or repeat, each row gives one row; other columns are ignored;

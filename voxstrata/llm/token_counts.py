@@ -4,8 +4,10 @@ No piece of the vocabulary crosses a word's start or a line feed, so a text's
 count is the sum of its pre-tokens' counts.  The first tier is a compact table
 of the corpus's most frequent pre-tokens and their lengths, broadcast to all
 workers; what it lacks is encoded once and kept in each worker's bounded cache.
-No pre-token is shuffled for counting; the table itself comes from each
-partition's own most frequent pre-tokens, at most ``per_partition`` of them.
+No pre-token is shuffled: the table comes from one compact table of each partition,
+of its own most frequent pre-tokens, at most ``per_partition`` of them; these tables
+are merged in ``MERGERS`` tasks and then in the driver, which gets at most
+``MERGERS * entries`` entries.
 
 Defined cases: a null text counts as empty, an empty text has 0 tokens; ids may
 be null or repeat, each row gives one row; other columns are ignored; an empty
@@ -18,10 +20,12 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Tasks that merge the partitions' tables.
+MERGERS = 16
 _PARTS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -56,28 +60,53 @@ class Lengths(dict):
         return n
 
 
-def frequent_lengths(docs: DataFrame, model_path: str, text: str = "text", entries: int = 50_000, per_partition: int = 20_000) -> dict[str, int]:
-    """Lengths of the `entries` most frequent pre-tokens of all documents: the driver gets these rows and no more."""
+class Frequent(Counter):
+    """Counts of the most frequent keys; the rest is dropped when there are too many."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def add(self, counts) -> None:
+        self.update(counts)
+        if len(self) > 40 * self.most:
+            kept = self.most_common(10 * self.most)
+            self.clear()
+            self.update(dict(kept))
+
+    def batch(self, chunk: int) -> pa.RecordBatch:
+        """One row: the compact table."""
+        top = sorted(self.items(), key=lambda x: (-x[1], x[0]))[: self.most]
+        lists = pa.array([[k for k, _ in top]], pa.list_(pa.string())), pa.array([[v for _, v in top]], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *lists], ["chunk", "parts", "n"])
+
+
+def frequent_lengths(docs: DataFrame, model_path: str, text: str = "text", entries: int = 50_000, per_partition: int = 10_000) -> dict[str, int]:
+    """Lengths of about the `entries` most frequent pre-tokens of all documents."""
+    schema = "chunk int, parts array<string>, n array<long>"
 
     def count(batches):
-        seen: Counter = Counter()
+        seen = Frequent(per_partition)
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(pretokens(t))
-            if len(seen) > 40 * per_partition:
-                seen = Counter(dict(seen.most_common(10 * per_partition)))
-        top = seen.most_common(per_partition)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["part", "n"])
-
-    def lengths(batches):
-        of = Lengths(model_path, {})
-        for b in batches:
-            parts = b.column(0)
-            yield pa.RecordBatch.from_arrays([parts, pa.array([of[p] for p in parts.to_pylist()], pa.int32())], ["part", "n"])
+                    seen.add(pretokens(t))
+        yield seen.batch(TaskContext.get().partitionId() % MERGERS)
 
-    top = docs.select(text).mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(entries)
-    return {r.part: r.n for r in top.select("part").mapInArrow(lengths, "part string, n int").collect() if len(r.part) <= 64}
+    def merge(batches):
+        seen = Frequent(entries)
+        for b in batches:
+            for parts, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                seen.add(dict(zip(parts, n)))
+        if seen:
+            yield seen.batch(0)
+
+    whole = Frequent(entries)
+    for r in docs.select(text).mapInArrow(count, schema).repartition(MERGERS, "chunk").mapInArrow(merge, schema).collect():
+        whole.add(dict(zip(r.parts, r.n)))
+    of = Lengths(model_path, {})
+    top = sorted(whole.items(), key=lambda x: (-x[1], x[0]))[:entries]
+    return {k: of[k] for k, _ in top if len(k) <= 64}
 
 
 def count_tokens(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 4096, entries: int = 50_000) -> DataFrame:
