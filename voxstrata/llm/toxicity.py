@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels are of documents; the CRF needs labelled tokens.  Tokens of a bounded
-sample of labelled rows (``sample_docs``, by hash of the id) get label 1 where
+sample of labelled rows (at most ``sample_docs`` of them and ``sample_bytes`` of text, by hash of the id) get label 1 where
 the token's odds of lying in a toxic document are high and it is in at least
-``least_share`` of the toxic ones.  Weights of tokens, bias and transitions are
+``least_share`` of the toxic ones, near copies counted once.  Weights of tokens, bias and transitions are
 fitted on the sample's lines; forward-backward gives each token's marginal.  A
 document's score is a logistic function of its largest marginal and of the sum
 of its marginals, fitted on the same sample; offending tokens are those whose
@@ -22,12 +22,15 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxstrata.llm.words import shingles_at
+
 _EDGE = b".,;:!?\"'()[]{}<>*#%&|-_/"
 
 
@@ -117,10 +120,24 @@ def _summed(p: np.ndarray, lengths: np.ndarray, owner: np.ndarray, n: int) -> tu
     return most, total
 
 
+def _apart(cols: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of texts as word numbers: which have none before them, of the same label, with one of four minima of three-word shingles in common."""
+    seen: set[tuple] = set()
+    out = np.ones(len(cols), bool)
+    for k, col in enumerate(cols):
+        if not len(col):
+            continue
+        h = shingles_at(col.astype(np.uint64), 3)
+        keys = {(j, int(y[k]), int((h ^ np.uint64(seed)).min())) for j, seed in enumerate((0, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA, 0x3333333333333333))}
+        out[k] = not keys & seen
+        seen |= keys
+    return out
+
+
 def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share: float = 0.02, odds: float = 20.0, rounds: int = 40) -> Model:
     """Fits the model to a sample of texts with labels; numpy only, in the driver, on a bounded sample."""
     y = np.array(toxic)
-    if len(set(toxic)) < 2:
+    if len(set(toxic)) < 2:  # also without any rows
         return Model({}, 0.0, np.zeros((2, 2)), (0.0, 0.0, 0.0), False)
     ids: dict[bytes, int] = {}
     cols, owners, sizes = [], [], []
@@ -132,10 +149,12 @@ def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share:
     col, owner, lengths = np.concatenate(cols), np.array(owners, np.int64), np.array(sizes, np.int64)
     docs = np.repeat(owner, lengths)
     pair = np.unique(docs * len(ids) + col)
+    pair = pair[_apart(cols, y)[pair // len(ids)]]  # a group of near copies counts once
     d, c = pair // len(ids), pair % len(ids)
     bad, good = np.bincount(c, y[d], len(ids)), np.bincount(c, 1 - y[d], len(ids))
-    share = (bad + 0.5) / (y.sum() + 1) / ((good + 0.5) / ((1 - y).sum() + 1))
-    listed = (share >= odds) & (bad >= max(3, least_share * y.sum()))
+    toxic_docs = len(np.unique(d[y[d] == 1]))
+    share = (bad + 0.5) / (toxic_docs + 1) / ((good + 0.5) / (len(np.unique(d)) - toxic_docs + 1))
+    listed = (share >= odds) & (bad >= max(3, least_share * toxic_docs))
     tags = listed[col] & (y[docs] == 1)
     # weights only of the most frequent tokens and the listed ones
     rank = np.argsort(-(bad + good + 1e9 * listed), kind="stable")[:features]
@@ -173,13 +192,38 @@ def fit(texts: list[str], toxic: list[int], features: int = 50_000, least_share:
     return Model({back[i]: float(x[slot[i]]) for i in rank.tolist()}, float(x[-4]), steps, tuple(map(float, w)))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = 2000, **options) -> Model:
-    """Fits on at most sample_docs labelled rows, up to half of them toxic, chosen by hash of the id."""
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = 2000, sample_bytes: int = 32 << 20, **options) -> Model:
+    """Fits on at most sample_docs labelled rows, up to half of them toxic, chosen by hash of the id, and as many as sample_bytes of text allow."""
     one = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__y"))
     pick = lambda y, n: one.where(F.col("__y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
     chosen = pick(1, sample_docs // 2).unionByName(pick(0, sample_docs // 2))
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).orderBy(F.xxhash64(doc_id), doc_id, text).limit(sample_docs).collect()
-    return fit([r[text] or "" for r in rows], [int(r["__y"]) for r in rows], **options)
+    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    order = [F.xxhash64(doc_id), F.col(doc_id), F.xxhash64(text)]
+    sizes = rows.select(F.xxhash64(doc_id, text).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"), *[c.alias(f"o{k}") for k, c in enumerate(order)]).orderBy("o0", "o1", "o2").limit(sample_docs).select("h", "n").collect()
+    within = [r.h for r, total in zip(sizes, accumulate(r.n for r in sizes)) if total <= sample_bytes]
+    if not within:
+        return fit([], [])
+    ids = docs.sparkSession.createDataFrame([(h,) for h in set(within)], "__h long")  # at most sample_docs numbers
+    got = rows.withColumn("__h", F.xxhash64(doc_id, text)).join(F.broadcast(ids), "__h", "left_semi").orderBy(*order).limit(len(within)).collect()
+    return fit([r[text] or "" for r in got], [int(r["__y"]) for r in got], **options)
+
+
+class Scorer:
+    """Scores of texts by a model; keeps the weights of the words met lately."""
+
+    def __init__(self, model: Model):
+        self.model, self.of = model, Weights(model).__getitem__
+
+    def __call__(self, texts: list[str | None]):
+        """Scores; and of all tokens laid end to end the lines' owners, their lengths and the marginals."""
+        lines, owner = chains(texts)
+        lengths = np.array([len(x) for x in lines], dtype=np.int64)
+        s = np.fromiter((self.of(w) for x in lines for w in x), np.float64, int(lengths.sum()))
+        p = marginals(s, lengths, self.model.steps)
+        most, total = _summed(p, lengths, owner, len(texts))
+        c = self.model.link
+        q = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * most + c[2] * np.log1p(total), -30, 30))) if self.model.fitted else np.zeros(len(texts))
+        return q, owner, lengths, p
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", span_at: float = 0.5, spans: bool = True) -> DataFrame:
@@ -189,19 +233,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("p", pa.float64())]))
 
     def run(batches):
-        m = shipped.value
-        of = Weights(m).__getitem__
+        scorer = Scorer(shipped.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                lines, owner = chains(texts)
-                lengths = np.array([len(x) for x in lines], dtype=np.int64)
-                s = np.fromiter((of(w) for x in lines for w in x), np.float64, int(lengths.sum()))
-                p = marginals(s, lengths, m.steps)
-                most, total = _summed(p, lengths, owner, len(texts))
-                c = m.link
-                q = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * most + c[2] * np.log1p(total), -30, 30))) if m.fitted else np.zeros(len(texts))
+                q, owner, lengths, p = scorer(texts)
                 out = [part.column(0), pa.array(q, pa.float64()), pa.array((q >= 0.5).astype(np.int32), pa.int32())]
                 if spans:
                     out.append(pa.array(_spans(texts, owner, lengths, p, span_at), span))
@@ -211,6 +248,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of docs whose own text scores under 0.5; learns from rows that aren't held out only.  Nothing is shuffled."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, labels.where(~held_out(doc_id)), doc_id, text, label))
+    place = docs.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(shipped.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield part.filter(pa.array(scorer(part.column(place).to_pylist())[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _spans(texts, owner, lengths, p, span_at):
     """Character offsets of the tokens whose marginal is at least span_at."""
     out: list[list[dict]] = [[] for _ in texts]
