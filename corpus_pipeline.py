@@ -1,8 +1,14 @@
 """The corpus pipeline: each stage takes what the one before it kept.
 
 Stages, in order: toxic documents go; duplicate lines go; of each group of linked
-documents the smallest doc_id stays; documents that hold a benchmark item go;
-what is left is encoded by byte-level BPE and decoded again.
+documents the one of the smallest doc_id stays; documents that hold a benchmark item
+go; what is left is encoded by byte-level BPE and decoded again.
+
+Defined cases, of all stages: each row is judged by its own text, also where its
+doc_id is null or that of other rows; rows with null or empty texts are clean, hold
+nothing and stay; other columns are kept as they are; an empty table stays empty.
+Where doc_ids repeat or are null, rows are told apart by numbers, of which the
+smaller one goes before.
 """
 
 from __future__ import annotations
@@ -11,31 +17,36 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from voxstrata.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
-from voxstrata.llm.common import table, written
+from voxstrata.llm.common import table, with_key, written
+from voxstrata.llm.components import sized
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents scored under 0.5 stay; learnt from the labels of documents that are still here and aren't held out."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(docs.columns)
+    """Rows scored under 0.5 stay; learnt from the labels of documents that are still here and aren't held out."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark, docs, sf_dir):
-    """Texts without their duplicate lines, n_chars with them; a document that loses all its lines goes."""
-    out = line_dedup.without_duplicates(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Texts without their duplicate lines, n_chars (if there is one) with them; a row that loses all its lines but blank ones goes."""
+    keyed, key = with_key(docs, "doc_id")
+    out = line_dedup.without_duplicates(keyed, key)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of documents linked by shared shingles of five words, at a similarity of 0.8, the smallest doc_id stays."""
-    groups = ngram_join.link_documents(docs, size=5, per_cent=80)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of rows linked by shared shingles of five words, at a similarity of 0.8, the one of the smallest doc_id stays."""
+    keyed, key = with_key(docs, "doc_id")
+    groups = ngram_join.link_documents(keyed, size=5, per_cent=80, doc_id=key)
+    copies = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "copies")
+    return keyed.join(sized(copies, copies.count()), key, "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Documents that hold no benchmark item stay."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item stay."""
+    keyed, key = with_key(docs, "doc_id")
+    return decontaminate.clean(keyed, table(spark, sf_dir, "benchmark"), key).select(docs.columns)
 
 
 def encode(spark, docs, sf_dir):

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_key(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df and the name of a column that tells its rows apart: key itself, or the number of the row in a written copy where key repeats or is null."""
+    if df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        return df, key
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"

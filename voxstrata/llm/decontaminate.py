@@ -93,5 +93,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(bad, doc_id, "left_anti").select(docs.columns)
+    bad = written(contaminated(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "leaks")
+    return docs.join(sized(bad, bad.count()), doc_id, "left_anti").select(docs.columns)
