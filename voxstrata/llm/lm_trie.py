@@ -241,7 +241,9 @@ class Level:
         if not len(inside):
             return
         local = ctx[inside] - base
-        uniq, inv = np.unique(local, return_inverse=True)
+        new = np.ones(len(local), bool)  # contexts come in order
+        new[1:] = local[1:] != local[:-1]
+        uniq, inv = local[new], np.cumsum(new) - 1
         ef = {k: a[k] for k in ("low", "high", "rank", "meta")}
         lo, hi = ef_get(ef, uniq)[inv], ef_get(ef, uniq + 1)[inv]
         back[inside] = np.where(hi > lo, a["back_book"][a["back"][local]], 0.0)
@@ -257,11 +259,18 @@ class Level:
         prob[inside[hit]] = a["prob_book"][a["probs"][at]]
 
     def counts_of(self, pos: np.ndarray) -> np.ndarray:
+        return self._of(pos, "counts")
+
+    def words_of(self, pos: np.ndarray) -> np.ndarray:
+        """The last words of the n-grams at the positions."""
+        return self._of(pos, "words")
+
+    def _of(self, pos: np.ndarray, name: str) -> np.ndarray:
         out = np.zeros(len(pos), np.int64)
         for s in self.shards:
             m = (pos >= s.offset) & (pos < s.offset + s.size)
             if m.any():
-                out[m] = load(s.path)["counts"][pos[m] - s.offset]
+                out[m] = load(s.path)[name][pos[m] - s.offset]
         return out
 
 
@@ -383,8 +392,10 @@ def _columns(batches) -> list[np.ndarray]:
     return [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(held[0].num_columns)] if held else []
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2, least: int = 2, discount: float = 0.7, per_shard: int = 2_000_000) -> Trie:
-    """Counts and builds the trie of the texts of docs."""
+def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 2, discount: float = 0.7, per_shard: int = 1_000_000) -> Trie:
+    """Counts and builds the trie of the texts of docs, of n-grams of up to `order` words (1 to 3)."""
+    if not 1 <= order <= 3:
+        raise ValueError("order is 1, 2 or 3")
     with small_batches(docs.sparkSession):
         return _train(docs.select(text), order, least, discount, per_shard)
 
@@ -434,18 +445,15 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         codes, held, n = Codes(trie.vocabulary), [], 0
 
         def merged():
-            """Equal keys summed.  prev is a function of the context; for two words it is the context itself."""
-            if k == 1 and not wide:
-                keys, m = np.unique(np.concatenate([h[0] * span + h[1] for h in held]), return_counts=True)
+            """Equal keys summed."""
+            c, w = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+            if not wide:
+                keys, m = np.unique(c * span + w, return_counts=True)
                 return [keys // span, keys % span, m]
-            c, w, m = (np.concatenate(x) for x in zip(*((h[0], h[1], h[-1]) for h in held)))
-            o = np.lexsort((w, c)) if wide else np.argsort(c * span + w, kind="stable")
-            c, w, m = c[o], w[o], m[o]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-            at = np.nonzero(new)[0]
-            rest = [np.concatenate([h[2] for h in held])[o][at]] if k > 1 else []
-            return [c[at], w[at], *rest, np.add.reduceat(m, at) if len(at) else m]
+            o = np.lexsort((w, c))
+            c, w = c[o], w[o]
+            at = np.nonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[0] if len(c) else o
+            return [c[at], w[at], np.diff(np.append(at, len(c)))]
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names)
@@ -462,7 +470,7 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
                     use, ctx = t.next
                     inside = np.isin(use, kept, assume_unique=True)
                     use, ctx = use[inside], ctx[inside]
-                held.append([ctx, t.ids[use], *([t.before[use]] if k > 1 else []), np.ones(len(use), np.int64)])
+                held.append((ctx, t.ids[use]))
                 n += len(use)
                 if n > 1_500_000:
                     yield out()
@@ -470,20 +478,20 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         if held:
             yield out()
 
-    names = ["ctx", "w", *(["prev"] if k > 1 else []), "c"]
+    names = ["ctx", "w", "c"]
     span = trie.vocabulary.size + 1
     wide = (trie.vocabulary.size if k == 1 else sum(s.size for s in trie.levels[-1].shards)) * span >= 2**63  # then keys don't fit one number
-    prev = [F.max("prev").alias("prev")] if k > 1 else []
-    grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(*prev, F.sum("c").alias("c"))
+    grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(F.sum("c").alias("c"))
     kept = written(grams.where(F.col("c") >= least), f"grams{k + 1}")
-    mass = kept.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass"))
-    rows = kept.join(mass, "ctx").select("ctx", "w", "c", "mass", *(["prev"] if k > 1 else []))
+    # written on its own: the rows of a context with very many words can then be split among tasks in the join
+    mass = written(kept.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass")), "mass")
+    rows = kept.join(mass, "ctx").select("ctx", "w", "c", "mass")
 
     def write(batches):
         cols = _columns(batches)
         if not cols or not len(cols[0]):
             return
-        ctx, w, c, mass, *prev = cols
+        ctx, w, c, mass = cols
         if k == 1:
             total = np.where(ctx == trie.vocabulary.size, trie.starts, trie.vocabulary.counts_of(np.minimum(ctx, trie.vocabulary.size - 1)))
         else:
@@ -492,7 +500,7 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         rest = np.maximum(1 - mass / total, 1e-6)
         lower = trie.vocabulary.log10(trie.vocabulary.counts_of(w))
         if k > 1:  # of the same word after the context without its first word; that n-gram was kept too
-            pos, prob, back = trie.levels[0].find(prev[0], w)
+            pos, prob, back = trie.levels[0].find(trie.levels[0].words_of(ctx), w)
             lower = np.where(pos >= 0, prob, back + lower)
         prob = np.log10((c - discount) / total + rest * 10.0**lower)
         base, span = int(ctx[0]), int(ctx[-1] - ctx[0]) + 1
@@ -534,6 +542,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     trie = train(docs.where(~held_out()), order=order)
     return score(docs, trie).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
