@@ -399,6 +399,92 @@ def test_decontamination_whatever_the_letter_case(spark):
     assert set(got) == {0, 1, 3, 4} and got[1].reparameterised and not got[0].reparameterised
 
 
+def test_decontamination_with_names_and_units_of_other_lengths(spark):
+    item = "every day the ferry to Berlin carries 40 tons of salt over 120 km of open water, and then Paris gets half of what Berlin has got"
+    b = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    sub = lambda *pairs: __import__("functools").reduce(lambda t, p: t.replace(*p), pairs, item)
+    texts = [
+        sub(("Berlin", "New York"), ("40", "1,500")),
+        sub(("Berlin", "Rio de Janeiro"[:3])),
+        sub(("Berlin", "San Francisco Bay Area"), ("Paris", "Le Havre"), ("120 km", "75km per hour")),
+        sub(("to Berlin", "to New York"), ("what Berlin", "what San Diego")),  # one name for two
+        "<p> <n> 3 " + sub(("Berlin", "Oslo")),
+        item.replace("over", "under some bridges and over").replace("what Berlin", "what Madrid"),  # two alignments that contradict each other
+        "word " * 30_000 + sub(("Berlin", "Oslo")),
+        None,
+        "",
+    ]
+    rows = docs(spark, texts + [texts[0]], [*range(9), 0]).withColumns({c: F.lit(1) for c in ("form", "item_id", "hash", "shift")})
+    got = {r.doc_id: r for r in decontaminate.contaminated(rows, b).collect()}
+    assert set(got) == {0, 1, 2, 4, 6} and all(r.reparameterised for r in got.values())
+
+
+def brute_leaks(documents, items, window=5, similarity=0.8):
+    """(doc_id, item_id) by a walk over all pairs: templates, windows by place, slots by place, alignments one by one."""
+    import regex
+
+    unit = "(?:" + "|".join(sorted(decontaminate.UNITS, key=len, reverse=True)) + ")"
+    units = unit + "(?:(?: per |[ /])" + unit + r")*(?![\p{L}\p{N}])"
+    name = r"\p{Lu}\p{L}[\p{L}'’-]*"
+
+    def words(text, names):
+        """Template words, each with its values."""
+        text = (text if names else text.lower()).replace("<", " ").replace(">", " ")
+        found = [(m.start(), m.end(), m.lastgroup) for m in regex.finditer(rf"(?<n>[0-9]+(?:[.,:/][0-9]+)*)|(?<=[0-9])(?<u> ?{units})" + rf"|(?<=[\p{{Ll}}0-9,;%] )(?<p>{name}(?: {name})*)" * names, text)]
+        out, at, values = "", 0, []
+        for a, z, kind in found:
+            out += text[at:a] + (" <u>" if kind == "u" else f"<{kind}>")
+            values.append(regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", text[a:z].lower()))
+            at = z
+        out = (out + text[at:]).lower()
+        out = regex.sub(r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "", out)
+        values, res = iter(values), []
+        for w in regex.split("[ \t\n\r\x0b\x0c]+", out.strip(" \t\n\r\x0b\x0c")):
+            res.append((w, [next(values) for _ in range(w.count("<"))]))
+        return res if res != [("", [])] else []
+
+    cut = lambda ws: [tuple(w for w, _ in ws[i : i + window]) for i in range(max(1, len(ws) - window + 1))] if ws else []
+    out = set()
+    for names in (True, False):
+        its = {i: words(t, names) for i, t in items if t}
+        where = {}
+        for i, ws in its.items():
+            for k, x in enumerate(cut(ws)):
+                where.setdefault(x, []).append((i, k))
+        for d, t in documents:
+            ws, met = words(t or "", names), {}
+            for at, x in enumerate(cut(ws)):
+                for i, k in where.get(x, ()):
+                    met.setdefault(i, {}).setdefault(at - k, {})[k] = x
+            for i, shifts in met.items():
+                maps = {}
+                for s, hit in shifts.items():
+                    one = {}
+                    for k in {k + j for k in hit for j in range(window) if k + j < len(its[i])}:
+                        for a, b in zip(its[i][k][1], ws[k + s][1]):
+                            one.setdefault(a, set()).add(b)
+                    if all(len(v) == 1 for v in one.values()):
+                        maps[s] = one
+                if not maps:
+                    continue
+                top = maps[max(maps, key=lambda s: (len(set(shifts[s].values())), -s))]
+                have = {x for s, one in maps.items() if all(top.get(a, v) == v for a, v in one.items()) for x in shifts[s].values()}
+                if len(have) >= similarity * len(set(cut(its[i]))):
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    t = "/root/testdata/sf0.001"
+    documents, items = spark.read.parquet(f"{t}/documents.parquet"), spark.read.parquet(f"{t}/benchmark.parquet")
+    # every item once more with other numbers and names, some in capitals
+    more = [(10_000 + r.item_id, "so " + (r.text.upper() if r.item_id % 3 else r.text.replace("1", "7").replace("2", "85")) + " and more") for r in items.collect()]
+    documents = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = brute_leaks([(r.doc_id, r.text) for r in documents.collect()], [(r.item_id, r.text) for r in items.collect()])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, items).collect()}
+    assert got == want and len(got) > 40
+
+
 WEIRD = ["", None, " ", "\n", "a  b\n\nc", "▁ x ▁", "don't we'll", "\x1c\x1d\x85 ​　x", "日本語 テキスト", "😀😀", "a" * 30_000, " " * 5000 + "x", "\x00y", "<s> </s> <|endoftext|>"]
 
 

@@ -1,22 +1,30 @@
 """Benchmark decontamination by template canonicalisation [native].
 
 Numbers, units and names are replaced with typed placeholders, so that a question
-with other parameters has the same template.  Windows of ``window`` words of the
+with other parameters has the same template; a unit or name of several words is one
+placeholder.  Windows of ``window`` words of the
 documents' templates are hash-joined with those of the benchmark's.  Windows of a
 pair that lie at the same shift are one alignment; it counts only if its slots
-are consistent: each value of a benchmark slot stands for one value throughout.
+are consistent: each value of a benchmark slot stands for one value throughout, and
+for no other one than in the alignment with the most windows.
 A document holds an item if consistent alignments cover at least ``similarity``
 of the item's distinct windows.  All this is done for two forms of the texts: the
 whole template, and one made of the text in lower case, without names, as names
 can't be told from other words in a text in capitals; either will do.
 
+A capitalised word is a name only after a small letter, a number, a comma or a
+semicolon: one that begins a sentence is a word like others, so where it is changed
+the windows that hold it are lost.  An item of fewer words than a window is one window,
+which a document holds only if it is as short.
+
 The benchmark's windows are broadcast only when counted few; beyond that the
 join is shuffled.
 
 Defined cases: null and empty texts have no windows; a text shorter than a window
 is one window; repeated rows and items give pairs as often as distinct (doc_id,
-item_id) pairs; null ids give no pair; other columns are ignored; empty tables
-give no rows.
+item_id) pairs; the texts of rows that share a doc_id count together; ties between
+alignments go to the smaller shift; null ids give no pair; other columns are ignored;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,18 +39,42 @@ from voxstrata.llm.components import sized
 UNITS = "km kg mg cm mm ml mph kmh m g l s h %".split() + "meter meters metre metres mile miles foot feet inch inches pound pounds ounce ounces gram grams liter liters hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
 
 
+_UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
+_UNITS = rf"{_UNIT}(?:(?: per |[ /]){_UNIT})*(?![\p{{L}}\p{{N}}<])"
+_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+_NAME = r"\p{Lu}\p{L}[\p{L}'’-]*"
+_NAMES = f"{_NAME}(?: {_NAME})*"
+
+
+def _plain(text: Column, names: bool) -> Column:
+    """The text without what looks like a placeholder; without names, in lower case."""
+    return F.translate(text if names else F.lower(text), "<>", "  ")
+
+
 def template(text: Column, names: bool = True) -> Column:
-    """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends; words stay one to one.
+    """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends.
 
     Without names there is no <p>, and letter case makes no difference."""
-    t = text if names else F.lower(text)
-    t = F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", "<n>")
-    t = F.regexp_replace(t, rf"(?<=<n> {{0,1}})(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", "<u>")
+    t = F.regexp_replace(_plain(text, names), _NUMBER, "<n>")
+    t = F.regexp_replace(t, rf"(?<=<n>) ?{_UNITS}", " <u>")
     if names:
-        t = F.regexp_replace(t, r"(?<=[\p{Ll}0-9,;>] )\p{Lu}\p{L}[\p{L}'’-]*", "<p>")
+        t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}0-9,;>] ){_NAMES}", "<p>")
     return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
 
 
+def slot_values(text: Column, names: bool = True) -> Column:
+    """What the template's placeholders stand for, in order."""
+    return F.regexp_extract_all(_plain(text, names), F.lit(rf"{_NUMBER}|(?<=[0-9]) ?{_UNITS}" + rf"|(?<=[\p{{Ll}}0-9,;%] ){_NAMES}" * names), F.lit(0))
+
+
+def slots(text: Column, names: bool = True) -> Column:
+    """(word, nth, value) of each placeholder: the template's word that it is in, and which of that word's it is."""
+    count = lambda w: F.length(w) - F.length(F.replace(w, F.lit("<"), F.lit("")))
+    places = F.transform(word_list(template(text, names)), lambda w, i: F.transform(F.array_repeat(i, count(w)), lambda i, k: F.struct(i.alias("word"), k.alias("nth"))))
+    bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.transform(F.arrays_zip(F.flatten(places).alias("at"), slot_values(text, names).alias("value")), lambda s: F.struct(s["at"]["word"].alias("word"), s["at"]["nth"].alias("nth"), bare(s["value"]).alias("value")))
+
+
 def word_list(text: Column) -> Column:
     return F.split(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")), " +")
 
@@ -72,21 +104,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     likely = hits.groupBy("form", "doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sized(sizes, n), ["form", "item_id"]).where(F.col("n") >= similarity * F.col("item_windows")).select("form", "doc_id", "item_id", "item_windows")
     likely = written(likely, "likely")
     m = likely.count()
-    near = hits.join(sized(likely, m), ["form", "doc_id", "item_id"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    # the words of the documents and items in play, by place
-    # written, so that templates are made of these texts alone
+    pair = ["form", "doc_id", "item_id"]
+    near = written(hits.join(sized(likely, m), pair).withColumn("shift", F.col("doc_at") - F.col("item_at")), "near")
+    # the placeholders of the documents and items in play; these are written, so that templates are made of their texts alone
     pick = lambda df, key: written(df.join(sized(likely.select(key).distinct(), m), key, "left_semi"), "texts")
-    plain = lambda df, key, names: df.select(key, F.arrays_zip(word_list(F.col("text")).alias("word"), word_list(template(F.col("text"), names)).alias("slot")).alias("w"))
-    bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    slots = lambda df, key, at, out: both(lambda names: plain(df, key, names).select(key, F.posexplode("w").alias(at, "w")).where(F.col("w.slot").contains("<")).select(key, at, bare(F.col("w.word")).alias(out)))
-    item_slots = slots(pick(texts, "item_id"), "item_id", "item_word", "item_value")
-    doc_slots = slots(pick(source, "doc_id"), "doc_id", "doc_word", "doc_value")
-    covered = near.select("form", "doc_id", "item_id", "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + (window - 1))).alias("item_word")).distinct()
-    paired = covered.join(item_slots, ["form", "item_id", "item_word"]).withColumn("doc_word", F.col("item_word") + F.col("shift")).join(doc_slots, ["form", "doc_id", "doc_word"])
-    values = paired.groupBy("form", "doc_id", "item_id", "shift", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.count("*").alias("slots"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("other"))
-    judged = values.groupBy("form", "doc_id", "item_id", "shift").agg(F.max("values").alias("values"), F.sum("slots").alias("slots"), F.max("other").alias("other"))
-    found = near.join(judged, ["form", "doc_id", "item_id", "shift"], "left").where(F.coalesce("values", F.lit(1)) <= 1)
-    out = found.groupBy("form", "doc_id", "item_id", "item_windows").agg(F.countDistinct("hash").alias("n"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"), (F.coalesce(F.min(F.coalesce("other", F.lit(0))), F.lit(0)) > 0).alias("reparameterised"))
+    placed = lambda df, key, out: both(lambda names: df.select(key, F.explode(slots(F.col("text"), names)).alias("s")).select(key, F.col("s.word").alias(f"{out}_word"), "s.nth", F.col("s.value").alias(f"{out}_value")))
+    item_slots, doc_slots = placed(pick(texts, "item_id"), "item_id", "item"), placed(pick(source, "doc_id"), "doc_id", "doc")
+    covered = near.select(*pair, "shift", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + (window - 1))).alias("item_word")).distinct()
+    paired = covered.join(item_slots, ["form", "item_id", "item_word"]).withColumn("doc_word", F.col("item_word") + F.col("shift")).join(doc_slots, ["form", "doc_id", "doc_word", "nth"])
+    values = written(paired.groupBy(*pair, "shift", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.min("doc_value").alias("doc_value"), F.count("*").alias("slots"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("other")), "slot-values")
+    judged = values.groupBy(*pair, "shift").agg(F.max("values").alias("values"), F.sum("slots").alias("slots"), F.max("other").alias("other"))
+    sound = written(near.join(judged, [*pair, "shift"], "left").where(F.coalesce("values", F.lit(1)) <= 1), "sound")
+    # the alignment with the most windows says what each value stands for; those that contradict it don't count
+    most = sound.groupBy(*pair, "shift").agg(F.countDistinct("hash").alias("n")).groupBy(*pair).agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    said = values.join(most, [*pair, "shift"]).select(*pair, "item_value", F.col("doc_value").alias("said"))
+    against = values.join(said, [*pair, "item_value"]).where("doc_value <> said").select(*pair, "shift").distinct()
+    found = sound.join(against, [*pair, "shift"], "left_anti")
+    out = found.groupBy(*pair, "item_windows").agg(F.countDistinct("hash").alias("n"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"), (F.coalesce(F.min(F.coalesce("other", F.lit(0))), F.lit(0)) > 0).alias("reparameterised"))
     held = out.where(F.col("n") >= similarity * F.col("item_windows")).groupBy("doc_id", "item_id").agg(F.min(F.struct("form", (F.col("n") / F.col("item_windows")).alias("coverage"), "n_slots", "reparameterised")).alias("o"))
     return held.select("doc_id", "item_id", "o.coverage", "o.n_slots", "o.reparameterised")
 
