@@ -343,7 +343,7 @@ def edited(rng, line, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("low,high", [(24, 36), (36, 72), (72, 400)])
+@pytest.mark.parametrize("low,high", [(24, 36), (36, 72), (72, 140), (90, 400), (380, 900)])
 def test_line_dedup_recall_by_length(spark, low, high):
     rng = random.Random(low)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8)))
@@ -359,7 +359,7 @@ def test_line_dedup_recall_by_length(spark, low, high):
 
 @pytest.mark.parametrize("chunk", [3, 1000])
 def test_line_dedup_large_bands(spark, chunk):
-    """A passage that all lines hold, chains of lines where only neighbours are alike: groups equal brute force, whatever the bands' size."""
+    """A passage that all lines hold, chains of lines where only neighbours are alike, near copies: groups equal brute force, whatever the bands' size."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
     passage, lines = " ".join(word() for _ in range(12)), []
@@ -368,12 +368,18 @@ def test_line_dedup_large_bands(spark, chunk):
         for k in range(4):
             w[k] = word()
             lines.append(passage + " " + " ".join(w))
+    for _ in range(12):
+        w = passage.split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = word()
+        lines.append(" ".join(w))
+    lines += ["=" * 300, "=" * 290, "ab " * 200, "=" * 90 + " " + "=" * 90, "ab " * 230]
     up = list(range(len(lines)))
     for i in range(len(lines)):
         for j in range(i):
             if gram_jaccard(lines[i], lines[j]) >= 0.8 and up[i] != up[j]:
                 up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
-    assert 8 <= len(set(up)) < 20
+    assert 8 <= len(set(up)) < 30
     got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, lines), most=2, chunk=chunk).collect()}
     assert [got[i] for i in range(len(lines))] == up
 

@@ -4,15 +4,15 @@ Equal lines are one node, keyed by their MD5.  The distinct lines' shingles of
 ``shingle`` characters are hashed by place and aggregated to ``bands`` x ``rows``
 minima a line: minimum k is that of the hashes after an XOR with a constant of its
 own.  The minima of a band make its key, and lines that share one are candidates.
-Lines of ``shortest`` characters or more have enough shingles for a quarter of them,
-those whose hash is in the upper quarter of the range; lines of up to ``longest``
-characters have minima over all of theirs.  Lines between have both sets of keys, so
-two similar lines have one in common.  Exact Jaccard similarity of the lines' sets of
-``gram`` characters verifies candidates.
+Long lines have shingles enough for a share of them: of kind k, whose hashes are in a
+range that holds 1 in 4 ** k.  A line has the minima of each kind that its length is in
+``KINDS`` for; these lengths overlap, so two similar lines have a kind in common.
+Exact Jaccard similarity of the lines' sets of ``gram`` characters verifies candidates.
 
 A band's lines are first tried against its commonest line, then those that this
-doesn't connect against each other.  The lines of bands of more than ``most``, as a
-passage that many lines hold makes them, are joined exactly instead, by the prefixes
+doesn't connect against each other.  In bands of more than ``most`` lines, as a
+passage that many lines hold makes them, these are tried against the lines that are
+connected with the commonest one, and joined among themselves by the prefixes
 of their sets in order of rarity, in blocks of at most ``chunk`` lines a side: no
 pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
@@ -39,8 +39,10 @@ from voxstrata.llm.common import written
 from voxstrata.llm.components import apart_in, block_links, components, sized
 
 
-#: Hashes from here on are the upper quarter of the range; of the long lines' shingles, the first HEAD are used too, for lines that repeat a few shingles.
-QUARTER, HEAD = 1 << 62, 60
+#: Kinds of minima: the lengths of the lines that have them, in characters.  Each has some 25 shingles or more.
+KINDS = ((0, 125), (100, 500), (400, 1 << 31))
+#: Of a long line's shingles, so many are used whatever their hashes, for lines that repeat a few shingles.
+HEAD = 40
 
 
 def shingle_rows(lines: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -51,18 +53,22 @@ def shingle_rows(lines: DataFrame, size: int, *keep: str) -> DataFrame:
     return spread.select(*keep, "chars", "at", F.xxhash64(F.substring("code", F.col("at") * 4 + 1, F.lit(4 * size))).alias("g"))
 
 
-def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int, shortest: int, longest: int) -> DataFrame:
-    """node, rank, keys of distinct lines (node, rank, line); one row or two for each.  Where lines are dealt out by node, nothing is shuffled."""
+def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """node, rank, keys of distinct lines (node, rank, line); a row for each of the line's kinds.  Where lines are dealt out by node, nothing is shuffled."""
     n = F.length("line")
-    kinds = F.array_compact(F.array(F.when(n <= longest, F.lit(0)), F.when(n >= shortest, F.lit(1))))
+    kinds = F.array_compact(F.array(*[F.when(n.between(*ends), F.lit(k)) for k, ends in enumerate(KINDS)]))
     spread = shingle_rows(lines.select("node", "rank", "line", F.explode_outer(kinds).alias("kind")), shingle, "node", "rank", "kind")
-    used = spread.where((F.col("kind") == 0) | (F.col("g") >= QUARTER) | (F.col("at") < HEAD))
+    g, kind = F.col("g"), F.col("kind")
+    # the ranges: the upper bits of hashes that kind 1, or 2, goes by
+    two, four = F.shiftrightunsigned(g, 62) == 1, F.shiftrightunsigned(g, 60) == 7
+    used = spread.where((kind == 0) | (two & ((kind == 1) | four)) | (F.col("at") < HEAD))
+    # all are spread over the range of kind 2, which the constants are made for: its hashes come first; what isn't in its kind's range comes after
+    rest, top = F.shiftrightunsigned(g, 4), F.lit(7 << 60)
+    brought = F.when(kind == 0, rest.bitwiseOR(top)).when((kind == 1) & two, F.shiftrightunsigned(g.bitwiseAND(F.lit((1 << 62) - 1)), 2).bitwiseOR(top)).when(four, g).otherwise(rest)
+    hashed = used.select("node", "rank", "kind", brought.alias("g"))
     draw = random.Random(1)
-    # the two upper bits set: hashes of the upper quarter come first under every constant
-    constants = [(draw.getrandbits(62) | 3 << 62) - (1 << 64) for _ in range(bands * rows)]
-    wide = [draw.getrandbits(64) - (1 << 63) for _ in range(bands * rows)]
-    own = [F.min(F.col("g").bitwiseXOR(F.when(F.col("kind") == 0, F.lit(w)).otherwise(F.lit(c)))).alias(f"m{k}") for k, (w, c) in enumerate(zip(wide, constants))]
-    minima = used.groupBy("node", "kind").agg(F.first("rank").alias("rank"), *own)
+    constants = [draw.getrandbits(60) - (1 << 60) for _ in range(bands * rows)]  # the four upper bits set
+    minima = hashed.groupBy("node", "kind").agg(F.first("rank").alias("rank"), *[F.min(F.col("g").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(constants)])
     return minima.select("node", "rank", F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
@@ -87,12 +93,14 @@ def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: floa
     return apart_in(pairs, components(links))
 
 
-def similar(x: Column, y: Column, gram: int, similarity: float) -> Column:
-    """Whether the Jaccard similarity of two lines' sets of runs of `gram` characters is at least `similarity`."""
-    once = lambda c, f: F.transform(F.array(c), f)[0]  # bound to a lambda's variable, c is made once
-    cut = lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest((F.length(code) / 4).cast("int") - gram, F.lit(0))), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram)))))
-    sets = F.struct(once(F.encode(x, "UTF-32"), cut).alias("x"), once(F.encode(y, "UTF-32"), cut).alias("y"))
-    return once(sets, lambda p: (1 + similarity) * F.size(F.array_intersect(p["x"], p["y"])) + 1e-9 >= similarity * (F.size(p["x"]) + F.size(p["y"])))
+def _once(c: Column, f) -> Column:
+    """f(c), with c made once: it is bound to a lambda's variable."""
+    return F.transform(F.array(c), f)[0]
+
+
+def grams(line: Column, gram: int) -> Column:
+    """Hashes of the line's runs of `gram` characters, by place."""
+    return _once(F.encode(line, "UTF-32"), lambda code: F.transform(F.sequence(F.lit(0), F.greatest((F.length(code) / 4).cast("int") - gram, F.lit(0))), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram)))))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
@@ -100,13 +108,13 @@ def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFra
     return rows.withColumn("node", F.when(F.length(F.trim("line")) >= least_chars, F.unhex(F.md5(F.col("line").cast("binary")))))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, gram: int = 5, shingle: int = 10, bands: int = 14, rows: int = 3, shortest: int = 200, longest: int = 250, least_chars: int = 24, most: int = 64, chunk: int = 1000) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, gram: int = 5, shingle: int = 10, bands: int = 12, rows: int = 3, least_chars: int = 24, most: int = 64, chunk: int = 1000) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no (of its group's kept line), kept, of every line."""
     lines = _lines(docs, doc_id, text, least_chars)
     long = lines.where(F.col("node").isNotNull())
     signed = written(lines.select("doc_id", "line_no", "node"), "lines")
     distinct = long.groupBy("node").agg(F.first("line").alias("line"), (-F.count("*")).alias("rank"))
-    keyed = written(band_keys(distinct, shingle, bands, rows, shortest, longest), "bands")
+    keyed = written(band_keys(distinct, shingle, bands, rows), "bands")
     blocks = keyed.select("node", "rank", F.explode("keys").alias("key"))
 
     candidates: list[DataFrame] = []
@@ -114,16 +122,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     def prepare(nodes: DataFrame) -> None:
         """The texts of all lines that share a band, once: the documents aren't read again for pairs."""
         nodes = written(nodes, "nodes")
-        candidates.append(written(long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]), "candidates"))
+        texts = long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"])
+        candidates.append(written(texts.withColumn("n", F.size(F.array_distinct(grams(F.col("line"), gram)))), "candidates"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(similar(F.col("a_line"), F.col("b_line"), gram, similarity)).select("a", "b")
-
-    links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare)
+        """a, b, far (Jaccard distance) of the pairs whose sets' sizes don't rule a link out."""
+        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n"))
+        shared = F.size(F.array_intersect(grams(F.col("a_line"), gram), grams(F.col("b_line"), gram)))
+        return both.select("a", "b", _once(shared, lambda s: 1 - s / (F.col("a_n") + F.col("b_n") - s)).alias("far"))
+
+    reach = 1 - similarity + 1e-12
+    links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare, reach)
     if over is not None and (n := (over := written(over, "over")).count()):
         texts = candidates[0].join(sized(over, n), "node", "left_semi")
-        links = links.unionByName(verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs")))
+        more = verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs"))
+        links = written(links.unionByName(more.where(F.col("far") <= reach).select("a", "b")), "links")
     found = components(links)
     grouped = signed.join(sized(found, found.count()), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     here = F.struct("doc_id", "line_no")
