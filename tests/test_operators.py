@@ -113,7 +113,7 @@ def test_boxes_touching_at_a_face(spark):
 
 def test_knn_far_apart_and_ties(spark):
     p = spark.createDataFrame([(1, 0, 0, 0), (2, 500, 0, 0), (3, 0, 2, 0), (4, 0, -2, 0)], "id int, x int, y int, z int")
-    got = {(r.id, r.rank): r.nn for r in spatial.knn(p, p, 2, 4, same=True).collect()}
+    got = {(r.id, r.rank): r.nn for r in spatial.knn(p, p, 2, same=True).collect()}
     assert got[1, 1] == 3 and got[1, 2] == 4 and got[2, 1] == 1 and got[2, 2] == 3
 
 

@@ -76,9 +76,11 @@ def extent(tiles: DataFrame) -> DataFrame:
     return tiles.agg(*[F.min(f"o{a}").alias(f"lo_{a}") for a in AXES], *[(F.max(F.col(f"o{a}") + F.col(f"n{a}")) - F.min(f"o{a}")).alias(f"n_{a}") for a in AXES])
 
 
-def label_balance(classed: DataFrame, slab: str, classes: int, clip_min: float = 0.05, clip_max: float = 0.95) -> DataFrame:
-    """slab, label, w: 1 / (classes * clipped share) of each label in a slab."""
-    counts = classed.groupBy(slab, "label").agg(F.count("*").alias("n"))
+def label_balance(classed: DataFrame, slab: str, classes: int, places: int, clip_min: float = 0.05, clip_max: float = 0.95) -> DataFrame:
+    """slab, label, w: 1 / (classes * clipped share) of each label in a slab of so many places; those without a row have label 0."""
+    held = classed.groupBy(slab, "label").agg(F.count("*").alias("n"))
+    empty = held.groupBy(slab).agg((F.lit(places) - F.sum("n")).alias("n")).select(slab, F.lit(0).cast(held.schema["label"].dataType).alias("label"), "n").where("n > 0")
+    counts = held.unionByName(empty).groupBy(slab, "label").agg(F.sum("n").alias("n"))
     total = counts.groupBy(slab).agg(F.sum("n").alias("t"))
     share = F.least(F.greatest(F.col("n") / F.col("t"), F.lit(clip_min)), F.lit(clip_max))
     return counts.join(total, slab).select(slab, "label", (1 / (classes * share)).alias("w"))

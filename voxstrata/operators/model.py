@@ -40,6 +40,23 @@ def apply_model(voxels: DataFrame, model: Model, block: int, margin: int) -> Dat
     return halo(voxels.select(*AXES, "v"), block, margin).groupBy("bx", "by", "bz").applyInPandas(lambda pdf: run(pdf), "x int, y int, z int, p double")
 
 
+def apply_windows(windows: DataFrame, model: Model, size: int) -> DataFrame:
+    """wx, wy, wz, x, y, z, p: the model's output at every place of each window of rows (wx, wy, wz, x, y, z, v).
+
+    A group is one window: size ** 3 places.  Windows may overlap; each has its own output."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = [int(pdf[f"w{a}"].iloc[0]) for a in AXES]
+        cube = np.zeros((size,) * 3)
+        cube[tuple(pdf[a].to_numpy() - o for a, o in zip(AXES, low))] = pdf["v"]
+        out = model(cube)
+        at = np.indices(out.shape).reshape(3, -1)
+        return pd.DataFrame({f"w{a}": np.full(out.size, o, np.int32) for a, o in zip(AXES, low)} | {a: (i + o).astype(np.int32) for a, i, o in zip(AXES, at, low)} | {"p": out.ravel().astype(float)})
+
+    rows = windows.select(*[f"w{a}" for a in AXES], *AXES, "v")
+    return rows.groupBy("wx", "wy", "wz").applyInPandas(lambda pdf: run(pdf), "wx int, wy int, wz int, x int, y int, z int, p double")
+
+
 def skeleton(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """A tree of centre lines through a component's voxels: from the farthest voxel, paths to the farthest voxels left,
     through voxels deep inside, until every voxel is near a path."""

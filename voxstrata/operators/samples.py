@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxstrata.functions.boxes import AXES, ball, cell, closed, shifted
+from voxstrata.functions.shared import materialised
 from voxstrata.operators.morphology import inside
+from voxstrata.operators.trees import jumps, nearest_above
+from voxstrata.operators.voxel import densify, section_means
 
 
 def accepted_blocks(mask: DataFrame, block: int, least: float, keep: float = 0.0, seed: int = 0) -> DataFrame:
@@ -34,12 +37,16 @@ def point_weights(points: DataFrame, near: DataFrame) -> DataFrame:
     return points.select("id").join(n, "id", "left").select("id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("w"))
 
 
-def intensity(df: DataFrame, scale: float, shift: float, low: float, high: float, section: str | None = "z") -> DataFrame:
-    """mean + (v - mean) * scale + shift, clipped; the mean is of each section, or of all."""
-    keys = [section] if section else []
-    mean = df.groupBy(*keys).agg(F.avg("v").alias("m"))
-    joined = df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))  # one row
-    v = F.col("m") + (F.col("v") - F.col("m")) * scale + shift
+def intensity(df: DataFrame, scale: float, shift: float, low: float, high: float, lo, hi, section: str | None = "z") -> DataFrame:
+    """mean + (v - mean) * scale + shift, clipped, at every place of the box, zeros as well; the mean is of each section, or of all."""
+    dense = densify(df, lo, hi)
+    if section:
+        joined = dense.join(section_means(df, lo, hi, section), section, "left")
+    else:
+        places = float((hi[0] - lo[0]) * (hi[1] - lo[1]) * (hi[2] - lo[2]))
+        joined = dense.crossJoin(F.broadcast(df.agg((F.sum("v") / F.lit(places)).alias("m"))))  # one row
+    m = F.coalesce("m", F.lit(0.0))
+    v = m + (F.col("v") - m) * scale + shift
     return joined.select(*AXES, F.least(F.greatest(v, F.lit(low)), F.lit(high)).alias("v"))
 
 
@@ -92,12 +99,22 @@ def surface_fuse(tile: DataFrame, surface: DataFrame, axis: str = "z") -> DataFr
     return tile.join(s, others).withColumn(axis, (F.col(axis) + F.col("s")).cast("int")).select(*AXES, "v")
 
 
-def forward_filled(nodes: DataFrame, tree: str, column: str, default: float) -> DataFrame:
-    """id, value: the column where it's set, else the last one set before it in the tree's id order, else the next, else the tree's mean, else default."""
-    w = Window.partitionBy(tree).orderBy("id")
-    back = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return nodes.select("id", F.coalesce(back, ahead, F.lit(default)).alias("value"))
+def filled_from_tree(nodes: DataFrame, tree: str, column: str, default: float) -> DataFrame:
+    """id, value: the column where it's set, else that of the nearest node up or down the tree that has it set, by steps.
+
+    Up goes before down at equal steps, the smaller id among the nodes below; without any, the tree's mean, without that the default."""
+    up = nearest_above(nodes, F.col(column).isNotNull()).select("id", F.col("at").alias("above"), "steps")
+    below = materialised(nodes.select("id", F.when(F.col(column).isNotNull(), F.struct(F.lit(0).alias("steps"), F.col("id").alias("node"), F.col(column).alias("value"))).alias("b")), "below")
+    step = 1
+    for jump in jumps(nodes):
+        deeper = jump.where("up <> -1").join(below.where("b is not null"), "id").groupBy(F.col("up").alias("id")).agg(F.min(F.struct((F.col("b.steps") + step).alias("steps"), F.col("b.node").alias("node"), F.col("b.value").alias("value"))).alias("d"))
+        below = materialised(below.join(deeper, "id", "left").select("id", F.least("b", "d").alias("b")), "below")
+        step *= 2
+    set_here = nodes.select(F.col("id").alias("above"), F.col(column).alias("above_value"))
+    mean = materialised(nodes.groupBy(tree).agg(F.avg(column).alias("mean")), "means")
+    near = nodes.select("id", tree, column).join(up, "id").join(set_here, "above", "left").join(below, "id").join(mean, tree)
+    above = F.when(F.col("b").isNull() | (F.col("steps") <= F.col("b.steps")), F.col("above_value"))
+    return near.select("id", F.coalesce(column, above, "b.value", "above_value", "mean", F.lit(default)).alias("value"))
 
 
 def banded_pairs(pairs: DataFrame, band: int) -> DataFrame:

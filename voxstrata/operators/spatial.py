@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,43 +62,49 @@ def distance_pairs(points: DataFrame, radius: int, group: str | None = None) ->
     return here.join(there, ["cx", "cy", "cz"]).where(on).select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), d2.alias("d2"))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, size: int, same: bool = False) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> DataFrame:
     """id, nn, rank, d2: each query's k nearest points, ties to the smaller id; same leaves a point of the query's own id out.
 
-    Queries look into the 27 cells around them, which surely hold all points within a cell's size; those whose kth point is
-    farther go on with cells twice as large, until one cell spans all points."""
-    bounds = points.agg(*[f(F.col(a)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    both = queries.agg(*[f(F.col(a)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    ends = [[r[n + a] for r in (bounds, both) for n in ("lo", "hi") if r[n + a] is not None] for a in AXES]
-    span = 1 + max((max(e) - min(e) for e in ends if e), default=0)
+    The first cells are as large as holds k points in the mean.  Queries look into the 27 cells around them, which surely
+    hold all points within a cell's size; those whose kth point is farther go on with cells twice as large, until one
+    cell spans all points.  Where there are no more than k points, all are near."""
+    ends = lambda df: df.agg(F.count("*").alias("n"), *[f(F.col(a)).alias(f"{e}{a}") for a in AXES for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    here, there = ends(points), ends(queries)
+    if not here.n or not there.n:
+        return queries.select("id", F.col("id").alias("nn"), F.lit(1).alias("rank"), F.lit(0).alias("d2")).limit(0)
+    span = 1 + max(max(here["hi" + a], there["hi" + a]) - min(here["lo" + a], there["lo" + a]) for a in AXES)
+    volume = float(np.prod([1.0 + here["hi" + a] - here["lo" + a] for a in AXES]))
+    size = span if here.n <= k + same else max(1, min(span, round((volume * k / here.n) ** (1 / 3))))
     left, done = queries.select("id", *[F.col(a).alias(f"q_{a}") for a in AXES]), None
     best = Window.partitionBy("id").orderBy("d2", "nn")
     while True:
         p = points.select(F.col("id").alias("nn"), *[F.col(a).alias(f"p_{a}") for a in AXES], *[cell(a, size).alias(f"c{a}") for a in AXES])
-        around = left.withColumn("o", F.explode(offset_array([(0, 0, 0), *offsets(1)]))).withColumns({f"c{a}": cell(f"q_{a}", size) + F.col(f"o.d{a}") for a in AXES})
-        found = around.join(p, ["cx", "cy", "cz"]).withColumn("d2", squared_distance("q_", "p_"))
+        around = left.withColumn("o", F.explode(offset_array([(0, 0, 0), *offsets(1)]))).withColumns({f"c{a}": cell(f"q_{a}", size) + F.col(f"o.d{a}") for a in AXES}).drop("o")
+        found = around.join(p, ["cx", "cy", "cz"]).select("id", "nn", squared_distance("q_", "p_").alias("d2"))
         if same:
             found = found.where("id <> nn")
-        top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "nn", "rank", "d2")
+        if k == 1:  # an aggregate that starts before anything is shuffled
+            top = found.groupBy("id").agg(F.min(F.struct("d2", "nn")).alias("m")).select("id", "m.nn", F.lit(1).alias("rank"), "m.d2")
+        else:
+            top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "nn", "rank", "d2")
+        if size >= span:
+            return top if done is None else done.unionByName(top)
         top = materialised(top, "knn")
-        last = size >= span
         sure = top.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("id")
-        got = top if last else top.join(sure, "id", "left_semi")
+        got = top.join(sure, "id", "left_semi")
         done = got if done is None else done.unionByName(got)
-        if last:
-            return done
         left = materialised(left.join(sure, "id", "left_anti"), "unfinished")
         if left.isEmpty():
             return done
         size *= 2
 
 
-def relabel_nearest(labelled: DataFrame, points: DataFrame, size: int) -> DataFrame:
+def relabel_nearest(labelled: DataFrame, points: DataFrame) -> DataFrame:
     """Voxels of components that a point lies in get the id of the nearest point of all; other components are dropped (zero)."""
     hit = labelled.join(points.select(*AXES).distinct(), list(AXES), "left_semi").select("label").distinct()
     mine = labelled.join(hit, "label", "left_semi")
     q = mine.select((F.struct(*AXES)).alias("id"), *AXES)
-    near = knn(q, points, 1, size)
+    near = knn(q, points, 1)
     return near.select(*[F.col(f"id.{a}").alias(a) for a in AXES], F.col("nn").alias("id"))
 
 

@@ -2,7 +2,9 @@
 
 Paths are walked by pointer doubling: after k rounds every node knows its ancestor
 2^k steps up, so a tree of depth d takes log2(d) joins, however many trees there
-are.  A parent id that isn't there makes its child a root.
+are.  A parent id that isn't there makes its child a root.  A cycle of parents is no
+tree: where a walk takes more rounds than any tree of so many nodes could, it raises
+ValueError.
 """
 
 from __future__ import annotations
@@ -41,10 +43,17 @@ def compartments(nodes: DataFrame) -> DataFrame:
     return parents(nodes).where("parent <> -1").select("parent", F.col("id").alias("child"))
 
 
-def _jumps(nodes: DataFrame):
-    """Yields (id, up, steps, weight) where up is the ancestor 1, 2, 4, ... steps above, -1 past the root; stops when all are past it."""
+def _rounds(df: DataFrame):
+    """Counts rounds of doubling; raises where they are more than a tree of all the rows can take."""
+    for k in range(df.count().bit_length() + 2):
+        yield k
+    raise ValueError("parents form a cycle")
+
+
+def jumps(nodes: DataFrame):
+    """Yields (id, up) where up is the ancestor 1, 2, 4, ... steps above, -1 past the root; stops when all are past it."""
     up = materialised(parents(nodes).withColumnRenamed("parent", "up"), "jump")
-    while True:
+    for _ in _rounds(up):
         yield up
         if up.where("up <> -1").isEmpty():
             return
@@ -52,22 +61,29 @@ def _jumps(nodes: DataFrame):
         up = materialised(up.join(above, "up", "left").select("id", F.coalesce("next", F.lit(-1)).cast("int").alias("up")), "jump")
 
 
-def root_depth(nodes: DataFrame) -> DataFrame:
-    """id, root, depth (0 at the root) of every node."""
-    state = materialised(parents(nodes).select("id", F.when(F.col("parent") == -1, F.col("id")).otherwise(F.col("parent")).alias("at"), (F.col("parent") != -1).cast("int").alias("depth")), "roots")
-    while True:
-        above = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        new = materialised(state.join(above, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "roots")
+def nearest_above(nodes: DataFrame, stop) -> DataFrame:
+    """id, at, steps: the first of a node and its ancestors where the column stop is true, or else the root."""
+    own = nodes.select("id", F.coalesce(stop, F.lit(False)).alias("stop")).join(parents(nodes), "id")
+    here = F.col("stop") | (F.col("parent") == -1)
+    state = materialised(own.select("id", F.when(here, F.col("id")).otherwise(F.col("parent")).alias("at"), (~here).cast("int").alias("steps")), "roots")
+    for _ in _rounds(state):
+        above = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        new = materialised(state.join(above, "at").select("id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")), "roots")
         state = new.drop("moved")
         if new.where("moved").isEmpty():
-            return state.select("id", F.col("at").alias("root"), "depth")
+            return state
+
+
+def root_depth(nodes: DataFrame) -> DataFrame:
+    """id, root, depth (0 at the root) of every node."""
+    return nearest_above(nodes, F.lit(False)).select("id", F.col("at").alias("root"), F.col("steps").alias("depth"))
 
 
 def ancestors(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, id, steps of every ancestor of seeds (column id), themselves included."""
     found = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("steps"))
     step = 1
-    for up in _jumps(nodes):
+    for up in jumps(nodes):
         higher = found.join(up, "id").where("up <> -1").select("seed", F.col("up").alias("id"), (F.col("steps") + step).alias("steps"))
         found = materialised(found.unionByName(higher), "ancestors")
         step *= 2
@@ -79,7 +95,7 @@ def subtree_sizes(nodes: DataFrame) -> DataFrame:
 
     S(2n) of a node is S(n) plus S(n) of the nodes n steps below, S(n) counting those fewer than n steps below."""
     size = materialised(nodes.select("id", F.lit(1).cast("long").alias("size")), "sizes")
-    for up in _jumps(nodes):
+    for up in jumps(nodes):
         below = up.where("up <> -1").join(size, "id").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         size = materialised(size.join(below, "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
     return size
@@ -118,7 +134,7 @@ def prune_twigs(nodes: DataFrame, least: int) -> DataFrame:
 def ancestors_of_any(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """ids of nodes with a marked ancestor or that are marked: marks spread down by doubling."""
     mark = materialised(nodes.select("id").join(marked.select("id", F.lit(True).alias("on")).distinct(), "id", "left").select("id", F.coalesce("on", F.lit(False)).alias("on")), "marks")
-    for up in _jumps(nodes):
+    for up in jumps(nodes):
         above = mark.select(F.col("id").alias("up"), F.col("on").alias("over"))
         mark = materialised(mark.join(up, "id").join(above, "up", "left").select("id", (F.col("on") | F.coalesce("over", F.lit(False))).alias("on")), "marks")
     return mark.where("on").select("id")
@@ -133,7 +149,7 @@ def dfs_renumber(nodes: DataFrame, tree: str) -> DataFrame:
     older = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     offs = p.where("parent <> -1").withColumn("off", 1 + F.coalesce(F.sum("size").over(older), F.lit(0))).select("id", "off")
     sums = materialised(nodes.select("id").join(offs, "id", "left").select("id", F.coalesce("off", F.lit(0)).alias("s")), "offsets")
-    for up in _jumps(nodes):
+    for up in jumps(nodes):
         above = sums.select(F.col("id").alias("up"), F.col("s").alias("t"))
         sums = materialised(sums.join(up, "id").join(above, "up", "left").select("id", (F.col("s") + F.coalesce("t", F.lit(0))).alias("s")), "offsets")
     number = sums.select("id", (F.col("s") + 1).cast("int").alias("new_id"))
@@ -151,10 +167,15 @@ def reroot(nodes: DataFrame, new_root: int) -> DataFrame:
 def concat(nodes: DataFrame, file: str) -> DataFrame:
     """file, id, new_id, new_parent: files in order, each one's ids moved behind those before; roots keep -1.
 
-    The running sum is over one row a file."""
+    The running sum is taken within ranges of files, and over one row a range."""
+    spark = nodes.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = nodes.groupBy(file).agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low") + 1)
+    sizes = materialised(sizes.repartitionByRange(ranges, file).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = sizes.groupBy("range").agg(F.sum("n").alias("held"))
+    ahead = sums.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("range").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.join(F.broadcast(ahead), "range").withColumn("off", F.col("ahead") + F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low") + 1)
     moved = lambda c: (F.col(c) + F.col("off")).cast("int")
     return nodes.join(offs.select(file, "off"), file).select(file, "id", moved("id").alias("new_id"), F.when(F.col("parent") == -1, F.lit(-1)).otherwise(moved("parent")).alias("new_parent"))
 

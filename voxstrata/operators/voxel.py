@@ -45,18 +45,23 @@ def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-v))
 
 
-def block_percentiles(df: DataFrame, block: int, low: float, high: float) -> DataFrame:
-    """bx, by, bz, p1, p2 of each block with voxels, over all of the block's places; missing ones count as zeros."""
+def block_percentiles(df: DataFrame, block: int, low: float, high: float, extent: tuple[int, int, int] | None = None) -> DataFrame:
+    """bx, by, bz, p1, p2 of each block with voxels, over all of the block's places; missing ones count as zeros.
+
+    extent: the grid's shape, where it isn't a multiple of the block: blocks at its ends have fewer places."""
     keyed = df.select(*[cell(a, block).alias(f"b{a}") for a in AXES], F.col("v").cast("double").alias("v"))
     counted = keyed.groupBy("bx", "by", "bz", "v").agg(F.count("*").alias("n"))
-    zeros = keyed.groupBy("bx", "by", "bz").agg((F.lit(block**3) - F.count("*")).alias("n")).where("n > 0").select("bx", "by", "bz", F.lit(0.0).alias("v"), "n")
+    places = F.lit(1)
+    for a, most in zip(AXES, extent or (None,) * 3):
+        places = places * (F.lit(block) if most is None else F.least(F.lit(block), F.lit(most) - F.col(f"b{a}") * block))
+    zeros = keyed.groupBy("bx", "by", "bz").agg(F.count("*").alias("held")).select("bx", "by", "bz", (places - F.col("held")).alias("n")).where("n > 0").select("bx", "by", "bz", F.lit(0.0).alias("v"), "n")
     at = F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("n"))
     return counted.unionByName(zeros).groupBy("bx", "by", "bz").agg(at.alias("p")).select("bx", "by", "bz", F.col("p")[0].alias("p1"), F.col("p")[1].alias("p2"))
 
 
-def percentile_stretch(df: DataFrame, block: int, low: float = 0.05, high: float = 0.995) -> DataFrame:
+def percentile_stretch(df: DataFrame, block: int, low: float = 0.05, high: float = 0.995, extent: tuple[int, int, int] | None = None) -> DataFrame:
     """Each block stretched between its percentiles to 0..255, truncated; scale is 1 where they are equal."""
-    stats = block_percentiles(df, block, low, high)
+    stats = block_percentiles(df, block, low, high, extent)
     keyed = df.select(*AXES, "v", *[cell(a, block).alias(f"b{a}") for a in AXES])
     scale = F.when(F.col("p2") > F.col("p1"), 1 / (F.col("p2") - F.col("p1"))).otherwise(F.lit(1.0))
     share = F.least(F.greatest((F.col("v") - F.col("p1")) * scale, F.lit(0.0)), F.lit(1.0))
@@ -72,9 +77,11 @@ def exclude_labels(df: DataFrame, labels: list[int], background: int = 0) -> Dat
     return df.withColumn("v", F.when(F.col("v").isin(labels), F.lit(background)).otherwise(F.col("v")))
 
 
-def zero_constant_sections(df: DataFrame, axis: str = "z") -> DataFrame:
-    """Sections whose stored values are all equal become zero.  The statistics are joined back, so a large section needs no window."""
-    flat = df.groupBy(axis).agg((F.min("v") == F.max("v")).alias("flat"))
+def zero_constant_sections(df: DataFrame, places: int, axis: str = "z") -> DataFrame:
+    """Sections whose values are all equal become zero; places: those of a section, of which missing ones are zeros.
+
+    The statistics are joined back, so a large section needs no window."""
+    flat = df.groupBy(axis).agg(((F.min("v") == F.max("v")) & ((F.count("*") == places) | (F.max("v") == 0))).alias("flat"))
     return df.join(flat, axis).select(*AXES, F.when(F.col("flat"), F.lit(0)).otherwise(F.col("v")).alias("v"))
 
 
@@ -172,10 +179,20 @@ def shift_sections(df: DataFrame, shifts: DataFrame, axis: str, lo: int, hi: int
     return df.join(shifts, section, "left").withColumn(axis, (F.col(axis) + F.coalesce("shift", F.lit(0))).cast("int")).where((F.col(axis) >= lo) & (F.col(axis) < hi)).select(*AXES, "v")
 
 
-def lower_contrast(df: DataFrame, sections: list[int], scale: float, section: str = "z") -> DataFrame:
-    """Named sections drawn towards their mean over stored voxels."""
-    means = df.where(F.col(section).isin(sections)).groupBy(section).agg(F.avg("v").alias("m"))
-    return df.join(means, section, "left").select(*AXES, F.coalesce(F.col("m") + (F.col("v") - F.col("m")) * scale, F.col("v").cast("double")).alias("v"))
+def section_means(df: DataFrame, lo, hi, section: str = "z") -> DataFrame:
+    """section, m: the mean of each section of the box that has voxels, over all its places."""
+    places = 1
+    for a, low, high in zip(AXES, lo, hi):
+        places *= 1 if a == section else high - low
+    return df.groupBy(section).agg((F.sum("v") / F.lit(float(places))).alias("m"))
+
+
+def lower_contrast(df: DataFrame, sections: list[int], scale: float, lo, hi, section: str = "z") -> DataFrame:
+    """Named sections of the box drawn towards their mean; they become dense, as their zeros move too, the others stay sparse."""
+    named = F.col(section).isin(sections)
+    moved = densify(df.where(named), lo, hi).where(named).join(section_means(df.where(named), lo, hi, section), section, "left")
+    m = F.coalesce("m", F.lit(0.0))
+    return df.where(~named).select(*AXES, F.col("v").cast("double").alias("v")).unionByName(moved.select(*AXES, (m + (F.col("v") - m) * scale).alias("v")))
 
 
 def drop_sections(df: DataFrame, axis: str, at: int, n: int) -> DataFrame:

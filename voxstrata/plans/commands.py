@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxstrata.functions.boxes import AXES, half_open
+from voxstrata.functions.boxes import AXES
 from voxstrata.operators import blend, cc, model, reconnect, spatial, trees, voxel
 
 
@@ -21,25 +21,29 @@ def _windows(df: DataFrame, side: int, size: int) -> DataFrame:
     return df
 
 
-def equalize(voxels: DataFrame, side: int, size: int, low: float, high: float) -> DataFrame:
-    """Percentile stretch in windows of half overlap, blended by the windows' bumps."""
-    w = _windows(voxels, side, size)
+def _stretched(w: DataFrame, size: int, low: float, high: float) -> DataFrame:
+    """Rows of windows with share, the value stretched between the window's percentiles to 0..1; a window's missing places are zeros."""
     keys = ["wx", "wy", "wz"]
     counted = w.groupBy(*keys, F.col("v").cast("double").alias("v")).agg(F.count("*").alias("n"))
     zeros = w.groupBy(*keys).agg((F.lit(size**3) - F.count("*")).alias("n")).where("n > 0").select(*keys, F.lit(0.0).alias("v"), "n")
     stats = counted.unionByName(zeros).groupBy(*keys).agg(F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"))
     p1, p2 = F.col("p")[0], F.col("p")[1]
-    share = F.least(F.greatest((F.col("v") - p1) * F.when(p2 > p1, 1 / (p2 - p1)).otherwise(1.0), F.lit(0.0)), F.lit(1.0)) * 255
-    placed = w.join(stats, keys).withColumns({f"d{a}": F.col(a) - F.col(f"w{a}") for a in AXES})
+    share = F.least(F.greatest((F.col("v") - p1) * F.when(p2 > p1, 1 / (p2 - p1)).otherwise(1.0), F.lit(0.0)), F.lit(1.0))
+    return w.join(stats, keys).withColumn("share", share)
+
+
+def equalize(voxels: DataFrame, side: int, size: int, low: float, high: float) -> DataFrame:
+    """Percentile stretch in windows of half overlap, blended by the windows' bumps."""
+    placed = _stretched(_windows(voxels, side, size), size, low, high).withColumns({f"d{a}": F.col(a) - F.col(f"w{a}") for a in AXES})
     weighed = placed.join(F.broadcast(blend.weights(voxels.sparkSession, size, size // 2)), [f"d{a}" for a in AXES])  # size ** 3 rows
-    return weighed.groupBy(*AXES).agg(F.floor(F.sum(share * F.col("w")) / F.sum("w") + 1e-9).cast("int").alias("v"))
+    return weighed.groupBy(*AXES).agg(F.floor(F.sum(F.col("share") * 255 * F.col("w")) / F.sum("w") + 1e-9).cast("int").alias("v"))
 
 
-def segment(voxels: DataFrame, side: int, size: int, margin: int, forward: model.Model = model.box_filter) -> DataFrame:
-    """Contrast, model, sigmoid, and accumulation of the windows' outputs with their weights."""
-    p = model.apply_model(voxel.percentile_stretch(voxels, size), forward, size, margin).where(half_open((0, 0, 0), (side, side, side)))
-    p = p.withColumn("p", voxel.sigmoid((F.col("p") - 2000) / 500))
-    return blend.accumulate(_windows(p, side, size), blend.weights(voxels.sparkSession, size, size // 2), size)
+def segment(voxels: DataFrame, side: int, size: int, forward: model.Model = model.box_filter, low: float = 0.05, high: float = 0.995, centre: float = 2000, scale: float = 500) -> DataFrame:
+    """Each window of half overlap with a voxel: contrast, model, sigmoid; the windows' outputs accumulated with their weights."""
+    w = _stretched(_windows(voxels, side, size), size, low, high).withColumn("v", F.floor(F.col("share") * 255).cast("int"))
+    p = model.apply_windows(w, forward, size).withColumn("p", voxel.sigmoid((F.col("p") - centre) / scale))
+    return blend.accumulate(p, blend.weights(voxels.sparkSession, size, size // 2), size)
 
 
 def fuse(tiles: list[tuple[DataFrame, tuple[int, int, int]]], mode: str = "overwrite") -> DataFrame:
@@ -48,13 +52,13 @@ def fuse(tiles: list[tuple[DataFrame, tuple[int, int, int]]], mode: str = "overw
     return blend.blend_max(placed) if mode == "max" else blend.blend_last(placed)
 
 
-def relabel(voxels: DataFrame, points: DataFrame, side: int, threshold: float = 15, least: int = 10, block: int = 32) -> DataFrame:
+def relabel(voxels: DataFrame, points: DataFrame, side: int, threshold: float = 15, least: int = 10, block: int = 16) -> DataFrame:
     """Components of at least `least` voxels that a skeleton point lies in get the id of the nearest point."""
     labelled = cc.remove_small(cc.label_voxels(voxel.threshold(voxels, threshold), side, block=block), least)
-    return spatial.relabel_nearest(labelled, points, 8)
+    return spatial.relabel_nearest(labelled, points)
 
 
-def skeletonize(voxels: DataFrame, side: int, threshold: float, least: int, dust: int, block: int = 32) -> DataFrame:
+def skeletonize(voxels: DataFrame, side: int, threshold: float, least: int, dust: int, block: int = 16) -> DataFrame:
     """label, id, parent, x, y, z of the skeletons with more than `dust` nodes."""
     labelled = cc.remove_small(cc.label_voxels(voxel.threshold(voxels, threshold), side, block=block), least)
     rows = model.skeletonize(labelled, least)

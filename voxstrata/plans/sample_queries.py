@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxstrata.functions.boxes import AXES, cell
+from voxstrata.functions.shared import shared_dir
 from voxstrata.operators import samples, spatial, voxel
 from voxstrata.plans import commands
 from voxstrata.plans.geometry_queries import _D2, B
 from voxstrata.plans.registry import query
-from voxstrata.plans.skeleton_queries import T
-from voxstrata.plans.voxel_queries import SIDE, V
+from voxstrata.plans.skeleton_queries import A, T
+from voxstrata.plans.voxel_queries import HI, LO, SIDE, G, V
+from voxstrata.sources import chunked
 from voxstrata.sources.tables import points, swc_nodes, voxels
 
 
@@ -30,9 +34,9 @@ def e_point_weights(spark, sf):
     return samples.point_weights(p, spatial.distance_pairs(p, 10)).select("id", F.round("w", 6).alias("w"))
 
 
-@query(V + ", m AS (SELECT z, avg(v) AS m FROM v GROUP BY z) SELECT x, y, z, round(least(greatest(m + (v - m) * 1.2::DOUBLE - 10, 0), 255), 5) AS v FROM v JOIN m USING (z)")
+@query(G + ", m AS (SELECT z, avg(v) AS m FROM g GROUP BY z) SELECT x, y, z, round(least(greatest(m + (v - m) * 1.2::DOUBLE - 10, 0), 255), 11) AS v FROM g JOIN m USING (z)")
 def k_intensity(spark, sf):
-    return samples.intensity(voxels(spark, sf), 1.2, -10.0, 0.0, 255.0).select(*AXES, F.round("v", 5).alias("v"))
+    return samples.intensity(voxels(spark, sf), 1.2, -10.0, 0.0, 255.0, LO, HI).select(*AXES, F.round("v", 11).alias("v"))
 
 
 @query(V + ", q AS (SELECT least(greatest(v / 255.0::DOUBLE, 1e-7), 1 - 1e-7) AS p, CAST(v >= 128 AS int) AS y FROM v) SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM q")
@@ -48,11 +52,11 @@ def a_partner_kinds(spark, sf):
     return kinds.select("id", "kind", F.coalesce("partner", F.lit(-1)).alias("partner"))
 
 
-@query(V + ", m AS (SELECT x, y, z, v // 64 AS l FROM v), s AS (SELECT x, y, z, l, row_number() OVER (ORDER BY (x * 32 + y) * 32 + z) AS n, (x * 32 + y) * 32 + z AS id FROM m WHERE (x * 32 + y) * 32 + z < 300) SELECT m.x, m.y, m.z, CAST(min(s.id) AS int) AS id FROM s JOIN m ON m.l = s.l AND (s.x-m.x)*(s.x-m.x)+(s.y-m.y)*(s.y-m.y)+(s.z-m.z)*(s.z-m.z) <= 4 GROUP BY m.x, m.y, m.z")
+@query(V + ", m AS (SELECT x, y, z, v // 64 AS l FROM v), i AS (SELECT CAST(range - 2 AS int) AS d FROM range(5)), s AS (SELECT x + a.d AS x, y + b.d AS y, z + c.d AS z, l, (x * 32 + y) * 32 + z AS id FROM m, i a, i b, i c WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 4) SELECT m.x, m.y, m.z, CAST(min(s.id) AS int) AS id FROM s JOIN m USING (x, y, z, l) GROUP BY m.x, m.y, m.z")
 def h_stamps(spark, sf):
     mask = voxels(spark, sf).select(*AXES, F.floor(F.col("v") / 64).alias("v"))
     key = (F.col("x") * SIDE + F.col("y")) * SIDE + F.col("z")
-    return samples.stamps(mask.select(key.alias("id"), *AXES).where("id < 300"), mask, 2, SIDE)
+    return samples.stamps(mask.select(key.alias("id"), *AXES), mask, 2, SIDE)
 
 
 @query(T + " SELECT id, x + 2.0::DOUBLE * y AS x, y - 1.0::DOUBLE * z AS y, 0.5::DOUBLE * z AS z FROM t")
@@ -71,10 +75,13 @@ def f_surface_fuse(spark, sf):
     return samples.surface_fuse(v, v.select("x", "y").distinct().withColumn("s", (F.col("x") + F.col("y")) % 4 - 7))
 
 
-@query(T + ", r AS (SELECT id, tree_id, CASE WHEN id % 10 = 3 THEN radius END AS r FROM t) SELECT id, CAST(coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY tree_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(r IGNORE NULLS) OVER (PARTITION BY tree_id ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.1) AS double) AS value FROM r")
-def i_forward_filled(spark, sf):
+@query(A + """, r AS (SELECT id, tree_id, CASE WHEN id % 10 = 3 THEN radius::DOUBLE END AS r FROM t), m AS (SELECT tree_id, avg(r) AS mean FROM r GROUP BY tree_id),
+u AS (SELECT a.id, min(k) AS steps, arg_min(r, k) AS r FROM a JOIN r ON r.id = a.up WHERE r IS NOT NULL GROUP BY a.id),
+d AS (SELECT a.up AS id, min(k) AS steps, arg_min(r, k * 1000000::bigint + r.id) AS r FROM a JOIN r ON r.id = a.id WHERE r IS NOT NULL GROUP BY a.up)
+SELECT r.id, coalesce(r.r, CASE WHEN d.steps IS NULL OR u.steps <= d.steps THEN u.r END, d.r, u.r, mean, 0.1) AS value FROM r JOIN m USING (tree_id) LEFT JOIN u ON u.id = r.id LEFT JOIN d ON d.id = r.id""")
+def i_filled_from_tree(spark, sf):
     n = swc_nodes(spark, sf).withColumn("r", F.when(F.col("id") % 10 == 3, F.col("radius")).cast("double"))
-    return samples.forward_filled(n, "tree_id", "r", 0.1)
+    return samples.filled_from_tree(n, "tree_id", "r", 0.1)
 
 
 @query(B + f", q AS (SELECT a.id AS id1, b.id AS id2, {_D2} AS d2, (a.id * 7 + b.id * 3) % 101 AS score FROM p a JOIN p b ON a.id < b.id AND a.g <> b.g AND {_D2} <= 100) SELECT id1, id2, d2, CAST(score AS int) AS score FROM q QUALIFY row_number() OVER (PARTITION BY id1 ORDER BY ceil(sqrt(d2) / 5), score DESC, id2) = 1")
@@ -89,9 +96,9 @@ def c_malis_passes(spark, sf):
     return samples.malis_passes(v, v.where("v % 7 = 0"))
 
 
-@query(V + ", t AS (SELECT 0 AS k, 0 AS dx, 0 AS dy UNION ALL SELECT 1, 10, 10), f AS (SELECT CAST(x + dx AS int) AS x, CAST(y + dy AS int) AS y, z, v, k FROM v, t WHERE v >= 100 AND x < 20) SELECT x, y, z, max(v) AS v FROM f GROUP BY x, y, z")
+@query(V + ", t AS (SELECT 0 AS k, 0 AS dx, 0 AS dy UNION ALL SELECT 1, 10, 10), f AS (SELECT CAST(x + dx AS int) AS x, CAST(y + dy AS int) AS y, z, v, k FROM v, t WHERE v >= 100) SELECT x, y, z, max(v) AS v FROM f GROUP BY x, y, z")
 def g_fuse_command(spark, sf):
-    tile = voxels(spark, sf).where("v >= 100 and x < 20")
+    tile = voxels(spark, sf).where("v >= 100")
     return commands.fuse([(tile, (0, 0, 0)), (tile, (10, 10, 0))], "max")
 
 
@@ -102,7 +109,7 @@ def g_equalize_command(spark, sf):
 
 @query()
 def g_segment_command(spark, sf):
-    return commands.segment(voxels(spark, sf), SIDE, 8, 2)
+    return commands.segment(voxels(spark, sf), SIDE, 8)
 
 
 @query()
@@ -119,3 +126,28 @@ def g_relabel_command(spark, sf):
 @query(V + ", c AS (SELECT CAST(x // 8 AS int) AS bx, count(*) AS n FROM v GROUP BY ALL) SELECT bx, n FROM c")
 def e_block_counts(spark, sf):
     return voxels(spark, sf).groupBy(cell("x", 8).alias("bx")).agg(F.count("*").alias("n"))
+
+
+def _stored(spark, sf, **options):
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    chunked.write_array(voxels(spark, sf), chunked.Array(path=path, shape=(SIDE,) * 3, chunks=(10, 16, 12), dtype="<u2", **options)).count()
+    return path
+
+
+@query(V + " SELECT x, y, z, CAST(v AS bigint) AS v FROM v WHERE v <> 0")
+def a_array_round_trip(spark, sf):
+    return chunked.read_array(spark, _stored(spark, sf, version=2, codec="gzip"))
+
+
+@query(V + " SELECT x, y, z, CAST(v AS bigint) AS v FROM v WHERE v <> 0 AND x >= 5 AND x < 21 AND y >= 16 AND z >= 3 AND z < 31")
+def a_array_box(spark, sf):
+    return chunked.read_array(spark, _stored(spark, sf, version=3, codec="zstd", separator="/"), lo=(5, 16, 3), hi=(21, 40, 31))
+
+
+@query(V + ", w AS (SELECT CAST(x // 10 AS int) AS cx, CAST(y // 16 AS int) AS cy, CAST(z // 12 AS int) AS cz, count(*) AS n FROM v WHERE v <> 0 GROUP BY ALL) SELECT * FROM w")
+def b_array_chunks(spark, sf):
+    """What a sink wrote: its chunks by number."""
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    out = chunked.write_array(voxels(spark, sf), chunked.Array(path, 3, (SIDE,) * 3, (10, 16, 12), "<i4", separator="/"))
+    at = F.split(F.regexp_extract("path", "/c/(.*)$", 1), "/")
+    return out.select(*[at[k].cast("int").alias(f"c{a}") for k, a in enumerate(AXES)], "n")

@@ -43,16 +43,16 @@ def i_descendants(spark, sf):
     return trees.root_depth(swc_nodes(spark, sf))
 
 
-@query(A + " SELECT id AS seed, up AS id, k AS steps FROM a WHERE id % 500 = 0")
+@query(A + " SELECT id AS seed, up AS id, k AS steps FROM a")
 def i_ancestors(spark, sf):
     n = swc_nodes(spark, sf)
-    return trees.ancestors(n, n.where("id % 500 = 0"))
+    return trees.ancestors(n, n)
 
 
-@query(A + " SELECT up AS seed, id, k AS depth FROM a WHERE k <= 5 AND up % 50 = 0")
+@query(A + " SELECT up AS seed, id, k AS depth FROM a WHERE k <= 5")
 def i_depth_limited_bfs(spark, sf):
     n = swc_nodes(spark, sf)
-    return trees.bfs(n, n.where("id % 50 = 0"), 5)
+    return trees.bfs(n, n, 5)
 
 
 @query(A + " SELECT up AS id, count(*) AS size FROM a GROUP BY up")
@@ -182,7 +182,7 @@ def a_store_overwrite(spark, sf):
 
 @query()
 def h_rasterize(spark, sf):
-    n = swc_nodes(spark, sf).where("tree_id < 20")
+    n = swc_nodes(spark, sf)
     return morphology.rasterize(n, _edges(n), 1, 64)
 
 

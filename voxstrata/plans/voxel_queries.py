@@ -105,9 +105,12 @@ def c_exclude_labels(spark, sf):
     return voxel.exclude_labels(voxels(spark, sf), [1, 5, 9, 200])
 
 
-@query(V + ", c AS (SELECT x, y, z, CASE WHEN z % 3 = 0 THEN 7 ELSE v END AS v FROM v), k AS (SELECT z, min(v) = max(v) AS flat FROM c GROUP BY z) SELECT x, y, z, CASE WHEN flat THEN 0 ELSE v END AS v FROM c JOIN k USING (z)")
+@query(G + ", c AS (SELECT x, y, z, 7 AS v FROM g WHERE z % 6 = 0 UNION ALL SELECT x, y, z, CASE WHEN z % 3 = 0 THEN 7 ELSE v END FROM v WHERE z % 6 <> 0), d AS (SELECT g.z, coalesce(c.v, 0) AS v FROM g LEFT JOIN c ON c.x = g.x AND c.y = g.y AND c.z = g.z), k AS (SELECT z, min(v) = max(v) AS flat FROM d GROUP BY z) SELECT x, y, z, CASE WHEN flat THEN 0 ELSE v END AS v FROM c JOIN k USING (z)")
 def c_zero_const_sections(spark, sf):
-    return voxel.zero_constant_sections(voxels(spark, sf).withColumn("v", F.when(F.col("z") % 3 == 0, 7).otherwise(F.col("v"))))
+    """Sections of sevens: full ones are constant, those with empty places aren't."""
+    v = voxels(spark, sf)
+    full = voxel.densify(v, LO, HI).where("z % 6 = 0").withColumn("v", F.lit(7))
+    return voxel.zero_constant_sections(full.unionByName(v.where("z % 6 <> 0").withColumn("v", F.when(F.col("z") % 3 == 0, 7).otherwise(F.col("v")))), SIDE * SIDE)
 
 
 @query(V + " SELECT x, y, max(v) AS v FROM v GROUP BY x, y")
@@ -135,14 +138,14 @@ def d_crop_fraction(spark, sf):
     return voxels(spark, sf).where(half_open(*voxel.crop_fraction(LO, HI, (0.25, 0.1, 0.0), (0.25, 0.0, 0.1))))
 
 
-@query(G + ", b AS (SELECT CAST(range - 2 AS int) AS i FROM range(12)) SELECT p.i AS x, q.i AS y, r.i AS z, CASE WHEN p.i BETWEEN 0 AND 7 AND q.i BETWEEN 0 AND 7 AND r.i BETWEEN 0 AND 7 THEN g.v ELSE 9 END AS v FROM b p, b q, b r LEFT JOIN g ON g.x = p.i AND g.y = q.i AND g.z = r.i")
+@query(G + ", b AS (SELECT CAST(range - 2 AS int) AS i FROM range(36)) SELECT p.i AS x, q.i AS y, r.i AS z, coalesce(g.v, 9) AS v FROM b p, b q, b r LEFT JOIN g ON g.x = p.i AND g.y = q.i AND g.z = r.i")
 def d_pad_constant(spark, sf):
-    return voxel.pad_constant(voxels(spark, sf).where(half_open(LO, (8, 8, 8))), LO, (8, 8, 8), 2, 9)
+    return voxel.pad_constant(voxels(spark, sf), LO, HI, 2, 9)
 
 
-@query(G + ", b AS (SELECT CAST(range - 2 AS int) AS i, CASE WHEN range < 2 THEN 2 - range WHEN range > 9 THEN 16 - range ELSE range - 2 END AS f FROM range(12)) SELECT p.i AS x, q.i AS y, r.i AS z, g.v FROM b p, b q, b r, g WHERE g.x = p.f AND g.y = q.f AND g.z = r.f")
+@query(G + ", b AS (SELECT CAST(range - 2 AS int) AS i, CASE WHEN range < 2 THEN 2 - range WHEN range > 33 THEN 64 - range ELSE range - 2 END AS f FROM range(36)) SELECT p.i AS x, q.i AS y, r.i AS z, g.v FROM b p, b q, b r, g WHERE g.x = p.f AND g.y = q.f AND g.z = r.f")
 def d_pad_reflect(spark, sf):
-    return voxel.pad_reflect(voxels(spark, sf).where(half_open(LO, (8, 8, 8))), LO, (8, 8, 8), 2)
+    return voxel.pad_reflect(voxels(spark, sf), LO, HI, 2)
 
 
 @query(G + ", m AS (SELECT x // 4 AS mx, y // 4 AS my, z // 4 AS mz, max(v) >= 250 AS m FROM g GROUP BY ALL), k AS (SELECT mx // 2 AS bx, my // 2 AS by_, mz // 2 AS bz, bool_and(m) AS every FROM m GROUP BY ALL) SELECT DISTINCT CAST(x // 8 AS int) AS bx, CAST(y // 8 AS int) AS by, CAST(z // 8 AS int) AS bz FROM g JOIN k ON bx = x // 8 AND by_ = y // 8 AND bz = z // 8 WHERE v <> 0 AND NOT every")
@@ -191,11 +194,11 @@ def e_halo(spark, sf):
     return tiling.halo(voxels(spark, sf), 8, 2).where("bx < 4 and by < 4 and bz < 4").groupBy("bx", "by", "bz").agg(F.count("*").alias("n"))
 
 
-_TWO = V + ", t AS (SELECT x, y, z, v, 0 AS tile FROM v WHERE x < 20 UNION ALL SELECT x + 10, y, z, 255 - v, 1 FROM v WHERE x < 20)"
+_TWO = V + ", t AS (SELECT x, y, z, v, 0 AS tile FROM v UNION ALL SELECT x + 10, y, z, 255 - v, 1 FROM v)"
 
 
 def _two(spark, sf):
-    v = voxels(spark, sf).where("x < 20")
+    v = voxels(spark, sf)
     return blend.place(v, (0, 0, 0), 0).unionByName(blend.place(v.withColumn("v", 255 - F.col("v")), (10, 0, 0), 1))
 
 
@@ -227,10 +230,10 @@ def g_weights_wu(spark, sf):
     return blend.weights(spark, 8, 4, "wu").select("dx", "dy", "dz", F.round("w", 6).alias("w"))
 
 
-@query(V + ", c AS (SELECT z // 8 AS slab, v // 64 AS label, count(*) AS n FROM v GROUP BY ALL) SELECT CAST(slab AS int) AS slab, CAST(label AS int) AS label, round(1 / (4 * least(greatest(n / sum(n) OVER (PARTITION BY slab), 0.05), 0.95)), 6)::DOUBLE AS w FROM c")
+@query(G + ", c AS (SELECT z // 8 AS slab, v // 64 AS label, count(*) AS n FROM g GROUP BY ALL) SELECT CAST(slab AS int) AS slab, CAST(label AS int) AS label, round(1 / (4 * least(greatest(n / sum(n) OVER (PARTITION BY slab), 0.05), 0.95)), 6)::DOUBLE AS w FROM c")
 def g_label_balance(spark, sf):
     classed = voxels(spark, sf).select(cell("z", 8).alias("slab"), cell("v", 64).alias("label"))
-    return blend.label_balance(classed, "slab", 4).select("slab", "label", F.round("w", 6).alias("w"))
+    return blend.label_balance(classed, "slab", 4, 8 * SIDE * SIDE).select("slab", "label", F.round("w", 6).alias("w"))
 
 
 @query(V + " SELECT CAST(sum(CAST(v >= 220 AND (x + y) % 3 > 0 AS int)) AS bigint) AS inter, count(*) AS \"union\", round(sum(CAST(v >= 220 AND (x + y) % 3 > 0 AS int)) / count(*), 6) AS iou FROM v WHERE v >= 220 OR (v >= 200 AND (x + y) % 3 > 0)")
@@ -277,9 +280,9 @@ def k_section_shift(spark, sf):
     return voxel.shift_sections(voxels(spark, sf), shifts, "x", 0, SIDE)
 
 
-@query(V + ", m AS (SELECT z, avg(v) AS m FROM v WHERE z IN (3, 7) GROUP BY z) SELECT x, y, z, round(coalesce(m + (v - m) * 0.1::DOUBLE, v), 6) AS v FROM v LEFT JOIN m USING (z)")
+@query(G + ", m AS (SELECT z, avg(v) AS m FROM g WHERE z IN (3, 7) GROUP BY z) SELECT x, y, z, round(m + (v - m) * 0.1::DOUBLE, 12) AS v FROM g JOIN m USING (z) UNION ALL SELECT x, y, z, v::DOUBLE FROM v WHERE z NOT IN (3, 7)")
 def k_lower_contrast(spark, sf):
-    return voxel.lower_contrast(voxels(spark, sf), [3, 7], 0.1).select(*AXES, F.round("v", 6).alias("v"))
+    return voxel.lower_contrast(voxels(spark, sf), [3, 7], 0.1, LO, HI).select(*AXES, F.round("v", 12).alias("v"))
 
 
 @query(V + " SELECT x, CAST(CASE WHEN y >= 13 THEN y - 3 ELSE y END AS int) AS y, z, v FROM v WHERE y < 10 OR y >= 13")
