@@ -1,14 +1,15 @@
 """Operators against numpy, and cases at the edges."""
 
 import itertools
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxstrata.functions.boxes import closed, half_open
-from voxstrata.operators import blend, cc, model, morphology, reconnect, spatial, tiling, trees, voxel
-from voxstrata.sources import files
+from voxstrata.operators import blend, cc, model, morphology, reconnect, samples, spatial, store, tiling, trees, voxel
+from voxstrata.sources import chunked, files
 
 
 def frame(spark, a):
@@ -183,3 +184,63 @@ def test_stream_keeps_the_maximum(spark, tmp_path):
     q = blocks.upsert_max(blocks.read_voxels(spark, str(tmp_path / "in/*"), 1), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert [(r.x, r.v) for r in blocks.current(spark, str(tmp_path / "out")).collect()] == [(1, 6)]
+
+
+@pytest.mark.parametrize("version,codec,separator", [(2, None, "."), (2, "zlib", "/"), (3, "gzip", "/"), (3, "zstd", ".")])
+def test_chunked_arrays(spark, tmp_path, version, codec, separator):
+    a = np.random.default_rng(version).integers(0, 4, (11, 9, 7)).astype(np.int16)
+    a[:4, :4, :4] = 0  # a chunk that isn't written
+    array = chunked.Array(f"file://{tmp_path}/a", version, a.shape, (4, 4, 4), "<i2", codec, separator=separator)
+    assert sum(r.n for r in chunked.write_array(frame(spark, a), array).collect()) == (a != 0).sum()
+    assert chunked.open_array(array.path) == array
+    assert (dense(chunked.read_array(spark, array.path), a.shape) == a).all()
+    box = chunked.read_array(spark, array.path, lo=(2, 3, 1), hi=(9, 99, 6))
+    want = np.zeros_like(a)
+    want[2:9, 3:, 1:6] = a[2:9, 3:, 1:6]
+    assert (dense(box, a.shape) == want).all()
+    assert chunked.read_array(spark, array.path, lo=(20, 0, 0)).count() == 0
+
+
+def test_chunked_array_of_five_axes(spark, tmp_path):
+    """As other software writes it: t, c, x, y, z, big endian, Fortran order, a fill value."""
+    cube = np.arange(8, dtype=">u2").reshape(2, 2, 2)
+    (tmp_path / "0" / "1" / "0" / "0").mkdir(parents=True)
+    meta = {"zarr_format": 2, "shape": [1, 2, 3, 2, 2], "chunks": [1, 1, 2, 2, 2], "dtype": ">u2", "compressor": None, "fill_value": 9, "order": "F", "filters": None, "dimension_separator": "/"}
+    (tmp_path / ".zarray").write_text(json.dumps(meta))
+    (tmp_path / "0" / "1" / "0" / "0" / "0").write_bytes(cube.reshape(1, 1, 2, 2, 2).tobytes(order="F"))
+    got = {(r.x, r.y, r.z): r.v for r in chunked.read_array(spark, f"file://{tmp_path}", at=(0, 1)).collect()}
+    want = {(int(i), int(j), int(k)): int(cube[i, j, k]) for i, j, k in np.ndindex(2, 2, 2) if cube[i, j, k]} | {(2, j, k): 9 for j in (0, 1) for k in (0, 1)}
+    assert got == want
+    meta["compressor"] = {"id": "blosc"}
+    (tmp_path / ".zarray").write_text(json.dumps(meta))
+    with pytest.raises(ValueError):
+        chunked.open_array(f"file://{tmp_path}")
+
+
+def test_cycles_of_parents_are_no_trees(spark):
+    n = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, -1), (5, 4)], "id int, parent int")
+    with pytest.raises(ValueError):
+        trees.root_depth(n)
+    with pytest.raises(ValueError):
+        trees.subtree_sizes(n)
+
+
+def test_store_counts_logged_writes_only(spark, tmp_path):
+    nodes = spark.createDataFrame([(k, 10 * t + i, 10 * t + i - 1 if i else -1, t, i, i, i, 1) for k, (t, i) in enumerate((t, i) for t in range(4) for i in range(5))], "k int, id int, parent int, tree int, x int, y int, z int, radius int")
+    s = store.SkeletonStore(spark, f"file://{tmp_path}/s", shard=2)
+    packed = store.pack(nodes, "tree")
+    s.write(packed)
+    assert [len(r.edges) for r in s.read().collect()] == [4] * 4 and s.read().inputFiles().__len__() >= 2
+    s._put(packed, "w-lost")  # a write that failed before it was logged
+    s._drop(packed.select("segid"), "w-lost")
+    assert s.read().count() == 4
+    s.overwrite(packed.where("segid = 1").withColumn("n_vertices", F.lit(7)))
+    assert sorted((r.segid, r.n_vertices) for r in s.read().collect()) == [(0, 5), (1, 7), (2, 5), (3, 5)]
+    s.delete(packed.where("segid = 1").select("segid"))
+    assert s.read().count() == 3
+
+
+def test_radii_from_the_tree(spark):
+    n = spark.createDataFrame([(1, -1, 0, None), (2, 1, 0, 5.0), (3, 2, 0, None), (4, 3, 0, None), (5, 4, 0, 9.0), (6, 1, 0, None), (7, -1, 1, None)], "id int, parent int, tree int, r double")
+    got = {r.id: r.value for r in samples.filled_from_tree(n, "tree", "r", 0.1).collect()}
+    assert got == {1: 5.0, 2: 5.0, 3: 5.0, 4: 9.0, 5: 9.0, 6: 7.0, 7: 0.1}

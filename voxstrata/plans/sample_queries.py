@@ -13,9 +13,9 @@ from voxstrata.plans import commands
 from voxstrata.plans.geometry_queries import _D2, B
 from voxstrata.plans.registry import query
 from voxstrata.plans.skeleton_queries import A, T
-from voxstrata.plans.voxel_queries import HI, LO, SIDE, G, V
+from voxstrata.plans.voxel_queries import _ZUNG, HI, LO, SIDE, G, V, _cc
 from voxstrata.sources import chunked
-from voxstrata.sources.tables import points, swc_nodes, voxels
+from voxstrata.sources.tables import POINTS, points, swc_nodes, voxels
 
 
 @query(V + " SELECT CAST(x // 8 AS int) AS bx, CAST(y // 8 AS int) AS by, CAST(z // 8 AS int) AS bz, count(*) / 512.0::DOUBLE AS share FROM v WHERE v >= 128 GROUP BY ALL HAVING count(*) / 512.0 > 0.1")
@@ -102,7 +102,14 @@ def g_fuse_command(spark, sf):
     return commands.fuse([(tile, (0, 0, 0)), (tile, (10, 10, 0))], "max")
 
 
-@query()
+_WINDOWS = """, i AS (SELECT CAST(range AS int) AS i FROM range(7)), w AS (SELECT g.x, g.y, g.z, g.v, a.i * 4 AS wx, b.i * 4 AS wy, c.i * 4 AS wz FROM g, i a, i b, i c WHERE g.x >= a.i * 4 AND g.x < a.i * 4 + 8 AND g.y >= b.i * 4 AND g.y < b.i * 4 + 8 AND g.z >= c.i * 4 AND g.z < c.i * 4 + 8),
+q AS (SELECT wx, wy, wz, quantile_cont(v::DOUBLE, [0.05, 0.95]) AS q FROM w GROUP BY ALL),
+n AS (SELECT dx, dy, dz, sum(CASE WHEN own THEN b ELSE 0 END) / sum(b) AS weight FROM m GROUP BY dx, dy, dz),
+h AS (SELECT x, y, z, least(greatest((w.v - q[1]) * CASE WHEN q[2] > q[1] THEN 1 / (q[2] - q[1]) ELSE 1 END, 0), 1) AS share, weight FROM w JOIN q USING (wx, wy, wz) JOIN n ON dx = x - wx AND dy = y - wy AND dz = z - wz)
+SELECT x, y, z, CAST(floor(sum(share * 255 * weight) / sum(weight) + 1e-9) AS int) AS v FROM h JOIN v USING (x, y, z) GROUP BY x, y, z"""
+
+
+@query(G + ", " + _ZUNG.removeprefix("WITH ") + _WINDOWS)
 def g_equalize_command(spark, sf):
     return commands.equalize(voxels(spark, sf), SIDE, 8, 0.05, 0.95)
 
@@ -117,7 +124,9 @@ def i_skeletonize_command(spark, sf):
     return commands.skeletonize(voxels(spark, sf), SIDE, 225, 5, 2)
 
 
-@query()
+@query(_cc("SELECT x, y, z, 1 AS c FROM v WHERE v >= 240") + f""", p AS (SELECT id, CAST(x % 32 AS int) AS x, CAST(y % 32 AS int) AS y, CAST(z % 32 AS int) AS z FROM ({POINTS})),
+b AS (SELECT label FROM l GROUP BY label HAVING count(*) >= 3), m AS (SELECT * FROM l WHERE label IN (SELECT label FROM b) AND label IN (SELECT label FROM l JOIN p USING (x, y, z)))
+SELECT a.x, a.y, a.z, arg_min(b.id, ({_D2}) * 1000000::bigint + b.id) AS id FROM m a, p b GROUP BY a.x, a.y, a.z""")
 def g_relabel_command(spark, sf):
     p = points(spark, sf).select("id", *[(F.col(a) % SIDE).cast("int").alias(a) for a in AXES])
     return commands.relabel(voxels(spark, sf), p, SIDE, 240, 3)

@@ -180,7 +180,11 @@ def a_store_overwrite(spark, sf):
     return s.read().select("segid", "n_vertices")
 
 
-@query()
+@query(T + """, e AS (SELECT u.x AS ax, u.y AS ay, u.z AS az, v.x AS bx, v.y AS by_, v.z AS bz, u.id AS id FROM t u JOIN t v ON v.parent = u.id),
+l AS (SELECT *, greatest(abs(bx - ax), abs(by_ - ay), abs(bz - az), 1) AS n FROM e), s AS (SELECT *, unnest(range(n + 1)) AS i FROM l),
+d AS (SELECT (2 * ax * n + 2 * (bx - ax) * i + n) // (2 * n) AS x, (2 * ay * n + 2 * (by_ - ay) * i + n) // (2 * n) AS y, (2 * az * n + 2 * (bz - az) * i + n) // (2 * n) AS z, id FROM s UNION ALL SELECT x, y, z, id FROM t),
+o AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) q(a, b, c)), r AS (SELECT x + a AS x, y + b AS y, z + c AS z, id FROM d, o)
+SELECT CAST(x AS int) AS x, CAST(y AS int) AS y, CAST(z AS int) AS z, min(id) AS id FROM r WHERE least(x, y, z) >= 0 AND greatest(x, y, z) < 64 GROUP BY x, y, z""")
 def h_rasterize(spark, sf):
     n = swc_nodes(spark, sf)
     return morphology.rasterize(n, _edges(n), 1, 64)

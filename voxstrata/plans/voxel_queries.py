@@ -220,7 +220,10 @@ def g_blend_weighted(spark, sf):
 _AXIS = "WITH a AS (SELECT CAST(d.range AS int) AS d, o.range AS o, d.range - o.range * 4 AS c FROM range(8) d, range(-1, 2) o WHERE d.range - o.range * 4 BETWEEN 0 AND 7), k AS (SELECT d, o, {} AS l FROM a), u AS (SELECT x.d AS dx, y.d AS dy, z.d AS dz, x.o = 0 AND y.o = 0 AND z.o = 0 AS own, x.l + y.l + z.l AS l FROM k x, k y, k z)"
 
 
-@query(_AXIS.format("-pow((c + 1) / 9.0::DOUBLE * (1 - (c + 1) / 9.0::DOUBLE), -1.5)") + ", m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY dx, dy, dz)) AS b FROM u) SELECT dx, dy, dz, round(sum(CASE WHEN own THEN b ELSE 0 END) / sum(b), 6) AS w FROM m GROUP BY dx, dy, dz")
+_ZUNG = _AXIS.format("-pow((c + 1) / 9.0::DOUBLE * (1 - (c + 1) / 9.0::DOUBLE), -1.5)") + ", m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY dx, dy, dz)) AS b FROM u)"
+
+
+@query(_ZUNG + " SELECT dx, dy, dz, round(sum(CASE WHEN own THEN b ELSE 0 END) / sum(b), 6) AS w FROM m GROUP BY dx, dy, dz")
 def g_weights_zung(spark, sf):
     return blend.weights(spark, 8, 4).select("dx", "dy", "dz", F.round("w", 6).alias("w"))
 
