@@ -98,7 +98,12 @@ def test_components_of_long_chains(spark):
 
 def test_url_filter_rules_and_false_positives(spark):
     urls = ["http://WWW.Example.com/en/1", "https://a.example.com/en/?q", "http://x.com", "http://x.com/", "http://notexample.com/en/x", "http://b.net/es/1#f", "http://b.net/esx", None, "nothing", "ftp://example.com/en/a?b#c", "http://net/fr/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit(1)).withColumn("path", F.lit(2))
+    again = pages.unionByName(pages).withColumn("page_id", F.when(F.col("page_id") != 3, F.col("page_id")))  # rows that repeat, a null id, a very long host
+    long = spark.createDataFrame([(50, "http://" + "a." * 5000 + "net/es/" + "x" * 9000)], "page_id long, url string")
+    got = url_filter.filter_urls(again.select("page_id", "url").unionByName(long), spark.createDataFrame(url_filter.RULES, "rule string, verdict string")).collect()
+    assert len(got) == 2 * len(urls) + 1 and [(r.rule, r.verdict) for r in got if r.page_id == 50] == [("net/es/", "block")]
+    assert [(r.rule, r.verdict) for r in got if r.page_id is None] == [("com/", "allow")] * 2 and len([r for r in got if r.page_id == 0]) == 2
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
     for blocks in (1, 64):  # one block: the Bloom filter passes nearly all, the join must still be exact
         got = {r.page_id: r for r in url_filter.filter_urls(pages, rules, blocks=blocks).collect()}

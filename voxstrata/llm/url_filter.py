@@ -2,8 +2,9 @@
 
 A listed canonical URL is ``host/path-prefix`` with a verdict; it fits its host,
 all subdomains, and every path that starts with its own; the longest fit wins.
-A page's candidates are its host's suffixes joined with its path's prefixes (of
-the lengths that the list has).  A blocked Bloom filter of the list, one 64-bit
+A page's candidates are its host's suffixes joined with its path's prefixes (of as
+many labels, and of the lengths, that the list has).  They are made once for each
+host and path, however many pages have it.  A blocked Bloom filter of the list, one 64-bit
 word a block and ``probes`` bits in it, drops nearly all candidates that aren't
 listed; the exact join removes the false positives that remain.
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxstrata.llm.common import written
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,25 +66,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
         .agg(F.min("rule").alias("rule"), F.min("verdict").alias("verdict"))
         .select(F.concat("__h", "__p").alias("__key"), "rule", "verdict", F.length(F.concat("__h", "__p")).alias("__len"), F.length("__p").alias("__plen"))
     )
-    # the distinct prefix lengths of the list, one row; bounded by the longest url
-    lengths = listed.agg(F.sort_array(F.collect_set("__plen")).alias("l")).first()["l"] or []
-    base = pages.select(F.monotonically_increasing_id().alias("__row"), F.col(page_id).alias("page_id"), F.col(url).alias("__url"))
-    host, path = split_url(F.col("__url"))
-    base = base.select("__row", "page_id", host.alias("host"), path.alias("path"))
+    # one row: the distinct prefix lengths of the list, bounded by the longest url, and its hosts' most labels
+    bounds = listed.agg(F.sort_array(F.collect_set("__plen")).alias("l"), F.max(F.size(F.split(F.substring_index("__key", "/", 1), r"\."))).alias("labels")).first()
+    lengths, most = bounds["l"] or [], bounds["labels"] or 1
+    host, path = split_url(F.col(url))
+    base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.filter(F.array(*[F.when(F.length("path") >= n, F.expr(f"substring(path, 1, {n})")) for n in lengths]).cast("array<string>"), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    candidates = base.where("host <> ''").select("__row", F.explode(F.array_distinct(keys)).alias("__key"))
+    candidates = base.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(keys)).alias("__key"))
     bloom = blocked_bloom(listed.select("__key"), blocks, probes)
     possible = (
         candidates.withColumn("__block", _block(F.col("__key"), blocks))
         .join(F.broadcast(bloom), "__block")
         .where(F.col("__word").bitwiseAND(_mask(F.col("__key"), probes)) == _mask(F.col("__key"), probes))
-        .select("__row", "__key")
+        .select("host", "path", "__key")
     )
-    hits = possible.join(listed, "__key").groupBy("__row").agg(F.max_by(F.struct("rule", "verdict"), F.struct("__len", "__key")).alias("__hit"))
-    return base.join(hits, "__row", "left").select("page_id", "host", "path", F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
+    hits = possible.join(listed, "__key").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("__len", "__key")).alias("__hit"))
+    # written on its own: the pages of a host and path that very many have can then be split among tasks in the join
+    hits = written(hits, "hits")
+    return base.join(hits, ["host", "path"], "left").select("page_id", "host", "path", F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The query's rules.
