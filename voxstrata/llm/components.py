@@ -62,12 +62,12 @@ def components(links: DataFrame) -> DataFrame:
     return written(at.join(sized(least, least.count()), "to").select("node", "component"), "components")
 
 
-def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None, reach: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None, reach: float | None = None, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links (a, b) that connect whatever verified pairs within blocks connect.
 
     blocks: key, node, rank (the leader has the smallest) and more columns; fits(x, y) is a cheap condition on a pair's
     rows, given the prefixes of their columns; verify(pairs (a, b)), called at most twice, keeps the links.
-    prepare gets the nodes that share a key first.
+    prepare gets the nodes that share a key first.  Pairs that earlier links (linked) connect aren't tried.
     With reach, verify gives the pairs that it measured, with their distance, a metric, as column far: links are those
     up to reach, and the others spare pairs.
     With most, members of larger blocks that aren't connected with their leader's component are tried against that
@@ -83,11 +83,11 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
     leaders = shared.groupBy("key").agg(F.min(F.struct("rank", "node", *[c for c in rest if c not in ("rank", "node")])).alias("l"))
     held = written(shared.select("key", "size", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key"), "blocks")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    linked = lambda got: got if reach is None else got.where(F.col("far") <= reach).select("a", "b")
+    close = lambda got: got if reach is None else got.where(F.col("far") <= reach).select("a", "b")
     first = held.where((F.col("x_node") != F.col("l_node")) & fits("x_", "l_")).select(*pair("x_node", "l_node")).distinct()
     measured = written(verify(written(first, "pairs")), "measured")
-    links = linked(measured)
-    found = components(links)
+    links = close(measured)
+    found = components(links if linked is None else linked.select("a", "b").unionByName(links.select("a", "b")))
     n = found.count()
     of = lambda name: sized(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c")), n)
     placed = held.join(of("x_node"), "x_node", "left").join(of("l_node"), "l_node", "left")
@@ -110,7 +110,7 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
     near = F.coalesce(F.abs(F.col("far") - F.col("y_far")) <= (reach or 0) + 1e-9, F.lit(True))
     among = F.col("x_node") < F.col("y_node") if most is None else (F.col("x_node") < F.col("y_node")) & (F.col("size") <= most)
     second = x.join(y, ["key", "part"]).where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | among) & near & fits("x_", "y_"))
-    more = linked(verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs")))
+    more = close(verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs")))
     over = None if most is None else placed.where(~F.col("x_led") & (F.col("size") > most)).select(F.col("x_node").alias("node")).distinct()
     return written(links.unionByName(more), "links"), over
 

@@ -12,7 +12,8 @@ Exact Jaccard similarity of the lines' sets of ``gram`` characters verifies cand
 A band's lines are first tried against its commonest line, then those that this
 doesn't connect against each other.  In bands of more than ``most`` lines, as a
 passage that many lines hold makes them, these are tried against the lines that are
-connected with the commonest one, and joined among themselves by the prefixes
+connected with the commonest one; among themselves they go the same way twice more,
+with another leader in each band, and the rest is joined by the prefixes
 of their sets in order of rarity, in blocks of at most ``chunk`` lines a side: no
 pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
@@ -134,6 +135,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 
     reach = 1 - similarity + 1e-12
     links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare, reach)
+    for _ in range(2):
+        if over is None or not (n := (over := written(over, "over")).count()):
+            break
+        # another line leads each band now: a line meets as many leaders as it has bands
+        rest = blocks.join(sized(over, n), "node", "left_semi").withColumn("rank", F.xxhash64("key", "node"))
+        more, over = block_links(rest, verify, lambda x, y: F.lit(True), most, reach=reach, linked=links)
+        links = written(links.unionByName(more), "links")
     if over is not None and (n := (over := written(over, "over")).count()):
         texts = candidates[0].join(sized(over, n), "node", "left_semi")
         more = verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs"))
