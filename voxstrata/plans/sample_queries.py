@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from voxstrata.functions.boxes import AXES, cell
+from voxstrata.functions.boxes import AXES
 from voxstrata.functions.shared import shared_dir
-from voxstrata.operators import samples, spatial, voxel
+from voxstrata.operators import samples, spatial, tiling, voxel
 from voxstrata.plans import commands
 from voxstrata.plans.geometry_queries import _D2, B
 from voxstrata.plans.registry import query
@@ -96,6 +96,12 @@ def c_malis_passes(spark, sf):
     return samples.malis_passes(v, v.where("v % 7 = 0"))
 
 
+@query(V + ", t AS (SELECT 0 AS k, 0 AS dx, 0 AS dy UNION ALL SELECT 1, 10, 10), f AS (SELECT CAST(x + dx AS int) AS x, CAST(y + dy AS int) AS y, z, v, k FROM v, t WHERE v >= 100) SELECT x, y, z, arg_max(v, k) AS v FROM f GROUP BY x, y, z")
+def g_fuse_overwrite(spark, sf):
+    tile = voxels(spark, sf).where("v >= 100")
+    return commands.fuse([(tile, (0, 0, 0)), (tile, (10, 10, 0))])
+
+
 @query(V + ", t AS (SELECT 0 AS k, 0 AS dx, 0 AS dy UNION ALL SELECT 1, 10, 10), f AS (SELECT CAST(x + dx AS int) AS x, CAST(y + dy AS int) AS y, z, v, k FROM v, t WHERE v >= 100) SELECT x, y, z, max(v) AS v FROM f GROUP BY x, y, z")
 def g_fuse_command(spark, sf):
     tile = voxels(spark, sf).where("v >= 100")
@@ -134,7 +140,7 @@ def g_relabel_command(spark, sf):
 
 @query(V + ", c AS (SELECT CAST(x // 8 AS int) AS bx, count(*) AS n FROM v GROUP BY ALL) SELECT bx, n FROM c")
 def e_block_counts(spark, sf):
-    return voxels(spark, sf).groupBy(cell("x", 8).alias("bx")).agg(F.count("*").alias("n"))
+    return tiling.block_counts(voxels(spark, sf), 8, ("x",))
 
 
 def _stored(spark, sf, **options):
