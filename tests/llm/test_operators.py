@@ -539,3 +539,39 @@ def test_token_counts_equal_the_library(spark):
             t = WEIRD[r.doc_id] or ""
             n = len(ref.encode(t, num_threads=1))
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 4096)
+
+
+def odd_rows(spark):
+    """Rows that repeat, null ids and texts, an empty and a very long text, and columns with the operators' own names."""
+    return docs(spark, ["a b c d", "a b c d", None, "", "w x " * 40_000, "a b c d"], [1, 1, None, 4, 5, 6]).withColumns({c: F.lit(1) for c in ("ids", "n_tokens", "score", "ctx", "w", "c", "parts", "chunk", "node", "rank", "line", "kind", "first")})
+
+
+def test_language_model_on_odd_rows(spark):
+    df = odd_rows(spark)
+    got = sorted(((r.doc_id or 0, r.n_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm_trie.score_documents(df).collect()), key=str)
+    assert [(g[0], g[1]) for g in got] == [(0, 1), (1, 5), (1, 5), (4, 1), (5, 80_001), (6, 5)] and got[1] == got[2] and got[1][2:] == got[5][2:]
+    assert lm_trie.score_documents(df.limit(0)).count() == 0
+
+
+def test_encoders_on_odd_rows(spark):
+    vocabularies = pytest.importorskip("public_tokenizers")
+    df = odd_rows(spark)
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in byte_bpe.encode(df, path, vocabularies.PATTERN, digests_only=True).collect())
+    assert [g[0] for g in got] == [0, 1, 1, 4, 5, 6] and got[0][1] == got[3][1] == 0 and got[1] == got[2] and got[4][1] >= 40_000
+    assert byte_bpe.encode(df.limit(0), path, vocabularies.PATTERN).count() == 0
+    path = vocabularies.path("piece_bpe_32k.model")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(df, path).collect())
+    assert [g[0] for g in got] == [0, 1, 1, 4, 5, 6] and got[0][1:] == got[3][1:] == (0, 0, False) and got[1] == got[2] and got[4][1] == 160_000 and got[4][3]
+    assert token_counts.count_tokens(df.limit(0), path).count() == 0
+
+
+def test_lines_of_odd_rows(spark):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9000))
+    near = long[:30_000] + "zzz" + long[30_000:]
+    other = "here is one more line that is long enough"
+    df = odd_rows(spark).select("doc_id", "text", "node", "rank", "line", "kind", "first").unionByName(docs(spark, [long, near + "\n" + other, other], [10, 11, None]).withColumns({c: F.lit(1) for c in ("node", "rank", "line", "kind", "first")}).select("doc_id", "text", "node", "rank", "line", "kind", "first"))
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[11, 0] == (10, 0, False) and got[10, 0][2] and got[None, 0] == (None, 0, True) and got[11, 1] == (None, 0, False)
+    assert got[1, 0] == (1, 0, True) and got[6, 0] == (6, 0, True)  # too short to be compared

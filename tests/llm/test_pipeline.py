@@ -84,3 +84,37 @@ def test_what_is_left_is_encoded(steps):
 def test_stages_keep_the_columns(spark, steps):
     want = table(spark, SF, "documents").columns
     assert all(after.columns == want for name, (_, after) in steps.items() if name != "byte_bpe")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def small(spark, path, rows):
+    """A folder with these documents, and the labels and benchmark of the smallest tables."""
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{path}/{name}.parquet")
+    return f"file://{path}"
+
+
+def test_stages_act_on_rows_and_not_on_ids(spark, tmp_path):
+    """Ids that repeat or are null: no row goes, and no line, for what another row of its id holds."""
+    line = lambda k: f"line {k} of those that are long enough to be compared with {k * k} others {k}"
+    item = table(spark, SF, "benchmark").first().text
+    rows = [(1, line(1) + "\n" + line(2)), (2, line(1) + "\n" + line(3)), (2, line(4) + "\n" + line(5)), (3, None), (3, ""), (None, line(6)), (None, line(7)), (4, item), (4, line(8) + " " + line(9))]
+    sf = small(spark, str(tmp_path), rows)
+    docs = table(spark, sf, "documents")
+    lines = corpus_pipeline.drop_lines(spark, docs, sf)
+    assert lines.columns == docs.columns
+    want = [(1, rows[0][1]), (2, line(3)), *rows[2:]]
+    assert sorted(((r.doc_id, r.text) for r in lines.collect()), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text or "") for r in lines.collect() if r.text)
+    kept = corpus_pipeline.drop_leaks(spark, lines, sf)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((r for r in want if r[1] != item), key=str)
+    again = spark.createDataFrame([(5, line(1) * 3, "en", "s", 1), (5, line(2) * 3, "en", "s", 1), (6, line(1) * 3, "en", "s", 1), (None, line(2) * 3, "en", "s", 1), (5, line(1) * 3, "en", "s", 1)], SCHEMA)
+    assert sorted(r.text for r in corpus_pipeline.drop_copies(spark, again, sf).collect()) == [line(1) * 3, line(2) * 3]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    out = corpus_pipeline.run(spark, small(spark, str(tmp_path), []))
+    assert out.count() == 0 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     # written on its own, so that a common line's rows can be split among tasks in the join
     first = written(grouped.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     return grouped.join(first, "group", "left").select(
-        "doc_id", "line_no", F.coalesce("first.doc_id", "doc_id").alias("first_doc_id"), F.coalesce("first.line_no", "line_no").alias("first_line_no"), (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("kept")
+        "doc_id", "line_no", *[F.when(F.col("first").isNull(), F.col(c)).otherwise(F.col(f"first.{c}")).alias(f"first_{c}") for c in ("doc_id", "line_no")], (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("kept")
     )
 
 
