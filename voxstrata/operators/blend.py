@@ -71,6 +71,17 @@ def weights(spark: SparkSession, size: int, overlap: int, kind: str = "zung") ->
     return bumps.groupBy(*keys).agg((F.sum(F.when(own, F.col("b")).otherwise(0.0)) / F.sum("b")).alias("w"))
 
 
+def mask_edge(weights: DataFrame, size: int, edge) -> DataFrame:
+    """Weights (dx, dy, dz, w) of a cube with so many outer layers of each axis zero: at its low end, or its high end for a negative number."""
+    gone = F.lit(False)
+    for a, e in zip(AXES, edge):
+        if abs(e) >= size:
+            raise ValueError("nothing would be left")
+        if e:
+            gone = gone | ((F.col(f"d{a}") < e) if e > 0 else (F.col(f"d{a}") >= size + e))
+    return weights.withColumn("w", F.when(gone, F.lit(0.0)).otherwise(F.col("w")))
+
+
 def extent(tiles: DataFrame) -> DataFrame:
     """Low corner and shape of tiles (ox .. oz, nx .. nz) that lie at translations."""
     return tiles.agg(*[F.min(f"o{a}").alias(f"lo_{a}") for a in AXES], *[(F.max(F.col(f"o{a}") + F.col(f"n{a}")) - F.min(f"o{a}")).alias(f"n_{a}") for a in AXES])

@@ -116,10 +116,18 @@ def affinities(classed: DataFrame, offs, column: str = "c") -> DataFrame:
     return moved.join(kept.select(*AXES, column), [*AXES, column]).select(*[F.col(f"from_{a}").alias(a) for a in AXES], "offset")
 
 
+def affinities_between(one: DataFrame, two: DataFrame, offs) -> DataFrame:
+    """x, y, z, offset (its ordinal), a: the bits that a value of one shares with the value of two at the place less the offset, where there are any."""
+    sides = [F.struct(*[F.lit(o[i]).alias(f"d{a}") for i, a in enumerate(AXES)], F.lit(k).alias("offset")) for k, o in enumerate(offs)]
+    moved = two.where("v <> 0").withColumn("o", F.explode(F.array(*sides))).select(*[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES], F.col("v").alias("w"), F.col("o.offset").alias("offset"))
+    both = F.col("v").bitwiseAND(F.col("w"))
+    return moved.join(one.select(*AXES, "v"), list(AXES)).where(both != 0).select(*AXES, "offset", both.alias("a"))
+
+
 def filter_skeletons(nodes: DataFrame, lo, hi, key: str) -> DataFrame:
     """Nodes of the groups with any node, cut to whole numbers, in the closed box."""
     whole = nodes.select(key, *[F.col(a).cast("int").alias(a) for a in AXES])
     return nodes.join(whole.where(closed(lo, hi)).select(key).distinct(), key, "left_semi")
 
 
-__all__ = ["affinities", "bounding_boxes", "boxes_overlap", "distance_pairs", "filter_skeletons", "knn", "points_in_boxes", "relabel_nearest", "shifted"]
+__all__ = ["affinities", "affinities_between", "bounding_boxes", "boxes_overlap", "distance_pairs", "filter_skeletons", "knn", "points_in_boxes", "relabel_nearest", "shifted"]
