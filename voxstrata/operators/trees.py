@@ -164,6 +164,14 @@ def reroot(nodes: DataFrame, new_root: int) -> DataFrame:
     return nodes.select("id", "parent").join(turned, "id", "left").select("id", F.coalesce("new", "parent").alias("parent"))
 
 
+def connect(nodes: DataFrame, a: int, b: int) -> DataFrame:
+    """id, parent with the tree of b turned so that b is its root, and hung on a; unchanged where both are of one tree, as that would be a loop."""
+    tops = nearest_above(nodes, F.lit(False)).where(F.col("id").isin(a, b)).select("id", "at").collect()  # two rows
+    if len(tops) < 2 or tops[0]["at"] == tops[1]["at"]:
+        return nodes.select("id", "parent")
+    return reroot(nodes, b).select("id", F.when(F.col("id") == b, F.lit(a)).otherwise(F.col("parent")).cast("int").alias("parent"))
+
+
 def concat(nodes: DataFrame, file: str) -> DataFrame:
     """file, id, new_id, new_parent: files in order, each one's ids moved behind those before; roots keep -1.
 

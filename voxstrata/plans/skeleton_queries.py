@@ -83,6 +83,16 @@ def i_reroot(spark, sf):
     return trees.reroot(swc_nodes(spark, sf), 90)
 
 
+@query(A + ", h AS (SELECT up, lag(up) OVER (ORDER BY k) AS below FROM a WHERE id = 250) SELECT t.id, CAST(CASE WHEN h.up IS NOT NULL THEN coalesce(h.below, 90) ELSE t.parent END AS int) AS parent FROM t LEFT JOIN h ON h.up = t.id")
+def i_connect(spark, sf):
+    return trees.connect(swc_nodes(spark, sf), 90, 250)
+
+
+@query(T + " SELECT id, parent FROM t")
+def i_connect_loop(spark, sf):
+    return trees.connect(swc_nodes(spark, sf), 90, 30)
+
+
 @query(T + ", n AS (SELECT tree_id, count(*) AS n, min(id) AS low FROM t GROUP BY tree_id), o AS (SELECT tree_id, coalesce(sum(n) OVER (ORDER BY tree_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - low + 1 AS off FROM n) SELECT tree_id, id, CAST(id + off AS int) AS new_id, CAST(CASE WHEN parent = -1 THEN -1 ELSE parent + off END AS int) AS new_parent FROM t JOIN o USING (tree_id)")
 def i_concat_offsets(spark, sf):
     return trees.concat(swc_nodes(spark, sf), "tree_id")
