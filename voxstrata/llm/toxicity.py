@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxstrata.llm.common import small_batches, with_key, written
+from voxstrata.llm.components import sized
 from voxstrata.llm.words import shingles_at
 
 _EDGE = b".,;:!?\"'()[]{}<>*#%&|-_/"
@@ -249,18 +251,14 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of docs whose own text scores under 0.5; learns from rows that aren't held out only.  Nothing is shuffled."""
-    shipped = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, labels.where(~held_out(doc_id)), doc_id, text, label))
-    place = docs.columns.index(text)
-
-    def run(batches):
-        scorer = Scorer(shipped.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield part.filter(pa.array(scorer(part.column(place).to_pylist())[0] < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs whose own text scores under 0.5; learns from rows that aren't held out only.
+
+    Only the keys of the others are written, and joined back: as a broadcast where they are few."""
+    model = fit_sample(docs, labels.where(~held_out(doc_id)), doc_id, text, label)
+    keyed, key = with_key(docs, doc_id)
+    with small_batches(docs.sparkSession):
+        bad = written(score(keyed, model, key, text, spans=False).where("predicted = 1").select(F.col("doc_id").alias(key)), "toxic")
+    return keyed.join(sized(bad, bad.count()), key, "left_anti").select(docs.columns)
 
 
 def _spans(texts, owner, lengths, p, span_at):
