@@ -334,6 +334,8 @@ def test_line_dedup_finds_near_lines(spark, most):
 
 
 def test_line_dedup_texts(spark):
+    clash = docs(spark, ["a line that is long enough to be looked at\n" * 2, "x"]).withColumns({"gone": F.lit(1), "_gone": F.lit(2), "line_no": F.lit(3)})
+    assert sorted(map(tuple, line_dedup.without_duplicates(clash).select("doc_id", "text", "gone", "_gone", "line_no").collect())) == [(0, "a line that is long enough to be looked at\n", 1, 2, 3), (1, "x", 1, 2, 3)]
     a, b = "this line is long enough to be looked at here", "another line that is long enough to be looked at"
     got = line_dedup.without_duplicates(docs(spark, [a + "\n\n" + b, "x\n" + a, b + "\n" + b, None, "", "Short"]))
     assert {r.doc_id: r.text for r in got.collect()} == {0: a + "\n\n" + b, 1: "x", 3: None, 4: "", 5: "Short"}

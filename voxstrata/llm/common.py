@@ -55,8 +55,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def with_key(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """df and the name of a column that tells its rows apart: key itself, or the number of the row in a written copy where key repeats or is null."""
     if df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
         return df, key
-    return written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+    row = free_name(df, "row")
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row

@@ -36,7 +36,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxstrata.llm.common import written
+from voxstrata.llm.common import free_name, written
 from voxstrata.llm.components import apart_in, block_links, components, sized
 
 
@@ -158,9 +158,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 
 def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with duplicate lines taken out of the text; rows that lose every line that isn't blank are dropped.  doc_id tells rows apart."""
-    gone = written(dedup_lines(docs, doc_id, text, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
-    n = gone.agg(F.sum(1 + F.size("__gone") / 8)).first()[0] or 0
+    lost = free_name(docs, "gone")
+    gone = written(dedup_lines(docs, doc_id, text, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(lost)), "gone")
+    n = gone.agg(F.sum(1 + F.size(lost) / 8)).first()[0] or 0
     joined = docs.join(sized(gone.withColumnRenamed("doc_id", doc_id), int(n)), doc_id, "left")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains("__gone", k)), "\n")
-    out = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
-    return out.where(F.col("__gone").isNull() | (F.trim(F.translate(text, "\n", " ")) != "")).select(docs.columns)
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains(lost, k)), "\n")
+    out = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(rest))
+    return out.where(F.col(lost).isNull() | (F.trim(F.translate(text, "\n", " ")) != "")).select(docs.columns)
