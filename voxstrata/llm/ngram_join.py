@@ -119,15 +119,31 @@ def prefix(tokens: tuple[np.ndarray, np.ndarray, np.ndarray], counts: Sketch, or
     return s[np.lexsort(keys)][: prefix_length(len(s), per_cent)]
 
 
-def heavy_filter(keys: DataFrame) -> np.ndarray:
-    """The filter of tokens `key`: at most 2 ** (HEAVY_BITS - 6) words, however many tokens there are.  A false hit only moves a token in the order."""
-    at = F.shiftrightunsigned("key", 64 - HEAVY_BITS)
-    words_ = keys.select(F.shiftrightunsigned(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - HEAVY_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _filter_place(key: Column) -> tuple[Column, Column]:
+    """A token's word of the filter, and its bit there as a mask."""
+    return F.shiftrightunsigned(key, 64 - HEAVY_BITS + 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 64 - HEAVY_BITS).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def heavy_words(keys: DataFrame) -> DataFrame:
+    """(word, bits) of the filter of tokens `key`: at most 2 ** (HEAVY_BITS - 6) rows, however many tokens there are."""
+    word, mask = _filter_place(F.col("key"))
+    return keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+
+
+def heavy_filter(words_: DataFrame) -> np.ndarray:
+    got = words_.toArrow()
     out = np.zeros(1 << HEAVY_BITS - 6, np.uint64)
-    out[words_.column("word").to_numpy()] = words_.column("bits").to_numpy().view(np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def in_filter(tokens: DataFrame, words_: DataFrame) -> DataFrame:
+    """The rows whose token `key` the filter holds, by the filter's own bits: tokens that it holds by chance are moved like the heavy ones."""
+    word, mask = _filter_place(F.col("key"))
+    met = tokens.withColumn("word", word).join(F.broadcast(words_), "word")  # of bounded size, see heavy_words
+    return met.where(F.col("bits").bitwiseAND(mask) != 0).drop("word", "bits")
+
+
 def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
     """Lists of the hashes as signed numbers; as 32-bit ones their low halves, enough for a filter."""
     ends = np.cumsum([0] + [len(a) for a in arrays])
@@ -172,13 +188,14 @@ def _linked(docs: DataFrame, size: int, per_cent: int, most: int) -> DataFrame:
     classes = written(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     prefixes = named.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "p")
 
-    # the first order mended: a document whose prefix holds none of the moved tokens keeps its prefix
+    # the first order mended: a document whose prefix holds no token of the filter keeps its prefix, which is that of the mended order too
     spread = lambda df: df.select("node", F.explode("p").alias("key"))
     heavy = written(spread(prefixes).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most).select("key"), "heavy")
-    if m := heavy.count():
-        orders.heavy = heavy_filter(heavy)
+    if not heavy.isEmpty():
+        bits = written(heavy_words(heavy), "heavy-words")
+        orders.heavy = heavy_filter(bits)
         mended = spark.sparkContext.broadcast(orders)
-        moved = written(spread(prefixes).join(sized(heavy, m), "key", "left_semi").select("node").distinct(), "moved")
+        moved = written(in_filter(spread(prefixes), bits).select("node").distinct(), "moved")
         some = sized(moved, moved.count())
         again = docs.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(signatures(mended), signed_schema)
         again = written(again.where("n > 0").select(F.col("doc_id").alias("node"), "n", "p"), "mended")
