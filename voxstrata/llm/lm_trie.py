@@ -387,6 +387,11 @@ def _told(path: str, c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["path", "c0", "w0", "c1", "w1", "n"])
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in 32 bits where all of a shard's fit, else in 64."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts.astype(np.int64)
+
+
 def _columns(batches) -> list[np.ndarray]:
     held = list(batches)
     return [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(held[0].num_columns)] if held else []
@@ -510,7 +515,7 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         probs, prob_book = quantised(prob)
         back, back_book = quantised(backs)
         kind = np.uint32 if trie.vocabulary.size < 2**32 else np.int64
-        save(path := f"{root}/level{k}-{uuid.uuid4().hex}", ef_build(places) | {"words": w.astype(kind), "probs": probs, "prob_book": prob_book, "back": back, "back_book": back_book, "counts": np.minimum(c, 2**32 - 1).astype(np.uint32)})
+        save(path := f"{root}/level{k}-{uuid.uuid4().hex}", ef_build(places) | {"words": w.astype(kind), "probs": probs, "prob_book": prob_book, "back": back, "back_book": back_book, "counts": narrow(c)})
         yield _told(path, ctx, w)
 
     return Level(_shards(rows, ["ctx", "w"], per_shard, write))
