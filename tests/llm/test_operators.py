@@ -456,7 +456,10 @@ def brute_leaks(documents, items, window=5, similarity=0.8):
             res.append((w, [next(values) for _ in range(w.count("<"))]))
         return res if res != [("", [])] else []
 
-    cut = lambda ws: [tuple(w for w, _ in ws[i : i + window]) for i in range(max(1, len(ws) - window + 1))] if ws else []
+    numbers = lambda w, values: tuple(v for kind, v in zip(regex.findall("<(.)>", w), values) if kind == "n")
+    # windows of placeholders alone keep their numbers
+    key = lambda ws: tuple((w, numbers(w, v) if all("<" in x for x, _ in ws) else ()) for w, v in ws)
+    cut = lambda ws: [key(ws[i : i + window]) for i in range(max(1, len(ws) - window + 1))] if ws else []
     out = set()
     for names in (True, False):
         its = {i: words(t, names) for i, t in items if t}
@@ -577,3 +580,43 @@ def test_lines_of_odd_rows(spark):
     got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in line_dedup.dedup_lines(df).collect()}
     assert got[11, 0] == (10, 0, False) and got[10, 0][2] and got[None, 0] == (None, 0, True) and got[11, 1] == (None, 0, False)
     assert got[1, 0] == (1, 0, True) and got[6, 0] == (6, 0, True)  # too short to be compared
+
+
+def test_decontamination_needs_words_not_placeholders(spark):
+    table_ = " ".join(map(str, range(2000)))
+    items = [(1, " ".join(str(7 * k) for k in range(60))), (2, "The rows are 1 2 3 4 5 6 7 8 9 10 11 12"), (3, "2 4 8"), (4, "41 42 43 44 45 46 47 48 49")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    texts = [table_, "2 4 8 16 32 64 128", items[0][1], items[1][1].replace("12", "13"), "3 4 8", "2 4 8", "x " * 6 + items[0][1]]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), b).collect()}
+    assert got == {(0, 4), (2, 1), (3, 2), (5, 3), (6, 1)}
+    assert got == brute_leaks(list(enumerate(texts)), items)
+
+
+def test_ngram_join_has_one_first_order_whatever_the_filter_hits(spark, monkeypatch):
+    """A document left with its old prefix has the same one under the mended order, also where the filter holds tokens by chance."""
+    monkeypatch.setattr(ngram_join, "HEAVY_BITS", 12)
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    heavy = pool[:253]
+    bits = ngram_join.heavy_words(spark.createDataFrame([(int(k),) for k in heavy.view(np.int64)], "key long"))
+    before = ngram_join.Sketch(np.zeros((2, 1 << ngram_join.BITS), np.int64))
+    after = ngram_join.Sketch(np.zeros((2, 1 << ngram_join.BITS), np.int64))
+    after.heavy = ngram_join.heavy_filter(bits)
+    sets = [np.unique(rng.choice(pool, 40)) for _ in range(600)]
+    tokens = [(s, (s >> np.uint64(50)) & np.uint64(255), s & np.uint64(7)) for s in sets]
+    old, new = ([ngram_join.prefix(t, c, 0, 90) for t in tokens] for c in (before, after))
+    rows = [(n, int(k)) for n, p in enumerate(old) for k in p.view(np.int64)]
+    moved = {r.node for r in ngram_join.in_filter(spark.createDataFrame(rows, "node int, key long"), bits).select("node").distinct().collect()}
+    assert 0 < len(moved) < len(sets)
+    assert all(n in moved or np.array_equal(old[n], new[n]) for n in range(len(sets)))
+    assert any(n in moved and not np.isin(old[n], heavy).any() for n in range(len(sets)))  # chance hits
+
+
+def test_trie_keeps_counts_beyond_32_bits(tmp_path):
+    counts = np.array([5, 2**32 - 1, 2**32, 6 * 10**9])
+    paths = [f"file://{tmp_path}/{k}" for k in range(2)]
+    for path, c in zip(paths, (counts, counts[:2])):
+        lm_trie.save(path, {"counts": lm_trie.narrow(c)})
+    level = lm_trie.Level([lm_trie.Shard(paths[0], (0, 0), (0, 3), 0, 4), lm_trie.Shard(paths[1], (0, 4), (0, 5), 4, 2)])
+    assert level.counts_of(np.arange(6)).tolist() == [*counts.tolist(), 5, 2**32 - 1]
+    assert lm_trie.load(paths[1])["counts"].dtype == np.uint32

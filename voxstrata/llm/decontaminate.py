@@ -12,6 +12,9 @@ of the item's distinct windows.  All this is done for two forms of the texts: th
 whole template, and one made of the text in lower case, without names, as names
 can't be told from other words in a text in capitals; either will do.
 
+A window of placeholders alone is no evidence: there the numbers' own values count, so
+a table of numbers holds only an item of the same numbers.
+
 A capitalised word is a name only after a small letter, a number, a comma or a
 semicolon: one that begins a sentence is a word like others, so where it is changed
 the windows that hold it are lost.  An item of fewer words than a window is one window,
@@ -51,15 +54,24 @@ def _plain(text: Column, names: bool) -> Column:
     return F.translate(text if names else F.lower(text), "<>", "  ")
 
 
+def _valued(text: Column, names: bool) -> Column:
+    """The template with each number's value in its placeholder, as <n:12>; it has the same words."""
+    t = F.regexp_replace(_plain(text, names), _NUMBER, "<n:$0>")
+    t = F.regexp_replace(t, rf"(?<=[0-9]>) ?{_UNITS}", " <u>")
+    if names:
+        t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}0-9,;>] ){_NAMES}", "<p>")
+    return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
+
+
+def _unvalued(template: Column) -> Column:
+    return F.regexp_replace(template, "<n:[^<>]*>", "<n>")
+
+
 def template(text: Column, names: bool = True) -> Column:
     """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends.
 
     Without names there is no <p>, and letter case makes no difference."""
-    t = F.regexp_replace(_plain(text, names), _NUMBER, "<n>")
-    t = F.regexp_replace(t, rf"(?<=<n>) ?{_UNITS}", " <u>")
-    if names:
-        t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}0-9,;>] ){_NAMES}", "<p>")
-    return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
+    return _unvalued(_valued(text, names))
 
 
 def slot_values(text: Column, names: bool = True) -> Column:
@@ -79,11 +91,18 @@ def word_list(text: Column) -> Column:
     return F.split(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")), " +")
 
 
-def _windows(words: Column, window: int) -> Column:
-    """Hashes of the windows of a word list; a shorter list is one window."""
-    cut = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (window - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, window)))
-    # bound to a lambda's variable, the list is made once for a text and not once for a window
-    return F.flatten(F.transform(F.filter(F.array(words), lambda ws: (F.size(ws) > 1) | (ws[0] != "")), cut))
+def _windows(text: Column, names: bool, window: int) -> Column:
+    """Hashes of the windows of a text's template; a shorter template is one window.  Windows of placeholders alone are hashed with their numbers."""
+    at = lambda ws: F.sequence(F.lit(1), F.greatest(F.size(ws) - (window - 1), F.lit(1)))
+    cut = lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, window)))
+    bare = lambda ws, i: ~F.exists(F.slice(ws, i, window), lambda w: ~w.contains("<"))
+    told = lambda ws, vs: F.transform(at(ws), lambda i: F.xxhash64(F.slice(F.when(bare(ws, i), vs).otherwise(ws), i, window)))
+    slot = r"\S*<\S*"
+    somewhere = rf"(?:^|\s){slot}(?:\s+{slot}){{{window - 1}}}|^\s*{slot}(?:\s+{slot})*\s*$"
+    # bound to a lambda's variable, a list is made once for a text and not once for a window
+    lists = lambda v: F.array(F.struct(word_list(_unvalued(v)).alias("ws"), F.when(v.rlike(somewhere), word_list(v)).alias("vs")))
+    made = lambda v: F.transform(F.filter(lists(v), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), lambda s: F.when(s["vs"].isNull(), cut(s["ws"])).otherwise(told(s["ws"], s["vs"])))
+    return F.flatten(F.flatten(F.transform(F.array(_valued(text, names)), made)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -91,21 +110,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
     # form 0 is the whole template, form 1 the one without names
     both = lambda make: make(True).withColumn("form", F.lit(0)).unionByName(make(False).withColumn("form", F.lit(1)))
-    of = lambda df, names: df.withColumn("words", word_list(template(F.col("text"), names)))
     texts = items
-    items = both(lambda names: of(texts, names).select("item_id", F.posexplode(_windows(F.col("words"), window)).alias("item_at", "hash")))
+    items = both(lambda names: texts.select("item_id", F.posexplode(_windows(F.col("text"), names, window)).alias("item_at", "hash")))
     items = written(items, "item-windows")
     n = items.count()
+    of_item = items.select("form", "item_id", "hash").distinct()
     sizes = items.groupBy("form", "item_id").agg(F.countDistinct("hash").alias("item_windows"))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     # the outer form keeps Spark from testing, thus making, the windows a second time below the explosion
-    spread = both(lambda names: of(source, names).select("doc_id", _windows(F.col("words"), window).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("doc_at", "hash")))
-    hits = written(spread.join(sized(items, n), ["form", "hash"]).select("form", "doc_id", "item_id", "hash", "doc_at", "item_at"), "hits")
-    likely = hits.groupBy("form", "doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(sized(sizes, n), ["form", "item_id"]).where(F.col("n") >= similarity * F.col("item_windows")).select("form", "doc_id", "item_id", "item_windows")
+    spread = both(lambda names: source.select("doc_id", _windows(F.col("text"), names, window).alias("hashes")).select("doc_id", F.posexplode_outer("hashes").alias("doc_at", "hash")))
+    # a row a window that any item has, however often items repeat it
+    hits = written(spread.join(sized(items.select("form", "hash").distinct(), n), ["form", "hash"]).select("form", "doc_id", "hash", "doc_at"), "hits")
+    met = hits.select("form", "doc_id", "hash").distinct().join(sized(of_item, n), ["form", "hash"])
+    likely = met.groupBy("form", "doc_id", "item_id").agg(F.count("*").alias("n")).join(sized(sizes, n), ["form", "item_id"]).where(F.col("n") >= similarity * F.col("item_windows")).select("form", "doc_id", "item_id", "item_windows")
     likely = written(likely, "likely")
     m = likely.count()
     pair = ["form", "doc_id", "item_id"]
-    near = written(hits.join(sized(likely, m), pair).withColumn("shift", F.col("doc_at") - F.col("item_at")), "near")
+    near = hits.join(sized(likely, m), ["form", "doc_id"]).join(sized(items, n), ["form", "item_id", "hash"])
+    near = written(near.withColumn("shift", F.col("doc_at") - F.col("item_at")), "near")
     # the placeholders of the documents and items in play; these are written, so that templates are made of their texts alone
     pick = lambda df, key: written(df.join(sized(likely.select(key).distinct(), m), key, "left_semi"), "texts")
     placed = lambda df, key, out: both(lambda names: df.select(key, F.explode(slots(F.col("text"), names)).alias("s")).select(key, F.col("s.word").alias(f"{out}_word"), "s.nth", F.col("s.value").alias(f"{out}_value")))
