@@ -458,7 +458,7 @@ def brute_leaks(documents, items, window=5, similarity=0.8):
 
     numbers = lambda w, values: tuple(v for kind, v in zip(regex.findall("<(.)>", w), values) if kind == "n")
     # windows of placeholders alone keep their numbers
-    key = lambda ws: tuple((w, numbers(w, v) if all("<" in x for x, _ in ws) else ()) for w, v in ws)
+    key = lambda ws: tuple((w, numbers(w, v) if all("<" in x[:2] for x, _ in ws) else ()) for w, v in ws)
     cut = lambda ws: [key(ws[i : i + window]) for i in range(max(1, len(ws) - window + 1))] if ws else []
     out = set()
     for names in (True, False):

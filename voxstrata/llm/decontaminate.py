@@ -54,24 +54,24 @@ def _plain(text: Column, names: bool) -> Column:
     return F.translate(text if names else F.lower(text), "<>", "  ")
 
 
-def _valued(text: Column, names: bool) -> Column:
-    """The template with each number's value in its placeholder, as <n:12>; it has the same words."""
-    t = F.regexp_replace(_plain(text, names), _NUMBER, "<n:$0>")
-    t = F.regexp_replace(t, rf"(?<=[0-9]>) ?{_UNITS}", " <u>")
+def _replaced(text: Column, names: bool, number: str, behind: str) -> Column:
+    t = F.regexp_replace(_plain(text, names), _NUMBER, number)
+    t = F.regexp_replace(t, rf"(?<={behind}) ?{_UNITS}", " <u>")
     if names:
         t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}0-9,;>] ){_NAMES}", "<p>")
     return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
 
 
-def _unvalued(template: Column) -> Column:
-    return F.regexp_replace(template, "<n:[^<>]*>", "<n>")
-
-
 def template(text: Column, names: bool = True) -> Column:
     """The text with placeholders <n>, <u>, <p>, in lower case, without punctuation at words' ends.
 
     Without names there is no <p>, and letter case makes no difference."""
-    return _unvalued(_valued(text, names))
+    return _replaced(text, names, "<n>", "<n>")
+
+
+def _valued(text: Column, names: bool) -> Column:
+    """The template with each number's value in its placeholder, as <n:12>; it has the same words."""
+    return _replaced(text, names, "<n:$0>", "[0-9]>")
 
 
 def slot_values(text: Column, names: bool = True) -> Column:
@@ -92,17 +92,18 @@ def word_list(text: Column) -> Column:
 
 
 def _windows(text: Column, names: bool, window: int) -> Column:
-    """Hashes of the windows of a text's template; a shorter template is one window.  Windows of placeholders alone are hashed with their numbers."""
+    """Hashes of the windows of a text's template; a shorter template is one window.  Windows of placeholders alone are hashed with their numbers.
+
+    A placeholder may have one character before it, as in $5."""
     at = lambda ws: F.sequence(F.lit(1), F.greatest(F.size(ws) - (window - 1), F.lit(1)))
     cut = lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, window)))
-    bare = lambda ws, i: ~F.exists(F.slice(ws, i, window), lambda w: ~w.contains("<"))
+    bare = lambda ws, i: F.forall(F.slice(ws, i, window), lambda w: w.rlike(r"^\S?<"))
     told = lambda ws, vs: F.transform(at(ws), lambda i: F.xxhash64(F.slice(F.when(bare(ws, i), vs).otherwise(ws), i, window)))
-    slot = r"\S*<\S*"
-    somewhere = rf"(?:^|\s){slot}(?:\s+{slot}){{{window - 1}}}|^\s*{slot}(?:\s+{slot})*\s*$"
-    # bound to a lambda's variable, a list is made once for a text and not once for a window
-    lists = lambda v: F.array(F.struct(word_list(_unvalued(v)).alias("ws"), F.when(v.rlike(somewhere), word_list(v)).alias("vs")))
-    made = lambda v: F.transform(F.filter(lists(v), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), lambda s: F.when(s["vs"].isNull(), cut(s["ws"])).otherwise(told(s["ws"], s["vs"])))
-    return F.flatten(F.flatten(F.transform(F.array(_valued(text, names)), made)))
+    somewhere = rf"\S?<(?:\S*\s+\S?<){{{window - 1}}}|^\s*\S?<\S*(?:\s+\S?<\S*)*\s*$"
+    # bound to a lambda's variable, a list is made once for a text and not once for a window; numbers are looked at only where such a window is
+    lists = lambda t: F.array(F.struct(word_list(t).alias("ws"), F.when(t.rlike(somewhere), word_list(_valued(text, names))).alias("vs")))
+    made = lambda t: F.transform(F.filter(lists(t), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), lambda s: F.when(s["vs"].isNull(), cut(s["ws"])).otherwise(told(s["ws"], s["vs"])))
+    return F.flatten(F.flatten(F.transform(F.array(template(text, names)), made)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 5, similarity: float = 0.8) -> DataFrame:
