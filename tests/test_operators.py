@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxstrata.functions.boxes import closed, half_open
-from voxstrata.operators import blend, cc, model, morphology, reconnect, samples, spatial, store, tiling, trees, voxel
+from voxstrata.operators import blend, cc, model, morphology, reconnect, samples, skeletons, spatial, store, tiling, trees, voxel
 from voxstrata.sources import chunked, files
 
 
@@ -127,7 +127,7 @@ def test_model_halo_equals_whole_volume(spark):
 def test_skeleton_of_a_line(spark):
     a = np.zeros((20, 3, 3), int)
     a[:, 1, 1] = 1
-    rows = model.skeletonize(cc.label_voxels(frame(spark, a), 20, block=8), 5).collect()
+    rows = skeletons.skeletonize(cc.label_voxels(frame(spark, a), 20, block=8), 20, chunk=8, least=5).collect()
     assert len(rows) == 20 and sum(r.parent == -1 for r in rows) == 1
 
 

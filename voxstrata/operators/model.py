@@ -1,8 +1,7 @@
-"""Block models: dense blocks through a pluggable function, and skeletons of labelled voxels."""
+"""Block models: dense blocks through a pluggable function."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxstrata.functions.boxes import AXES, offsets
+from voxstrata.functions.boxes import AXES
 from voxstrata.operators.tiling import halo
 
 Model = Callable[[np.ndarray], np.ndarray]
@@ -57,65 +56,6 @@ def apply_windows(windows: DataFrame, model: Model, size: int) -> DataFrame:
     return rows.groupBy("wx", "wy", "wz").applyInPandas(lambda pdf: run(pdf), "wx int, wy int, wz int, x int, y int, z int, p double")
 
 
-def skeleton(points: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """A tree of centre lines through a component's voxels: from the farthest voxel, paths to the farthest voxels left,
-    through voxels deep inside, until every voxel is near a path."""
-    place = {tuple(p): i for i, p in enumerate(points.tolist())}
-    offs = offsets(1, 26)
-    near = [[j for o in offs if (j := place.get((p[0] + o[0], p[1] + o[1], p[2] + o[2]))) is not None] for p in points.tolist()]
-    inner = np.array([len(n) for n in near], float)  # neighbours stand in for the distance to the border
-    cost = (1.0 - inner / 27.0) ** 4 * 100 + 1
-
-    def shortest(start: int, weigh: bool):
-        dist, back = np.full(len(points), np.inf), np.full(len(points), -1)
-        dist[start] = 0
-        todo = [(0.0, start)]
-        while todo:
-            d, i = heapq.heappop(todo)
-            if d > dist[i]:
-                continue
-            for j in near[i]:
-                e = d + float(np.sqrt(((points[i] - points[j]) ** 2).sum())) * (cost[j] if weigh else 1.0)
-                if e < dist[j]:
-                    dist[j], back[j] = e, i
-                    heapq.heappush(todo, (e, j))
-        return dist, back
-
-    far, _ = shortest(0, False)
-    root = int(np.argmax(np.where(np.isinf(far), -1, far)))
-    away, _ = shortest(root, False)
-    _, back = shortest(root, True)
-    open_, edges, used = np.isfinite(away), [], set()
-    while open_.any():
-        i = int(np.argmax(np.where(open_, away, -1)))
-        path = [i]
-        while path[-1] not in used and back[path[-1]] >= 0:
-            path.append(int(back[path[-1]]))
-        edges += [(b, a) for a, b in zip(path, path[1:])]
-        used |= set(path)
-        for j in path:
-            reach = 2.0 + inner[j] / 9.0
-            open_ &= ((points - points[j]) ** 2).sum(1) > reach * reach
-    return np.array(sorted(used)), edges
-
-
-def skeletonize(labelled: DataFrame, least: int) -> DataFrame:
-    """label, id, parent (-1 at the root), x, y, z: a skeleton of every component with at least `least` voxels.
-
-    A group is one component of one chunk; large volumes are cut into overlapping chunks first (see tiling)."""
-    big = labelled.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(AXES))
-        points = pdf[list(AXES)].to_numpy()
-        nodes, edges = skeleton(points)
-        up = {b: a for a, b in edges}
-        number = {int(v): i + 1 for i, v in enumerate(nodes)}
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "id": [number[int(v)] for v in nodes], "parent": [number[up[int(v)]] if int(v) in up else -1 for v in nodes], **{a: points[nodes, k].astype(np.int32) for k, a in enumerate(AXES)}})
-
-    return labelled.join(big, "label", "left_semi").groupBy("label").applyInPandas(lambda pdf: run(pdf), "label long, id int, parent int, x int, y int, z int")
-
-
 def random_model(seed: int) -> Model:
     """A fixed random 3x3x3 convolution with a sigmoid, for tests of the model contract."""
     k = np.random.default_rng(seed).normal(size=(3, 3, 3))

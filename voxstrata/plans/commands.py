@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxstrata.functions.boxes import AXES
-from voxstrata.operators import blend, cc, model, reconnect, spatial, trees, voxel
+from voxstrata.operators import blend, cc, model, reconnect, skeletons, spatial, trees, voxel
 
 
 def _windows(df: DataFrame, side: int, size: int) -> DataFrame:
@@ -58,10 +58,10 @@ def relabel(voxels: DataFrame, points: DataFrame, side: int, threshold: float =
     return spatial.relabel_nearest(labelled, points)
 
 
-def skeletonize(voxels: DataFrame, side: int, threshold: float, least: int, dust: int, block: int = 16) -> DataFrame:
-    """label, id, parent, x, y, z of the skeletons with more than `dust` nodes."""
+def skeletonize(voxels: DataFrame, side: int, threshold: float, least: int, dust: int, block: int = 16, chunk: int = 64) -> DataFrame:
+    """label, id, parent, x, y, z of the skeletons with more than `dust` nodes, drawn chunk by chunk."""
     labelled = cc.remove_small(cc.label_voxels(voxel.threshold(voxels, threshold), side, block=block), least)
-    rows = model.skeletonize(labelled, least)
+    rows = skeletons.skeletonize(labelled, side, chunk, least)
     big = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > dust).select("label")
     return rows.join(big, "label", "left_semi")
 

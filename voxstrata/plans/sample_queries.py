@@ -127,7 +127,7 @@ def g_segment_command(spark, sf):
 
 @query()
 def i_skeletonize_command(spark, sf):
-    return commands.skeletonize(voxels(spark, sf), SIDE, 225, 5, 2)
+    return commands.skeletonize(voxels(spark, sf), SIDE, 225, 5, 2, chunk=16)
 
 
 @query(_cc("SELECT x, y, z, 1 AS c FROM v WHERE v >= 240") + f""", p AS (SELECT id, CAST(x % 32 AS int) AS x, CAST(y % 32 AS int) AS y, CAST(z % 32 AS int) AS z FROM ({POINTS})),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxstrata.functions.boxes import AXES, cell, closed, half_open
-from voxstrata.operators import blend, cc, model, morphology, tiling, voxel
+from voxstrata.operators import blend, cc, model, morphology, skeletons, tiling, voxel
 from voxstrata.plans.registry import query
 from voxstrata.sources.tables import SIDE, VOXELS, voxels
 
@@ -310,4 +310,4 @@ def g_segment_accumulate(spark, sf):
 
 @query()
 def i_skeletonize(spark, sf):
-    return model.skeletonize(cc.label_voxels(voxel.threshold(voxels(spark, sf), 225), SIDE, block=8), 10)
+    return skeletons.skeletonize(cc.label_voxels(voxel.threshold(voxels(spark, sf), 225), SIDE, block=8), SIDE, chunk=16, least=10)

@@ -14,9 +14,24 @@ NODES = """SELECT id, CASE WHEN id % 97 = 1 THEN -1 WHEN id % 11 = 0 AND id % 97
 POINTS = """SELECT CAST(c_custkey AS int) AS id, CAST((c_custkey * 37) % 101 AS int) AS x, CAST((c_custkey * 53) % 103 AS int) AS y,
   CAST((c_custkey * 71) % 107 AS int) AS z, CAST(c_nationkey AS int) AS g FROM customer"""
 
+_ALONG = ", ".join(f"({x})" for x in range(37))
+#: Rods along x, six apart, of five voxels in cross-section; some are tied to the next one by a bridge, and some of those by a second one, a loop.
+RODS = f"""SELECT x, CAST(6 * (k % 64) + 2 + dy AS int) AS y, CAST(6 * floor(k / 64.0) + 2 + dz AS int) AS z, k AS rod FROM
+  (SELECT CAST(c_custkey AS int) AS k, 12 + c_nationkey AS last FROM customer) c JOIN (VALUES {_ALONG}) a(x) ON x <= last, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dz)
+  UNION ALL SELECT x, CAST(6 * (k % 64) + 4 + dy AS int), CAST(6 * floor(k / 64.0) + 2 AS int), k FROM
+  (SELECT CAST(c_custkey AS int) AS k FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 64 < 63 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)) c
+  JOIN (VALUES (4), (9)) b(x) ON x = 4 OR k % 4 = 0, (VALUES (0), (1), (2)) o(dy)"""
+
+#: Voxels of a cross-section of 32 x 32, whose depth grows with the table.
+DEEP = """SELECT x, y, z, max(v) AS v FROM (SELECT CAST(l_partkey % 32 AS int) AS x, CAST((l_linenumber * 5 + l_suppkey) % 32 AS int) AS y,
+  CAST(floor(l_orderkey / 64.0) AS int) AS z, CAST(floor(l_extendedprice) % 256 AS int) AS v FROM lineitem) GROUP BY x, y, z"""
+
 #: Side of the voxel grid.
 SIDE = 32
 
+#: Side of a cube that holds the rods of 5 million customers.
+ROD_SIDE = 1 << 19
+
 
 def _derived(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {table}", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
@@ -27,6 +42,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "lineitem", VOXELS)
 
 
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, z, v: as voxels, but with a depth along z that grows with the table."""
+    return _derived(spark, sf_dir, "lineitem", DEEP)
+
+
 def swc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, parent (-1 at a root), tree_id, x, y, z, radius."""
     return _derived(spark, sf_dir, "orders", NODES)
@@ -35,3 +55,8 @@ def swc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, y, z, g."""
     return _derived(spark, sf_dir, "customer", POINTS)
+
+
+def rods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, z, rod: voxels of rods and bridges; their number and extent grow with the table."""
+    return spark.sql(RODS.replace("FROM customer", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/customer.parquet"))
