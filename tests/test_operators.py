@@ -186,11 +186,11 @@ def test_stream_keeps_the_maximum(spark, tmp_path):
     assert [(r.x, r.v) for r in blocks.current(spark, str(tmp_path / "out")).collect()] == [(1, 6)]
 
 
-@pytest.mark.parametrize("version,codec,separator", [(2, None, "."), (2, "zlib", "/"), (3, "gzip", "/"), (3, "zstd", ".")])
+@pytest.mark.parametrize("version,codec,separator", [(2, None, "."), (2, "zlib", "/"), (3, "gzip", "/"), (3, "zstd", "."), (chunked.N5, None, "."), (chunked.N5, "gzip", ".")])
 def test_chunked_arrays(spark, tmp_path, version, codec, separator):
     a = np.random.default_rng(version).integers(0, 4, (11, 9, 7)).astype(np.int16)
     a[:4, :4, :4] = 0  # a chunk that isn't written
-    array = chunked.Array(f"file://{tmp_path}/a", version, a.shape, (4, 4, 4), "<i2", codec, separator=separator)
+    array = chunked.Array(f"file://{tmp_path}/a", version, a.shape, (4, 4, 4), ">i2" if version == chunked.N5 else "<i2", codec, separator=separator)
     assert sum(r.n for r in chunked.write_array(frame(spark, a), array).collect()) == (a != 0).sum()
     assert chunked.open_array(array.path) == array
     assert (dense(chunked.read_array(spark, array.path), a.shape) == a).all()
@@ -201,6 +201,45 @@ def test_chunked_arrays(spark, tmp_path, version, codec, separator):
     assert chunked.read_array(spark, array.path, lo=(20, 0, 0)).count() == 0
 
 
+def test_written_arrays_hold_zeros_where_nothing_is(spark, tmp_path):
+    one = spark.createDataFrame([(1, 1, 2, 5)], "x int, y int, z int, v long")
+    array = chunked.Array(f"file://{tmp_path}/a", 2, (4, 4, 6), (4, 4, 2), "<i8", fill=7)
+    assert sum(r.n for r in chunked.write_array(one, array).collect()) == 1
+    assert [tuple(r) for r in chunked.read_array(spark, array.path).collect()] == [(1, 1, 2, 5)]
+    other = spark.createDataFrame([(3, 3, 5, 2**60 + 1)], "x int, y int, z int, v long")
+    with pytest.raises(FileExistsError):
+        chunked.write_array(other, array)
+    chunked.write_array(other, array, overwrite=True).count()
+    assert [tuple(r) for r in chunked.read_array(spark, array.path).collect()] == [(3, 3, 5, 2**60 + 1)]
+
+
+def test_n5_blocks_cut_at_an_end(spark, tmp_path):
+    """As other software writes them: axes in reverse, big endian, the last block only as large as the extent."""
+    (tmp_path / "1" / "0").mkdir(parents=True)
+    (tmp_path / "attributes.json").write_text(json.dumps({"dimensions": [3, 2, 2], "blockSize": [2, 2, 2], "dataType": "uint16", "compression": {"type": "raw"}}))
+    cube = np.array([[[258], [2]], [[3], [4]]], ">u2")  # x, y, z of one section
+    (tmp_path / "1" / "0" / "0").write_bytes(bytes([0, 0, 0, 3, 0, 0, 0, 1, 0, 0, 0, 2, 0, 0, 0, 2]) + cube.tobytes())
+    got = {(r.x, r.y, r.z): r.v for r in chunked.read_array(spark, f"file://{tmp_path}").collect()}
+    assert got == {(0, 0, 2): 258, (0, 1, 2): 2, (1, 0, 2): 3, (1, 1, 2): 4}
+
+
+def test_precomputed_scales(spark, tmp_path):
+    a = np.random.default_rng(8).integers(0, 250, (13, 10, 9))
+    path = f"file://{tmp_path}/p"
+    n = chunked.write_precomputed(frame(spark, a), path, a.shape, (4, 4, 4), resolution=(2, 2, 5), scales=3).count()
+    assert n == 4 * 3 * 3 + 2 * 2 * 1 + 1
+    info = json.loads((tmp_path / "p" / "info").read_text())
+    assert [s["key"] for s in info["scales"]] == ["2_2_5", "4_4_10", "8_8_20"] and info["scales"][1]["size"] == [6, 5, 4]
+    assert (tmp_path / "p" / "2_2_5" / "12-13_8-10_8-9").read_bytes() == a[12:13, 8:10, 8:9].astype(np.uint8).tobytes(order="F")
+    want = a
+    for scale in range(3):
+        assert (dense(chunked.read_precomputed(spark, path, scale), want.shape) == want).all()
+        x, y, z = (2 * (s // 2) for s in want.shape)
+        want = want[:x, :y, :z].reshape(x // 2, 2, y // 2, 2, z // 2, 2).sum((1, 3, 5)) // 8
+    with pytest.raises(FileExistsError):
+        chunked.write_precomputed(frame(spark, a), path, a.shape)
+
+
 def test_chunked_array_of_five_axes(spark, tmp_path):
     """As other software writes it: t, c, x, y, z, big endian, Fortran order, a fill value."""
     cube = np.arange(8, dtype=">u2").reshape(2, 2, 2)

@@ -159,6 +159,37 @@ def a_array_box(spark, sf):
     return chunked.read_array(spark, _stored(spark, sf, version=3, codec="zstd", separator="/"), lo=(5, 16, 3), hi=(21, 40, 31))
 
 
+@query(V + " SELECT x, y, z, CAST(v AS bigint) AS v FROM v WHERE v <> 0 AND z >= 7")
+def b_array_n5(spark, sf):
+    """A round trip through an N5 container, with blocks that the extent cuts."""
+    path = f"{shared_dir(spark)}/n5-{uuid.uuid4().hex}"
+    chunked.write_array(voxels(spark, sf), chunked.Array(path, chunked.N5, (SIDE,) * 3, (10, 16, 12), ">i2", "gzip")).count()
+    return chunked.read_array(spark, path, lo=(0, 0, 7))
+
+
+@query(V + " SELECT x, y, z, CAST(v AS bigint) AS v FROM v WHERE v <> 0")
+def b_array_filled(spark, sf):
+    """A round trip where chunks that aren't there would be sevens."""
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    chunked.write_array(voxels(spark, sf), chunked.Array(path, 2, (SIDE,) * 3, (10, 16, 12), "<i4", "zstd", fill=7)).count()
+    return chunked.read_array(spark, path)
+
+
+@query(
+    V
+    + """, a AS (SELECT x - 3 AS x, y - 2 AS y, z AS z, v FROM v WHERE x >= 3 AND x < 31 AND y >= 2 AND z < 27),
+b AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, floor(sum(v) / 8) AS v FROM a GROUP BY ALL), c AS (SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, floor(sum(v) / 8) AS v FROM b WHERE x < 14 AND y < 15 AND z < 13 GROUP BY ALL)
+SELECT 1 AS scale, CAST(x AS int) AS x, CAST(y AS int) AS y, CAST(z AS int) AS z, CAST(v AS bigint) AS v FROM b WHERE v <> 0 AND x < 14 AND y < 15 AND z < 13
+UNION ALL SELECT 2, CAST(x AS int), CAST(y AS int), CAST(z AS int), CAST(v AS bigint) FROM c WHERE v <> 0 AND x < 7 AND y < 7 AND z < 6"""
+)
+def b_precomputed(spark, sf):
+    """The second and third scale of a cutout, as read back."""
+    path = f"{shared_dir(spark)}/scales-{uuid.uuid4().hex}"
+    chunked.write_precomputed(voxels(spark, sf), path, (SIDE,) * 3, (8, 8, 8), scales=3, cutout=((3, 2, 0), (31, 32, 27))).count()
+    both = [chunked.read_precomputed(spark, path, n).withColumn("scale", F.lit(n)) for n in (1, 2)]
+    return both[0].unionByName(both[1]).select("scale", *AXES, "v")
+
+
 @query(V + ", w AS (SELECT CAST(x // 10 AS int) AS cx, CAST(y // 16 AS int) AS cy, CAST(z // 12 AS int) AS cz, count(*) AS n FROM v WHERE v <> 0 GROUP BY ALL) SELECT * FROM w")
 def b_array_chunks(spark, sf):
     """What a sink wrote: its chunks by number."""
