@@ -208,11 +208,27 @@ def i_direction_svd(spark, sf):
 
 @query()
 def i_features(spark, sf):
-    return reconnect.find_pairs(swc_nodes(spark, sf), "tree_id", 6, (5, 10))
+    """All 45 features of each pair; SQL has no singular vectors, tested against numpy."""
+    return reconnect.pair_features(swc_nodes(spark, sf), "tree_id", 6)
+
+
+@query(T + f""", e AS (SELECT * FROM t WHERE parent = -1 OR id NOT IN (SELECT parent FROM t)), p AS MATERIALIZED (SELECT a.id AS id1, b.id AS id2, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM e a JOIN e b ON a.id < b.id AND a.tree_id <> b.tree_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 36),
+n AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM e a JOIN e b ON a.id <> b.id WHERE a.id IN (SELECT id1 FROM p UNION SELECT id2 FROM p)),
+s AS (SELECT id1, id2, 0 AS slot, d2 FROM p UNION ALL SELECT id1, id2, side * 4 + r, d2 FROM (SELECT id1, id2, side, n.d2, row_number() OVER (PARTITION BY id1, id2, side ORDER BY n.d2, n.b) AS r
+  FROM (SELECT id1, id2, 0 AS side, id1 AS a, id2 AS other FROM p UNION ALL SELECT id1, id2, 1, id2, id1 FROM p) q JOIN n ON n.a = q.a AND n.b <> other) WHERE r <= 4)
+SELECT id1, id2, {", ".join(f"round(max(sqrt(d2)) FILTER (WHERE slot = {k}), 6) AS gap{k}" for k in range(9))} FROM s GROUP BY id1, id2""".replace(", p AS MATERIALIZED", ", pp AS MATERIALIZED").replace("FROM p ", "FROM pp ").replace("FROM p)", "FROM pp)"))
+def i_neighbour_gaps(spark, sf):
+    """The distances among the features: of each pair, and of its ends to their nearest other ends."""
+    n = swc_nodes(spark, sf)
+    ends, pairs = reconnect.end_pairs(n, "tree_id", 6)
+    at = lambda k: ends.select(F.col("id").alias(k), *[F.col(a).alias(f"{k}{a}") for a in AXES])
+    links = reconnect.neighbour_links(ends, pairs).join(at("a"), "a").join(at("b"), "b")
+    gap = F.sqrt(sum(((F.col(f"a{a}") - F.col(f"b{a}")) * (F.col(f"a{a}") - F.col(f"b{a}")) for a in AXES), F.lit(0.0)))
+    return links.groupBy("id1", "id2").agg(*[F.round(F.max(F.when(F.col("slot") == k, gap)), 6).alias(f"gap{k}") for k in range(9)])
 
 
 @query()
 def i_reconnect(spark, sf):
     n = swc_nodes(spark, sf)
-    pairs = reconnect.probability(reconnect.find_pairs(n, "tree_id", 6, (5,)), ["gap", "c_5_1", "c_5_2"], [3.0, 0.0, 0.0], [2.0, 1.0, 1.0], [-1.0, 1.0, 1.0], 0.5)
+    pairs = reconnect.probability(reconnect.find_pairs(n, "tree_id", 6), ["gap", "c_5_1", "c_5_2", "c_50_1", "c_50_2"], [3.0, 0.0, 0.0, 0.0, 0.0], [2.0, 1.0, 1.0, 1.0, 1.0], [-1.0, 1.0, 1.0, 0.5, 0.5], 0.5)
     return reconnect.merge_pairs(pairs, n.select("id", F.col("tree_id").alias("tree")), 0.5, 0.0)
