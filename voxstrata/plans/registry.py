@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from voxstrata.plans import augment_queries, chunk_queries, deform_queries, geometry_queries, sample_queries, skeleton_queries, voxel_queries  # noqa: F401
+    from voxstrata.plans import augment_queries, chunk_queries, deform_queries, geometry_queries, sample_queries, sampling_queries, skeleton_queries, voxel_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
