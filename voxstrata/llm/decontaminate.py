@@ -54,12 +54,13 @@ def _plain(text: Column, names: bool) -> Column:
     return F.translate(text if names else F.lower(text), "<>", "  ")
 
 
-def _replaced(text: Column, names: bool, number: str, behind: str) -> Column:
+def _replaced(text: Column, names: bool, number: str, kind: str) -> Column:
+    """Numbers, units and names replaced; a pattern begins with the character that is tested first, as most places fail there."""
     t = F.regexp_replace(_plain(text, names), _NUMBER, number)
-    t = F.regexp_replace(t, rf"(?<={behind}) ?{_UNITS}", " <u>")
+    t = F.regexp_replace(t, rf"({kind}) ?{_UNITS}", "$1 <u>")
     if names:
-        t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}0-9,;>] ){_NAMES}", "<p>")
-    return F.regexp_replace(F.lower(t), r"""(?<=[\p{L}\p{N}>])[.,;:!?"')\]]+(?!\S)|(?<!\S)["'(\[]+(?=[\p{L}\p{N}<])""", "")
+        t = F.regexp_replace(t, rf"([\p{{Ll}}0-9,;>] ){_NAMES}", "$1<p>")
+    return F.regexp_replace(F.lower(t), r"""[.,;:!?"')\]](?<=[\p{L}\p{N}>].)[.,;:!?"')\]]*(?!\S)|["'(\[](?<!\S.)["'(\[]*(?=[\p{L}\p{N}<])""", "")
 
 
 def template(text: Column, names: bool = True) -> Column:
@@ -71,7 +72,7 @@ def template(text: Column, names: bool = True) -> Column:
 
 def _valued(text: Column, names: bool) -> Column:
     """The template with each number's value in its placeholder, as <n:12>; it has the same words."""
-    return _replaced(text, names, "<n:$0>", "[0-9]>")
+    return _replaced(text, names, "<n:$0>", "<n:[^<>]*>")
 
 
 def slot_values(text: Column, names: bool = True) -> Column:
