@@ -42,6 +42,19 @@ def test_box_queries_reach_the_store(spark, tmp_path):
     assert s.manifest().agg(F.sum("n")).first()[0] == s.read().count()
 
 
+def test_writers_of_one_number_leave_one_row(spark, tmp_path):
+    s = store.SkeletonStore(spark, f"file://{tmp_path}/store")
+    packed = store.pack(swc_nodes(spark, SF), "tree_id")
+    s.write(packed)
+    one = packed.where("segid = 3")
+    for name in ("w-a", "w-b"):  # both took 2, neither saw the other
+        s._put(one, name)
+        s._drop(one.select("segid"), name)
+    spark.createDataFrame([("w-a", 2), ("w-b", 2)], "write string, seq long").write.mode("append").parquet(f"{s.path}/log")
+    rows = s.by_id(spark.createDataFrame([(3,)], "segid long")).collect()
+    assert len(rows) == 1 and rows[0].seq == 2 and "write" not in s.read().columns and s.read().count() == packed.count()
+
+
 def test_segment_runs_the_model_in_every_window(spark):
     """Against numpy: contrast, model and sigmoid in each window by itself, the outputs accumulated in the windows' order."""
     side, size = 12, 8

@@ -67,7 +67,7 @@ def peaks(nodes: DataFrame, lo, hi, radius: float, edges: DataFrame | None = Non
         out = moved.groupBy(*AXES, *group).agg(F.sum("v").alias("v"))
     out = materialised(out, "peaks")
     if mask is None:
-        top = out.agg(F.max("v")).first()[0]
+        top = out.agg(F.max("v")).first()[0] or 1.0
         return out.select(*AXES, (F.col("v") / F.lit(top)).alias("v"))
     most = out.groupBy("label").agg(F.max("v").alias("top"))
     return out.join(mask.select(*AXES, "label"), [*AXES, "label"]).join(most, "label").select(*AXES, (F.col("v") / F.col("top")).alias("v"))

@@ -58,9 +58,9 @@ class SkeletonStore:
             raise
 
     def _read(self, kind: str) -> DataFrame | None:
-        """Rows of logged writes, with their sequence number.  The log has a row for each of the store's writes."""
+        """Rows of logged writes, with their sequence number and name.  The log has a row for each of the store's writes."""
         rows, log = self._raw(kind), self._raw("log")
-        return None if rows is None or log is None else rows.join(log, "write").drop("write")
+        return None if rows is None or log is None else rows.join(log, "write")
 
     def _commit(self, write: str) -> None:
         log = self._raw("log")
@@ -97,9 +97,10 @@ class SkeletonStore:
         if data is None:
             raise ValueError("the store is empty")
         if gone is None:
-            return data
-        last = gone.groupBy("segid").agg(F.max("seq").alias("gone"))
-        return data.join(last, "segid", "left").where("gone is null or seq >= gone").drop("gone")
+            return data.drop("write")
+        # two writers may have taken one number: their names say which of them comes later
+        last = gone.groupBy("segid").agg(F.max(F.struct("seq", "write")).alias("gone"))
+        return data.join(last, "segid", "left").where(F.col("gone").isNull() | (F.struct("seq", "write") >= F.col("gone"))).drop("gone", "write")
 
     def by_box(self, lo, hi) -> DataFrame:
         """Live skeletons whose closed box overlaps or touches lo..hi; the comparison is a pushed-down filter on box columns."""

@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["h_cc_histogram"](spark, sf_dir)
+    return queries()["h_distance_exact"](spark, sf_dir)
