@@ -283,3 +283,20 @@ def test_radii_from_the_tree(spark):
     n = spark.createDataFrame([(1, -1, 0, None), (2, 1, 0, 5.0), (3, 2, 0, None), (4, 3, 0, None), (5, 4, 0, 9.0), (6, 1, 0, None), (7, -1, 1, None)], "id int, parent int, tree int, r double")
     got = {r.id: r.value for r in samples.filled_from_tree(n, "tree", "r", 0.1).collect()}
     assert got == {1: 5.0, 2: 5.0, 3: 5.0, 4: 9.0, 5: 9.0, 6: 7.0, 7: 0.1}
+
+
+def test_knn_over_clusters(spark):
+    """Half of the points lie in one small cluster, some hundreds at one place."""
+    rng = np.random.default_rng(9)
+    pts = [(k, 500, 500, 500) for k in range(0, 900, 3)] + [(k, *map(int, rng.integers(495, 506, 3))) for k in range(1, 900, 3)] + [(k, *map(int, rng.integers(0, 1000, 3))) for k in range(2, 900, 3)]
+    queries = [(k, *map(int, rng.integers(480, 520, 3))) for k in range(40)] + [(k, *map(int, rng.integers(0, 1000, 3))) for k in range(40, 60)] + [(60, 500, 500, 500)]
+    p, q = (spark.createDataFrame(rows, "id int, x int, y int, z int") for rows in (pts, queries))
+    place = np.array([r[1:] for r in pts])
+    for k, same in ((1, False), (3, True)):
+        got = {}
+        for r in spatial.knn(q, p, k, same=same).collect():
+            got.setdefault(r.id, {})[r["rank"]] = (r.d2, r.nn)
+        for i, *at in queries:
+            d2 = ((place - at) ** 2).sum(1)
+            want = sorted((int(d), n[0]) for d, n in zip(d2, pts) if not (same and n[0] == i))[:k]
+            assert [got[i][n + 1] for n in range(k)] == want

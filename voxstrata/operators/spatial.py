@@ -62,6 +62,10 @@ def distance_pairs(points: DataFrame, radius: int, group: str | None = None) ->
     return here.join(there, ["cx", "cy", "cz"]).where(on).select(F.col("a_id").alias("id1"), F.col("b_id").alias("id2"), d2.alias("d2"))
 
 
+#: Points in one of the first cells of a search for k neighbours, times k + 1, at most.
+CROWD = 64
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> DataFrame:
     """id, nn, rank, d2: each query's k nearest points, ties to the smaller id; same leaves a point of the query's own id out.
 
@@ -75,6 +79,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> Da
     span = 1 + max(max(here["hi" + a], there["hi" + a]) - min(here["lo" + a], there["lo" + a]) for a in AXES)
     volume = float(np.prod([1.0 + here["hi" + a] - here["lo" + a] for a in AXES]))
     size = span if here.n <= k + same else max(1, min(span, round((volume * k / here.n) ** (1 / 3))))
+    heavy = points.groupBy(*AXES).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if heavy > k + 1:  # the limit is applied before the shuffle too
+        points = materialised(points.withColumn("r", F.row_number().over(Window.partitionBy(*AXES).orderBy("id"))).where(F.col("r") <= k + 1).drop("r"), "places")
+    while size > 1 and points.groupBy(*[cell(a, size).alias(f"c{a}") for a in AXES]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > CROWD * (k + 1):
+        size = max(1, size // 2)
     left, done = queries.select("id", *[F.col(a).alias(f"q_{a}") for a in AXES]), None
     best = Window.partitionBy("id").orderBy("d2", "nn")
     while True:
