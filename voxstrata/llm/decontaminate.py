@@ -100,9 +100,9 @@ def _windows(text: Column, names: bool, window: int) -> Column:
     cut = lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, window)))
     bare = lambda ws, i: F.forall(F.slice(ws, i, window), lambda w: w.rlike(r"^\S?<"))
     told = lambda ws, vs: F.transform(at(ws), lambda i: F.xxhash64(F.slice(F.when(bare(ws, i), vs).otherwise(ws), i, window)))
-    somewhere = rf"\S?<(?:\S*\s+\S?<){{{window - 1}}}|^\s*\S?<\S*(?:\s+\S?<\S*)*\s*$"
+    somewhere = rf"<(?:\S*\s+\S?<){{{window - 1}}}"
     # bound to a lambda's variable, a list is made once for a text and not once for a window; numbers are looked at only where such a window is
-    lists = lambda t: F.array(F.struct(word_list(t).alias("ws"), F.when(t.rlike(somewhere), word_list(_valued(text, names))).alias("vs")))
+    lists = lambda t: F.transform(F.array(word_list(t)), lambda ws: F.struct(ws.alias("ws"), F.when((F.size(ws) < window) | t.rlike(somewhere), word_list(_valued(text, names))).alias("vs")))
     made = lambda t: F.transform(F.filter(lists(t), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), lambda s: F.when(s["vs"].isNull(), cut(s["ws"])).otherwise(told(s["ws"], s["vs"])))
     return F.flatten(F.flatten(F.transform(F.array(template(text, names)), made)))
 
