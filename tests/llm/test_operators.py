@@ -432,6 +432,18 @@ def test_decontamination_with_names_and_units_of_other_lengths(spark):
     assert set(got) == {0, 1, 2, 4, 6} and all(r.reparameterised for r in got.values())
 
 
+def test_decontamination_of_long_runs(spark):
+    item = "which of those rivers, lakes, seas, bays, ponds, brooks, creeks, or canals lies 30 km north of the town"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    runs = ["so " + "Aa " * 40_000, "at " + "1." * 40_000 + "1 ", "is 5 " + "km " * 40_000, "is 5 km" + " per h/s" * 20_000 + " ", "so 7 " + "1;" * 40_000 + " "]
+    texts = [run + "and " + part for run in runs for part in (item.replace("30", "41"), "no more")]
+    got = {(r.doc_id, r.coverage) for r in decontaminate.contaminated(docs(spark, texts), b).collect()}
+    assert got == {(i, 1.0) for i in range(0, len(texts), 2)}
+    # a run of units ends with the last whole one
+    one = docs(spark, ["so 5 km m2 and 6 m/s/sx", "so 5 km per h per day by 7 percent"])
+    assert [r.t for r in one.select("doc_id", decontaminate.template(F.col("text")).alias("t")).orderBy("doc_id").collect()] == ["so <n> <u> m<n> and <n> <u>/sx", "so <n> <u> by <n> <u>"]
+
+
 def brute_leaks(documents, items, window=5, similarity=0.8):
     """(doc_id, item_id) by a walk over all pairs: templates, windows by place, slots by place, alignments one by one."""
     import regex

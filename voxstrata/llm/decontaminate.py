@@ -43,10 +43,12 @@ UNITS = "km kg mg cm mm ml mph kmh m g l s h %".split() + "meter meters metre me
 
 
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
-_UNITS = rf"{_UNIT}(?:(?: per |[ /]){_UNIT})*(?![\p{{L}}\p{{N}}<])"
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+_ENDED = rf"{_UNIT}(?![\p{{L}}\p{{N}}<])"
+# repeated groups are possessive: others take a frame of the stack for each round, so long runs would overflow it
+_UNITS = rf"{_ENDED}(?:(?: per |[ /]){_ENDED})*+"
+_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 _NAME = r"\p{Lu}\p{L}[\p{L}'’-]*"
-_NAMES = f"{_NAME}(?: {_NAME})*"
+_NAMES = f"{_NAME}(?: {_NAME})*+"
 
 
 def _plain(text: Column, names: bool) -> Column:
@@ -92,18 +94,38 @@ def word_list(text: Column) -> Column:
     return F.split(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")), " +")
 
 
+def _once(c: Column, f) -> Column:
+    """f(c), with c made once: it is bound to a lambda's variable."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _rolled(ws: Column, window: int) -> Column:
+    """A hash of each `window` words of a list of as many or more, by place: words are hashed once, runs of them from the hashes of their halves."""
+    two = lambda a, b, shift: F.zip_with(a, F.slice(b, shift + 1, F.size(b) - shift), lambda x, y: F.xxhash64(x, y))
+
+    def grown(h: Column, words: Column, width: int, bits: str) -> Column:
+        """From the hashes of `width` words, by the digits of `window` that are left."""
+        if not bits:
+            return F.slice(h, 1, F.size(words) - (window - 1))
+        if bits[0] == "0":
+            return _once(two(h, h, width), lambda d: grown(d, words, 2 * width, bits[1:]))
+        return _once(two(h, h, width), lambda d: _once(two(d, words, 2 * width), lambda o: grown(o, words, 2 * width + 1, bits[1:])))
+
+    return _once(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: grown(h, h, 1, f"{window:b}"[1:]))
+
+
 def _windows(text: Column, names: bool, window: int) -> Column:
     """Hashes of the windows of a text's template; a shorter template is one window.  Windows of placeholders alone are hashed with their numbers.
 
     A placeholder may have one character before it, as in $5."""
-    at = lambda ws: F.sequence(F.lit(1), F.greatest(F.size(ws) - (window - 1), F.lit(1)))
-    cut = lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, window)))
-    bare = lambda ws, i: F.forall(F.slice(ws, i, window), lambda w: w.rlike(r"^\S?<"))
-    told = lambda ws, vs: F.transform(at(ws), lambda i: F.xxhash64(F.slice(F.when(bare(ws, i), vs).otherwise(ws), i, window)))
-    somewhere = rf"<(?:\S*\s+\S?<){{{window - 1}}}"
+    bare = lambda ws: F.forall(ws, lambda w: w.rlike(r"^\S?<"))
+    whole = lambda ws, vs: F.array(F.xxhash64(F.when(bare(ws), vs).otherwise(ws)))
+    told = lambda ws, vs: _once(_rolled(vs, window), lambda v: F.transform(_rolled(ws, window), lambda h, i: F.when(bare(F.slice(ws, i + 1, window)), v[i]).otherwise(h)))
+    somewhere = rf"<(?<!\S\S<)(?:\S*+\s++\S?<){{{window - 1}}}"
     # bound to a lambda's variable, a list is made once for a text and not once for a window; numbers are looked at only where such a window is
     lists = lambda t: F.transform(F.array(word_list(t)), lambda ws: F.struct(ws.alias("ws"), F.when((F.size(ws) < window) | t.rlike(somewhere), word_list(_valued(text, names))).alias("vs")))
-    made = lambda t: F.transform(F.filter(lists(t), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), lambda s: F.when(s["vs"].isNull(), cut(s["ws"])).otherwise(told(s["ws"], s["vs"])))
+    hashed = lambda s: F.when(F.size(s["ws"]) < window, whole(s["ws"], s["vs"])).when(s["vs"].isNull(), _rolled(s["ws"], window)).otherwise(told(s["ws"], s["vs"]))
+    made = lambda t: F.transform(F.filter(lists(t), lambda s: (F.size(s["ws"]) > 1) | (s["ws"][0] != "")), hashed)
     return F.flatten(F.flatten(F.transform(F.array(template(text, names)), made)))
 
 
