@@ -391,6 +391,39 @@ def test_line_dedup_large_bands(spark, chunk):
     assert [got[i] for i in range(len(lines))] == up
 
 
+def made_rows(df):
+    """Rows that each join of a plan gave when it ran, and what the exchanges wrote, over all of the session's last queries."""
+    store = df.sparkSession._jsparkSession.sharedState().statusStore()
+    out = []
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        one = runs.apply(k)
+        metrics = store.executionMetrics(one.executionId())
+        nodes = store.planGraph(one.executionId()).allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            for j in range(node.metrics().size()):
+                m = node.metrics().apply(j)
+                if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                    out.append((one.executionId(), node.name(), int(metrics.apply(m.accumulatorId()).replace(",", ""))))
+    return out
+
+
+def test_components_place_each_node_once(spark):
+    n = 3000
+    chain = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    before = max((k for k, _, _ in made_rows(chain)), default=-1)
+    got = components.components(chain)
+    assert got.where("component = 0").count() == n
+    by_run = {}
+    for k, name, rows in made_rows(chain):
+        if k > before and "Join" in name:
+            by_run.setdefault(k, []).append(rows)
+    # the run that composes the rounds has a join for each; together they give fewer rows than three times the nodes
+    longest = max(by_run.values(), key=len)
+    assert len(longest) > 4 and sum(longest) < 3 * n
+
+
 def test_decontamination_catches_other_parameters(spark):
     item = "A train leaves Berlin at 14:30 and covers 120 km before it meets the other train from Paris near the bridge. How far is Berlin from there?"
     same = item.replace("Berlin", "Oslo").replace("120", "75.5").replace("Paris", "Rome")

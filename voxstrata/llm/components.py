@@ -53,9 +53,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not moves:
         return links.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-    at = moves[0]
-    for move in moves[1:]:
-        at = at.join(move.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    # from the last round to the first: a round's nodes, which get fewer by the round, are placed once, and not all nodes in every round
+    at = moves[-1]
+    for move in reversed(moves[:-1]):
+        at = move.join(at.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     at = written(at, "roots")
     # written on its own: a large component's rows can then be split among tasks in the join
     least = written(at.groupBy("to").agg(F.min("node").alias("component")), "least")

@@ -14,7 +14,7 @@ doesn't connect against each other.  In bands of more than ``most`` lines, as a
 passage that many lines hold makes them, these are tried against the lines that are
 connected with the commonest one; among themselves they go the same way twice more,
 with another leader in each band, and the rest is joined by the prefixes
-of their sets in order of rarity, in blocks of at most ``chunk`` lines a side: no
+of their sets, the shingles of the rarer counters first, in blocks of at most ``chunk`` lines a side: no
 pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
 group, by doc_id and place, is kept.
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ from voxstrata.llm.components import apart_in, block_links, components, sized
 KINDS = ((0, 125), (100, 500), (400, 1 << 31))
 #: Of a long line's shingles, so many are used whatever their hashes, for lines that repeat a few shingles.
 HEAD = 40
+#: Counters that tell how common a shingle is, a byte each in the query.
+COUNTERS = 1 << 17
 
 
 def shingle_rows(lines: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -74,14 +77,20 @@ def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: float, chunk: int) -> DataFrame:
-    """Pairs (a, b) of lines (node, line) that links don't connect, with all those of `similarity` or more among them.
-
-    Of any such pair, the rarest shingle of both is in both prefixes, with enough shingles left after it."""
-    spread = written(shingle_rows(lines, gram, "node").select("node", "g").distinct(), "shingles")
-    often = spread.groupBy("g").agg(F.count("*").alias("f"))
-    ordered = spread.join(often, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("s")).withColumn("n", F.size("s"))
-    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
-    rows = written(ordered.select("node", "n", F.posexplode(prefix).alias("at", "t")).select("node", "n", "at", "t.g"), "prefixes")
+    """Pairs (a, b) of lines (node, line, n), n their shingles, that links don't connect, with all those of `similarity` or more among them.
+
+    Of any such pair, the first shingle of both in one order for all is in both prefixes, with enough shingles left after it.
+    Shingles go by how common they are, by counters that some share; which order it is makes no difference to the pairs that are kept."""
+    sets = F.array_distinct(grams(F.col("line"), gram))
+    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
+    counts = lines.select(F.explode_outer(sets).alias("g")).groupBy(counter(F.col("g")).alias("k")).agg(F.count("*").alias("n")).toArrow()
+    common = np.zeros(COUNTERS, np.uint8)
+    common[counts["k"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy()), 255)
+    told = F.lit(common.tobytes())
+    ordered = F.sort_array(F.transform(sets, lambda g: F.struct(F.substring(told, counter(g) + 1, F.lit(1)).alias("f"), g.alias("g"))))
+    prefix = F.slice(ordered, F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
+    # the outer form keeps Spark from making the sets a second time to test them
+    rows = written(lines.select("node", "n", F.posexplode_outer(prefix).alias("at", "t")).select("node", "n", "at", "t.g"), "prefixes")
     sizes = rows.groupBy("g").agg(F.count("*").alias("size")).where("size > 1").select("g", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
     dealt = written(rows.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "dealt")
     side = lambda p, own, other, places: dealt.select("g", F.col("part").alias(own), F.explode(places).alias(other), *[F.col(c).alias(p + c) for c in ("node", "n", "at")])
