@@ -391,6 +391,30 @@ def test_line_dedup_large_bands(spark, chunk):
     assert [got[i] for i in range(len(lines))] == up
 
 
+def test_line_dedup_pairs_of_large_bands(spark, monkeypatch):
+    """Lines that the group of a band's leader is nearly like, but not like enough, don't meet all of that group."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(60)]
+
+    def changed(n):
+        w = list(base)
+        for k in rng.sample(range(60), n):
+            w[k] = word()
+        return " ".join(w)
+
+    lines = [changed(2) for _ in range(100)] + [changed(9) for _ in range(100)]
+    assert all(gram_jaccard(" ".join(base), x) < 0.8 for x in lines[100:])
+    pairs, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, tag: (out := write(df, tag), tag == "pairs" and pairs.append(out.count()))[0])
+    got = {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(docs(spark, lines)).collect()}
+    up = list(range(200))
+    alike = [(i, j) for i in range(200) for j in range(i) if gram_jaccard(lines[i], lines[j]) >= 0.8]
+    for i, j in alike:
+        up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    assert [got[i] for i in range(200)] == up and sum(pairs) < 200 * 12 + len(alike)
+
+
 def made_rows(df):
     """Rows that each join of a plan gave when it ran, and what the exchanges wrote, over all of the session's last queries."""
     store = df.sparkSession._jsparkSession.sharedState().statusStore()

@@ -9,8 +9,7 @@ round whatever its ids.  Each round is written to the shared folder.
 emitting all pairs of a block: first every member against its block's leader;
 then, by the components that these links give, only those pairs of members that
 aren't connected yet.  A pair that's already connected can add nothing to the
-components.  Where the distances to the leader are known, pairs whose distances
-differ by more than a link may have can't be links (triangle inequality).
+components.  Where rows have sketches, these rule pairs out before they are made.
 """
 
 from __future__ import annotations
@@ -63,16 +62,14 @@ def components(links: DataFrame) -> DataFrame:
     return written(at.join(sized(least, least.count()), "to").select("node", "component"), "components")
 
 
-def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], most: int | None = None, prepare: Callable[[DataFrame], None] | None = None, reach: float | None = None, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], prepare: Callable[[DataFrame], None] | None = None, sketch: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None, most: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect whatever verified pairs within blocks connect.
 
     blocks: key, node, rank (the leader has the smallest) and more columns; fits(x, y) is a cheap condition on a pair's
     rows, given the prefixes of their columns; verify(pairs (a, b)), called at most twice, keeps the links.
-    prepare gets the nodes that share a key first.  Pairs that earlier links (linked) connect aren't tried.
-    With reach, verify gives the pairs that it measured, with their distance, a metric, as column far: links are those
-    up to reach, and the others spare pairs.
-    With most, members of larger blocks that aren't connected with their leader's component are tried against that
-    component only, and come back as a second result, for the caller to find the links among themselves.
+    prepare gets the nodes that share a key first.  In blocks of more than `most` members that their leader doesn't
+    connect, sketch(nodes) gives further columns by node, by which near(x, y), a condition that all links meet, rules
+    pairs out before they are made.
     """
     rest = [c for c in blocks.columns if c != "key"]
     side = lambda p: [F.col(c).alias(p + c) for c in rest]
@@ -84,43 +81,33 @@ def block_links(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], fit
     leaders = shared.groupBy("key").agg(F.min(F.struct("rank", "node", *[c for c in rest if c not in ("rank", "node")])).alias("l"))
     held = written(shared.select("key", "size", *side("x_")).join(leaders.select("key", *[F.col(f"l.{c}").alias("l_" + c) for c in rest]), "key"), "blocks")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    close = lambda got: got if reach is None else got.where(F.col("far") <= reach).select("a", "b")
     first = held.where((F.col("x_node") != F.col("l_node")) & fits("x_", "l_")).select(*pair("x_node", "l_node")).distinct()
-    measured = written(verify(written(first, "pairs")), "measured")
-    links = close(measured)
-    found = components(links if linked is None else linked.select("a", "b").unionByName(links.select("a", "b")))
+    links = written(verify(written(first, "pairs")), "links")
+    found = components(links)
     n = found.count()
     of = lambda name: sized(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c")), n)
     placed = held.join(of("x_node"), "x_node", "left").join(of("l_node"), "l_node", "left")
     placed = placed.withColumns({f"{p}_node_c": F.coalesce(f"{p}_node_c", f"{p}_node") for p in ("x", "l")}).withColumn("x_led", F.col("x_node_c") == F.col("l_node_c"))
     # blocks that their leader connects are done
-    open_keys = placed.where("not x_led").groupBy("key").agg(F.max("size").alias("most")).select("key", F.ceil(F.col("most") / CHUNK).cast("int").alias("parts"))
+    open_keys = placed.where("not x_led").groupBy("key").agg(F.max("size").alias("most")).select("key", F.ceil(F.col("most") / chunk).cast("int").alias("parts"))
     open_keys = written(open_keys, "open")
     if open_keys.isEmpty():
-        return links, None
-    placed = placed.join(sized(open_keys, open_keys.count()), "key")
-    if reach is not None:
-        placed = placed.join(measured.select(F.col("a").alias("m_a"), F.col("b").alias("m_b"), "far"), (F.least("x_node", "l_node") == F.col("m_a")) & (F.greatest("x_node", "l_node") == F.col("m_b")), "left").drop("m_a", "m_b")
-        placed = placed.withColumn("far", F.when(F.col("x_node") == F.col("l_node"), 0.0).otherwise(F.col("far")))
-    else:
-        placed = placed.withColumn("far", F.lit(None).cast("double"))
-    placed = written(placed.select("key", "size", "parts", *[f"x_{c}" for c in rest], "x_node_c", "x_led", "far"), "open-blocks")
+        return links
+    placed = placed.join(sized(open_keys, open_keys.count()), "key").select("key", "size", "parts", *[f"x_{c}" for c in rest], "x_node_c", "x_led")
+    told = []
+    if sketch:
+        placed = written(placed, "open-blocks")
+        sketches = sketch(placed.where(F.col("size") > most).select(F.col("x_node").alias("node")).distinct())
+        told = [c for c in sketches.columns if c != "node"]
+        placed = placed.join(sketches.select(F.col("node").alias("x_node"), *[F.col(c).alias("x_" + c) for c in told]), "x_node", "left")
+    placed = written(placed, "open-blocks")
     # a large block's members are dealt to parts, each of which the open ones meet on its own: no task holds a block
-    y = placed.select("key", F.pmod(F.xxhash64("x_node"), "parts").cast("int").alias("part"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in rest], F.col("x_node_c").alias("y_node_c"), F.col("x_led").alias("y_led"), F.col("far").alias("y_far"))
+    y = placed.select("key", F.pmod(F.xxhash64("x_node"), "parts").cast("int").alias("part"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in [*rest, *told]], F.col("x_node_c").alias("y_node_c"), F.col("x_led").alias("y_led"))
     x = placed.where("not x_led").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "x_led")
-    near = F.coalesce(F.abs(F.col("far") - F.col("y_far")) <= (reach or 0) + 1e-9, F.lit(True))
-    among = F.col("x_node") < F.col("y_node") if most is None else (F.col("x_node") < F.col("y_node")) & (F.col("size") <= most)
-    second = x.join(y, ["key", "part"]).where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | among) & near & fits("x_", "y_"))
-    more = close(verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs")))
-    over = None if most is None else placed.where(~F.col("x_led") & (F.col("size") > most)).select(F.col("x_node").alias("node")).distinct()
-    return written(links.unionByName(more), "links"), over
-
-
-def apart_in(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that found (node, component) doesn't connect."""
-    n = found.count()
-    of = lambda c: sized(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")), n)
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+    alike = (F.col("size") <= most) | near("x_", "y_") if sketch else F.lit(True)
+    second = x.join(y, ["key", "part"]).where((F.col("x_node_c") != F.col("y_node_c")) & (F.col("y_led") | (F.col("x_node") < F.col("y_node"))) & fits("x_", "y_") & alike)
+    more = verify(written(second.select(*pair("x_node", "y_node")).distinct(), "pairs"))
+    return written(links.unionByName(more), "links")
 
 
 def nodes_of(pairs: DataFrame) -> tuple[DataFrame, int]:

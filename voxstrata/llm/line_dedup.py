@@ -10,12 +10,11 @@ range that holds 1 in 4 ** k.  A line has the minima of each kind that its lengt
 Exact Jaccard similarity of the lines' sets of ``gram`` characters verifies candidates.
 
 A band's lines are first tried against its commonest line, then those that this
-doesn't connect against each other.  In bands of more than ``most`` lines, as a
-passage that many lines hold makes them, these are tried against the lines that are
-connected with the commonest one; among themselves they go the same way twice more,
-with another leader in each band, and the rest is joined by the prefixes
-of their sets, the shingles of the rarer counters first, in blocks of at most ``chunk`` lines a side: no
-pair is left out for the size of its band.  The links' components
+doesn't connect against the others.  In bands of more than ``most`` lines, as a
+passage that many lines hold makes them, sketches of the sets rule pairs out before
+these are made: a sketch has a bit for each cell of a table, and two sets differ by
+no less than their sketches do.  Such bands are dealt to blocks of at most ``chunk``
+lines a side; no pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
 group, by doc_id and place, is kept.
 
@@ -33,20 +32,19 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxstrata.llm.common import free_name, written
-from voxstrata.llm.components import apart_in, block_links, components, sized
+from voxstrata.llm.components import block_links, components, sized
 
 
 #: Kinds of minima: the lengths of the lines that have them, in characters.  Each has some 25 shingles or more.
 KINDS = ((0, 125), (100, 500), (400, 1 << 31))
 #: Of a long line's shingles, so many are used whatever their hashes, for lines that repeat a few shingles.
 HEAD = 40
-#: Counters that tell how common a shingle is, a byte each in the query.
-COUNTERS = 1 << 17
+#: Words of 64 bits in the sketch of a line's set, a power of two.
+SKETCH = 32
 
 
 def shingle_rows(lines: DataFrame, size: int, *keep: str) -> DataFrame:
@@ -76,31 +74,19 @@ def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return minima.select("node", "rank", F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
-def prefix_pairs(lines: DataFrame, links: DataFrame, gram: int, similarity: float, chunk: int) -> DataFrame:
-    """Pairs (a, b) of lines (node, line, n), n their shingles, that links don't connect, with all those of `similarity` or more among them.
-
-    Of any such pair, the first shingle of both in one order for all is in both prefixes, with enough shingles left after it.
-    Shingles go by how common they are, by counters that some share; which order it is makes no difference to the pairs that are kept."""
-    sets = F.array_distinct(grams(F.col("line"), gram))
-    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
-    counts = lines.select(F.explode_outer(sets).alias("g")).groupBy(counter(F.col("g")).alias("k")).agg(F.count("*").alias("n")).toArrow()
-    common = np.zeros(COUNTERS, np.uint8)
-    common[counts["k"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy()), 255)
-    told = F.lit(common.tobytes())
-    ordered = F.sort_array(F.transform(sets, lambda g: F.struct(F.substring(told, counter(g) + 1, F.lit(1)).alias("f"), g.alias("g"))))
-    prefix = F.slice(ordered, F.lit(1), F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
-    # the outer form keeps Spark from making the sets a second time to test them
-    rows = written(lines.select("node", "n", F.posexplode_outer(prefix).alias("at", "t")).select("node", "n", "at", "t.g"), "prefixes")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size")).where("size > 1").select("g", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
-    dealt = written(rows.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "dealt")
-    side = lambda p, own, other, places: dealt.select("g", F.col("part").alias(own), F.explode(places).alias(other), *[F.col(c).alias(p + c) for c in ("node", "n", "at")])
-    x = side("x_", "i", "j", F.sequence(F.col("part"), F.col("parts") - 1))
-    y = side("y_", "j", "i", F.sequence(F.lit(0), F.col("part")))
-    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    fits = (F.least("x_n", "y_n") + 1e-9 >= similarity * F.greatest("x_n", "y_n")) & ((1 + similarity) * room + 1e-9 >= similarity * (F.col("x_n") + F.col("y_n")))
-    met = x.join(y, ["g", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x_node") < F.col("y_node"))) & fits)
-    pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return apart_in(pairs, components(links))
+def sketched(lines: DataFrame, gram: int) -> DataFrame:
+    """node, n (the size of its set of `gram` characters' hashes), bits0 ... of lines (node, line): SKETCH words of a bit for each of 64 * SKETCH cells, set where an odd number of the set's hashes are in the cell."""
+    sets = lines.select("node", F.explode_outer(F.array_distinct(grams(F.col("line"), gram))).alias("g"))
+    cells = sets.select("node", F.shiftrightunsigned("g", 32).bitwiseAND(F.lit(SKETCH - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return cells.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(SKETCH)])
+
+
+def may_link(x: str, y: str, similarity: float) -> Column:
+    """False only for pairs of less than `similarity`.  Hashes that both sets have cancel each other, so the sets differ by no fewer hashes than their sketches by bits."""
+    apart = sum((F.bit_count(F.col(f"{x}bits{k}").bitwiseXOR(F.col(f"{y}bits{k}"))) for k in range(SKETCH)), F.lit(0))
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    # both share similarity / (1 + similarity) of the sum of their sizes at least
+    return (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
 
 
 def _once(c: Column, f) -> Column:
@@ -132,29 +118,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     def prepare(nodes: DataFrame) -> None:
         """The texts of all lines that share a band, once: the documents aren't read again for pairs."""
         nodes = written(nodes, "nodes")
-        texts = long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"])
-        candidates.append(written(texts.withColumn("n", F.size(F.array_distinct(grams(F.col("line"), gram)))), "candidates"))
+        candidates.append(written(long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]), "candidates"))
+
+    def sketch(nodes: DataFrame) -> DataFrame:
+        nodes = written(nodes, "large")
+        return written(sketched(candidates[0].join(sized(nodes, nodes.count()), "node", "left_semi"), gram), "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """a, b, far (Jaccard distance) of the pairs whose sets' sizes don't rule a link out."""
-        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"), F.col("n").alias(f"{c}_n"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n"))
-        shared = F.size(F.array_intersect(grams(F.col("a_line"), gram), grams(F.col("b_line"), gram)))
-        return both.select("a", "b", _once(shared, lambda s: 1 - s / (F.col("a_n") + F.col("b_n") - s)).alias("far"))
-
-    reach = 1 - similarity + 1e-12
-    links, over = block_links(blocks, verify, lambda x, y: F.lit(True), most, prepare, reach)
-    for _ in range(2):
-        if over is None or not (n := (over := written(over, "over")).count()):
-            break
-        # another line leads each band now: a line meets as many leaders as it has bands
-        rest = blocks.join(sized(over, n), "node", "left_semi").withColumn("rank", F.xxhash64("key", "node"))
-        more, over = block_links(rest, verify, lambda x, y: F.lit(True), most, reach=reach, linked=links)
-        links = written(links.unionByName(more), "links")
-    if over is not None and (n := (over := written(over, "over")).count()):
-        texts = candidates[0].join(sized(over, n), "node", "left_semi")
-        more = verify(written(prefix_pairs(texts, links, gram, similarity, chunk), "pairs"))
-        links = written(links.unionByName(more.where(F.col("far") <= reach).select("a", "b")), "links")
+        """The pairs of `similarity` or more."""
+        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        share = _once(F.struct(grams(F.col("a_line"), gram).alias("x"), grams(F.col("b_line"), gram).alias("y")), lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"])))
+        return both.where(share + 1e-12 >= similarity).select("a", "b")
+
+    links = block_links(blocks, verify, lambda x, y: F.lit(True), prepare, sketch, lambda x, y: may_link(x, y, similarity), most, chunk)
     found = components(links)
     grouped = signed.join(sized(found, found.count()), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     here = F.struct("doc_id", "line_no")

@@ -254,7 +254,7 @@ def _linked(docs: DataFrame, size: int, per_cent: int, most: int) -> DataFrame:
         room = F.least(F.col(f"{x}n") - F.col(f"{x}rank"), F.col(f"{y}n") - F.col(f"{y}rank"))  # ranks count from 0: this token and those after it
         return (100 + per_cent) * room >= per_cent * n
 
-    links, _ = block_links(blocks, verify, fits)
+    links = block_links(blocks, verify, fits)
     found = components(links)
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     placed = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").join(degrees, "class_id", "left")
