@@ -76,9 +76,12 @@ def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 def sketched(lines: DataFrame, gram: int) -> DataFrame:
     """node, n (the size of its set of `gram` characters' hashes), bits0 ... of lines (node, line): SKETCH words of a bit for each of 64 * SKETCH cells, set where an odd number of the set's hashes are in the cell."""
-    sets = lines.select("node", F.explode_outer(F.array_distinct(grams(F.col("line"), gram))).alias("g"))
-    cells = sets.select("node", F.shiftrightunsigned("g", 32).bitwiseAND(F.lit(SKETCH - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    return cells.groupBy("node").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(SKETCH)])
+    word = lambda g: F.shiftrightunsigned(g, 32).bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
+    bits = lambda s: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.aggregate(s, none, lambda was, g: F.when(word(g) == k, was.bitwiseXOR(bit(g))).otherwise(was)))
+    told = _once(F.array_distinct(grams(F.col("line"), gram)), lambda s: F.struct(F.size(s).alias("n"), bits(s).alias("bits")))
+    return lines.select("node", told.alias("told")).select("node", "told.n", *[F.col("told.bits")[k].alias(f"bits{k}") for k in range(SKETCH)])
 
 
 def may_link(x: str, y: str, similarity: float) -> Column:
