@@ -262,6 +262,22 @@ def test_trie_equals_direct_counts(spark, order):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_trie_packs_its_ngrams():
+    """N-grams reach the shuffle in runs, and come out of it with all their counts."""
+    keys = np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64)
+    seen = [np.concatenate([keys[a:b], keys[a:b:3]]) for a, b in ((0, 3000), (1000, 5000), (2000, 2600))]
+    rows = [lm_trie.packed(x, 7) for x in seen]
+    assert all(r.num_rows == 7 for r in rows)
+    want = {k: c for k, c in Counter(np.concatenate(seen).tolist()).items() if c >= 2}
+    got = {}
+    for part in range(7):
+        k, n = lm_trie.summed(*(np.concatenate(x) for x in zip(*[lm_trie.unpacked(r.slice(part, 1)) for r in rows])), 2)
+        assert not got.keys() & set(k.tolist())
+        got |= dict(zip(k.tolist(), n.tolist()))
+    assert got == want
+    assert [len(x) for x in lm_trie.summed(*lm_trie.unpacked(lm_trie.packed(keys[:0], 7)), 2)] == [0, 0]
+
+
 def test_trie_without_training_rows(spark):
     df = docs(spark, ["a b", "", None])
     trie = lm_trie.train(df.limit(0))

@@ -443,6 +443,38 @@ def _train(docs: DataFrame, order: int, least: int, discount: float, per_shard:
     return trie
 
 
+#: An odd factor deals numbers out by their upper bits; its inverse brings them back.
+_DEAL = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_DEAL), -1, 1 << 64))
+
+
+def packed(keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    """part, keys, counts: the distinct keys, times _DEAL, that are in each of `parts` ranges, ascending, and how often each is there."""
+    keys, counts = np.unique(keys * _DEAL, return_counts=True)
+    counts = counts.astype(np.uint32)
+    ends = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(keys, ends), [len(keys)]])
+    full = np.nonzero(cuts[1:] > cuts[:-1])[0]
+    runs = [slice(cuts[k], cuts[k + 1]) for k in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([x[r].tobytes() for r in runs], pa.binary()) for x in (keys, counts)]], ["part", "keys", "counts"])
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, still times _DEAL, and counts of packed rows."""
+    keys, counts = (b"".join(b.column(k).to_pylist()) for k in (1, 2))
+    return np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, brought back, of `least` or more in all, with their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    at = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else order
+    n = np.add.reduceat(counts, at) if len(at) else counts
+    often = n >= least
+    return (keys[at][often] * _BACK).view(np.int64), n[often]
+
+
 def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per_shard: int, root: str) -> Level:
     """Counts and writes the n-grams of order k + 1."""
 
@@ -452,16 +484,16 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         def merged():
             """Equal keys summed."""
             c, w = (np.concatenate([h[j] for h in held]) for j in (0, 1))
-            if not wide:
-                keys, m = np.unique(c * span + w, return_counts=True)
-                return [keys // span, keys % span, m]
             o = np.lexsort((w, c))
             c, w = c[o], w[o]
             at = np.nonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[0] if len(c) else o
             return [c[at], w[at], np.diff(np.append(at, len(c)))]
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names)
+            if wide:
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names)
+            c, w = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+            return packed((c * span + w).view(np.uint64), parts)
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -483,11 +515,24 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         if held:
             yield out()
 
+    def total(batches):
+        held = [unpacked(b) for b in batches]
+        if held:
+            keys, n = summed(*(np.concatenate(x) for x in zip(*held)), least)
+            ctx, w = keys // span, keys % span
+            for at in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (ctx, w, n)], names)
+
     names = ["ctx", "w", "c"]
+    parts = 8 * max(1, -(-trie.vocabulary.tokens // 1_500_000))
     span = trie.vocabulary.size + 1
     wide = (trie.vocabulary.size if k == 1 else sum(s.size for s in trie.levels[-1].shards)) * span >= 2**63  # then keys don't fit one number
-    grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(F.sum("c").alias("c"))
-    kept = written(grams.where(F.col("c") >= least), f"grams{k + 1}")
+    if wide:
+        grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    else:
+        # most n-grams are seen once: they go to where they are counted in runs of many to a row
+        grams = docs.mapInArrow(count, "part int, keys binary, counts binary").repartition(-(-parts // 8), "part").mapInArrow(total, ", ".join(f"{x} long" for x in names))
+    kept = written(grams, f"grams{k + 1}")
     # written on its own: the rows of a context with very many words can then be split among tasks in the join
     mass = written(kept.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass")), "mass")
     rows = kept.join(mass, "ctx").select("ctx", "w", "c", "mass")
