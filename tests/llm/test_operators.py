@@ -431,6 +431,25 @@ def test_line_dedup_pairs_of_large_bands(spark, monkeypatch):
     assert [got[i] for i in range(200)] == up and sum(pairs) < 200 * 12 + len(alike)
 
 
+def test_line_dedup_compares_sets_only_where_sketches_agree(spark):
+    """The quarter sketches that all candidates have rule out pairs of unlike lines, whatever their length, and no pair that is alike."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8)))
+    lines = []
+    for n in (6, 12, 40, 90):
+        for _ in range(10):
+            line = " ".join(word() for _ in range(n))
+            lines += [line, edited(rng, line, 1), edited(rng, line, 1 + n // 30)]
+    lines += ["=" * 200, "=" * 190, "ab " * 40]
+    rows = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    made = line_dedup.sketched(rows, 5, 1)
+    assert {(len(r.bits), r.n) for r in made.collect()} == {(line_dedup.SKETCH // 4, n) for n in {len({t[i : i + 5] for i in range(len(t) - 4)}) for t in lines}}
+    x, y = (made.select(*[F.col(c).alias(p + c) for c in made.columns]) for p in "xy")
+    got = {(r.xnode, r.ynode) for r in x.crossJoin(y).where("xnode < ynode").where(line_dedup.may_link("x", "y", 0.8, 1)).collect()}
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if gram_jaccard(lines[i], lines[j]) >= 0.8}
+    assert len(alike) > 40 and alike <= got and len(got) < 3 * len(alike)
+
+
 def made_rows(df):
     """Rows that each join of a plan gave when it ran, and what the exchanges wrote, over all of the session's last queries."""
     store = df.sparkSession._jsparkSession.sharedState().statusStore()

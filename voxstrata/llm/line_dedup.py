@@ -10,10 +10,11 @@ range that holds 1 in 4 ** k.  A line has the minima of each kind that its lengt
 Exact Jaccard similarity of the lines' sets of ``gram`` characters verifies candidates.
 
 A band's lines are first tried against its commonest line, then those that this
-doesn't connect against the others.  In bands of more than ``most`` lines, as a
-passage that many lines hold makes them, sketches of the sets rule pairs out before
-these are made: a sketch has a bit for each cell of a table, and two sets differ by
-no less than their sketches do.  Such bands are dealt to blocks of at most ``chunk``
+doesn't connect against the others.  Each candidate has a sketch of a quarter
+of its set, by hash, with a bit for each cell of a table: two sets differ by no less than
+their sketches do, so sets are compared only for pairs that these don't rule out.  In bands of more than
+``most`` lines, as a passage that many lines hold makes them, sketches of whole sets rule
+pairs out before these are made.  Such bands are dealt to blocks of at most ``chunk``
 lines a side; no pair is left out for the size of its band.  The links' components
 (distributed union-find by contraction) are the groups, and the first line of a
 group, by doc_id and place, is kept.
@@ -74,22 +75,27 @@ def band_keys(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return minima.select("node", "rank", F.array(*[F.xxhash64("kind", F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
 
 
-def sketched(lines: DataFrame, gram: int) -> DataFrame:
-    """node, n (the size of its set of `gram` characters' hashes), bits0 ... of lines (node, line): SKETCH words of a bit for each of 64 * SKETCH cells, set where an odd number of the set's hashes are in the cell."""
+def sketched(lines: DataFrame, gram: int, quarters: int = 4) -> DataFrame:
+    """node, line, n (the size of its set of `gram` characters' hashes), bits of lines (node, line): SKETCH words, or the first `quarters` of four, of a bit for each of 64 cells, set where an odd number of the set's hashes are in the cell."""
+    quarter = SKETCH // 4
     word = lambda g: F.shiftrightunsigned(g, 32).bitwiseAND(F.lit(SKETCH - 1)).cast("int")
     bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int"))
     none = F.lit(0).cast("long")
-    bits = lambda s: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.aggregate(s, none, lambda was, g: F.when(word(g) == k, was.bitwiseXOR(bit(g))).otherwise(was)))
+    words = lambda s, q: F.transform(F.sequence(q * quarter, q * quarter + (quarter - 1)), lambda k: F.aggregate(s, none, lambda was, g: F.when(word(g) == k, was.bitwiseXOR(bit(g))).otherwise(was)))
+    bits = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(quarters - 1)), lambda q: _once(F.filter(s, lambda g: word(g).between(q * quarter, q * quarter + (quarter - 1))), lambda part: words(part, q))))
     told = _once(F.array_distinct(grams(F.col("line"), gram)), lambda s: F.struct(F.size(s).alias("n"), bits(s).alias("bits")))
-    return lines.select("node", told.alias("told")).select("node", "told.n", *[F.col("told.bits")[k].alias(f"bits{k}") for k in range(SKETCH)])
+    return lines.select("node", "line", told.alias("told")).select("node", "line", "told.n", "told.bits")
 
 
-def may_link(x: str, y: str, similarity: float) -> Column:
-    """False only for pairs of less than `similarity`.  Hashes that both sets have cancel each other, so the sets differ by no fewer hashes than their sketches by bits."""
-    apart = sum((F.bit_count(F.col(f"{x}bits{k}").bitwiseXOR(F.col(f"{y}bits{k}"))) for k in range(SKETCH)), F.lit(0))
+def may_link(x: str, y: str, similarity: float, quarters: int = 4) -> Column:
+    """By the first `quarters` of four of the sketches: false only for pairs of less than `similarity`.  Hashes that both sets have cancel each other, so the sets differ by no fewer hashes than their sketches, or a part of them, by bits."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = lambda words: sum((F.bit_count(F.col(f"{x}bits")[k].bitwiseXOR(F.col(f"{y}bits")[k])) for k in words), F.lit(0))
     # both share similarity / (1 + similarity) of the sum of their sizes at least
-    return (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
+    within = lambda words: apart(words) * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6
+    # most pairs fail by the first quarter already
+    out = (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m)) & within(range(SKETCH // 4))
+    return out & within(range(quarters * SKETCH // 4)) if quarters > 1 else out
 
 
 def _once(c: Column, f) -> Column:
@@ -121,18 +127,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     def prepare(nodes: DataFrame) -> None:
         """The texts of all lines that share a band, once: the documents aren't read again for pairs."""
         nodes = written(nodes, "nodes")
-        candidates.append(written(long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"]), "candidates"))
+        texts = long.join(sized(nodes, nodes.count()), "node", "left_semi").select("node", "line").dropDuplicates(["node"])
+        candidates.append(written(sketched(texts, gram, 1), "candidates"))
 
     def sketch(nodes: DataFrame) -> DataFrame:
         nodes = written(nodes, "large")
-        return written(sketched(candidates[0].join(sized(nodes, nodes.count()), "node", "left_semi"), gram), "sketches")
+        return written(sketched(candidates[0].select("node", "line").join(sized(nodes, nodes.count()), "node", "left_semi"), gram).drop("line"), "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs of `similarity` or more."""
-        of = lambda c: candidates[0].select(F.col("node").alias(c), F.col("line").alias(f"{c}_line"))
+        """The pairs of `similarity` or more.  Of those that sketches don't rule out, the sets are made."""
+        of = lambda c: candidates[0].select(F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("line", "n", "bits")])
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        share = _once(F.struct(grams(F.col("a_line"), gram).alias("x"), grams(F.col("b_line"), gram).alias("y")), lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"])))
-        return both.where(share + 1e-12 >= similarity).select("a", "b")
+        common = F.size(F.array_intersect(grams(F.col("a_line"), gram), grams(F.col("b_line"), gram)))
+        alike = _once(common, lambda c: c / (F.col("a_n") + F.col("b_n") - c) + 1e-12 >= similarity)
+        return both.where(may_link("a_", "b_", similarity, 1) & alike).select("a", "b")
 
     links = block_links(blocks, verify, lambda x, y: F.lit(True), prepare, sketch, lambda x, y: may_link(x, y, similarity), most, chunk)
     found = components(links)
