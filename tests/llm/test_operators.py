@@ -608,6 +608,20 @@ def test_decontamination_equals_brute_force(spark):
 WEIRD = ["", None, " ", "\n", "a  b\n\nc", "▁ x ▁", "don't we'll", "\x1c\x1d\x85 ​　x", "日本語 テキスト", "😀😀", "a" * 30_000, " " * 5000 + "x", "\x00y", "<s> </s> <|endoftext|>"]
 
 
+def test_decontamination_looks_windows_up_by_one_number(spark, monkeypatch):
+    """The join that all documents' windows go through has one key, and texts aren't translated character by character."""
+    plans, write = {}, decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, tag: (plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString()), write(df, tag))[1])
+    item = "how many apples does the farmer sell each day at the market"
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    texts = [item.replace(" ", gap) for gap in (" ", "\t", " \n", "\r\n", "\x0b\x0c")] + [f"\n\t {item} \x0c", f"<{item}>", item.upper(), "\t \n", ""]
+    assert {r.doc_id for r in decontaminate.contaminated(docs(spark, texts), b).collect()} == set(range(8))
+    joins = [line for line in plans["hits"].split("\n") if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and all("Join [hash" in line and "form" not in line for line in joins) and "translate(" not in plans["hits"]
+    words = spark.createDataFrame([(" a\tb \x0b\x0cc\n",), ("",), ("\n ",), ("d\u00a0e f",)], "t string")
+    assert [r.w for r in words.select(decontaminate.word_list(F.col("t")).alias("w")).collect()] == [["a", "b", "c"], [""], [""], ["d\u00a0e", "f"]]
+
+
 def test_byte_bpe_equals_the_library(spark):
     tiktoken, vocabularies = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = vocabularies.path("byte_bpe_50k.tiktoken")
