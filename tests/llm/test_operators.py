@@ -278,6 +278,23 @@ def test_trie_packs_its_ngrams():
     assert [len(x) for x in lm_trie.summed(*lm_trie.unpacked(lm_trie.packed(keys[:0], 7)), 2)] == [0, 0]
 
 
+def test_trie_splits_texts_once_and_sums_contexts_in_shards(spark, monkeypatch):
+    """Texts are split for the words' counts and for their ids, not again for each order or the scores; only frequent contexts are summed by a join."""
+    texts = sample(40, 5, 25)
+    df = docs(spark, texts)
+    writes, write = {}, lm_trie.written
+    monkeypatch.setattr(lm_trie, "written", lambda df, tag: writes.setdefault(tag, []).append((plan := df._jdf.queryExecution().executedPlan().toString(), out := write(df, tag))) or out)
+    got = {r.doc_id: r for r in lm_trie.score_documents(df, per_shard=70).collect()}
+    assert len(writes["ids"]) == 1 and all("text" not in plan for tag in ("grams2", "grams3") for plan, _ in writes[tag])
+    kept, many = writes["grams2"][0][1], writes["mass"][0][1]
+    assert 0 < many.count() < kept.select("ctx").distinct().count() / 4
+    # the same scores as by the general way, and with shards that hold all
+    trie = lm_trie.train(df.where(~lm_trie.held_out()))
+    for r in lm_trie.score(df, trie).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (got[r.doc_id].n_tokens, got[r.doc_id].n_known, got[r.doc_id].train_tokens, got[r.doc_id].base_score)
+        assert abs(r.score - got[r.doc_id].score) < 0.02 * r.n_tokens + 0.02
+
+
 def test_trie_without_training_rows(spark):
     df = docs(spark, ["a b", "", None])
     trie = lm_trie.train(df.limit(0))

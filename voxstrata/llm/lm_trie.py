@@ -11,6 +11,10 @@ by range, and each shard is one file in the shared folder:
     codes     log10 probabilities, quantised to 256 values, and backoff weights likewise
     counts    of the children, for the next order
 
+Texts are split and looked up in the vocabulary once: orders from 2 and scores go by
+their ids.  A context's n-grams are in one shard, which sums them, unless the context
+is so frequent that they may be many; only such a context's sum is a join.
+
 Workers map the files into memory and look n-grams up by successor search within
 the context's children.  Nothing of the trie passes the driver but one manifest
 row per shard.
@@ -43,6 +47,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from voxstrata.llm.common import new_path, small_batches, written
+from voxstrata.llm.components import sized
 from voxstrata.llm.words import words
 
 #: A word can't hold a space, so this is none.
@@ -164,6 +169,22 @@ def _cuts(ctx: np.ndarray, w: np.ndarray, shards: list[Shard]) -> np.ndarray:
     return np.array([*at, len(ctx)])
 
 
+def _gathered(shards: list[Shard], name: str, at: np.ndarray) -> np.ndarray:
+    """The shards' values at places, whose order is free; 0 for places below 0."""
+    out = np.zeros(len(at), np.int64)
+    if len(shards) == 1:
+        inside = at >= 0
+        out[inside] = load(shards[0].path)[name][at[inside]]
+        return out
+    order = np.argsort(at)
+    cuts = np.searchsorted(at, [s.offset for s in shards] + [s.offset + s.size for s in shards[-1:]], sorter=order)
+    for k, s in enumerate(shards):
+        if cuts[k] < cuts[k + 1]:
+            here = order[cuts[k] : cuts[k + 1]]
+            out[here] = load(s.path)[name][at[here] - s.offset]
+    return out
+
+
 class Vocabulary:
     """Word hash -> id and count, over shards sorted by hash."""
 
@@ -188,12 +209,7 @@ class Vocabulary:
         return ids[back], counts[back]
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        for s in self.shards:
-            m = (ids >= s.offset) & (ids < s.offset + s.size)
-            if m.any():
-                out[m] = load(s.path)["counts"][ids[m] - s.offset]
-        return out
+        return _gathered(self.shards, "counts", ids)
 
     def log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.size + 1))
@@ -266,12 +282,7 @@ class Level:
         return self._of(pos, "words")
 
     def _of(self, pos: np.ndarray, name: str) -> np.ndarray:
-        out = np.zeros(len(pos), np.int64)
-        for s in self.shards:
-            m = (pos >= s.offset) & (pos < s.offset + s.size)
-            if m.any():
-                out[m] = load(s.path)[name][pos[m] - s.offset]
-        return out
+        return _gathered(self.shards, name, pos)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,28 +327,58 @@ class Codes(dict):
         return self.ids[code], self.counts[code]
 
 
+def _id_kind(vocabulary: Vocabulary) -> np.dtype:
+    return np.dtype(np.int32 if vocabulary.size < 2**31 - 1 else np.int64)
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, ids of every row.  ids: each token's id, or -1 - its count if that is below `least`."""
+    kind = _id_kind(vocabulary)
+
+    def run(batches):
+        codes = Codes(vocabulary)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                flat, n = [], part.num_rows
+                lengths = np.zeros(n, np.int64)
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    ws = words(t)
+                    flat += ws
+                    flat.append(END)
+                    lengths[k] = len(ws) + 1
+                ids, counts = codes.of(flat)
+                doc = np.repeat(np.arange(n), lengths)
+                data = np.where(counts >= least, ids, -1 - counts).astype(kind).tobytes()
+                ends = np.cumsum(lengths) * kind.itemsize
+                rows = [data[e - m : e] for e, m in zip(ends.tolist(), (lengths * kind.itemsize).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(lengths), pa.array(np.bincount(doc, counts > 0, n).astype(np.int64)), pa.array(np.bincount(doc, vocabulary.log10(counts), n)), pa.array(rows, pa.binary())],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "ids"],
+                )
+
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, n_known long, base_score double, ids binary")
+
+
 class _Batch:
-    """Texts as runs of word ids: the start (id V), the words, the end."""
-
-    def __init__(self, texts: list[str | None], trie: Trie, codes: Codes):
-        flat, lengths = [], []
-        for t in texts:
-            ws = words(t)
-            flat += ws
-            flat.append(END)
-            lengths.append(len(ws) + 1)
-        self.lengths = np.array(lengths, np.int64)
-        self.ids, self.counts = codes.of(flat)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        first = np.zeros(len(flat), bool)
+    """Texts as runs of word ids: the start (id V), the words, the end.  Words below `least` have ids below 0."""
+
+    def __init__(self, rows: pa.Array, trie: Trie, least: int):
+        kind = _id_kind(trie.vocabulary)
+        held = rows.to_pylist()
+        self.lengths = np.array([len(x) // kind.itemsize for x in held], np.int64)
+        self.ids = np.frombuffer(b"".join(held), kind).astype(np.int64)
+        self.often = self.ids >= 0
+        self.doc = np.repeat(np.arange(len(held)), self.lengths)
+        first = np.zeros(len(self.ids), bool)
         first[np.cumsum(self.lengths) - self.lengths] = True
-        self.first, self.start = first, trie.vocabulary.size
-        self.before = np.where(first, self.start, np.roll(self.ids, 1))
-        self.before_count = np.where(first, trie.starts, np.roll(self.counts, 1))
+        self.first = first
+        self.before = np.where(first, trie.vocabulary.size, np.roll(self.ids, 1))
+        self.led = np.where(first, trie.starts >= least, self.before >= 0)
 
-    def walk(self, trie: Trie, least: int):
-        """For each order from 2: (level, places looked up, context, word, position, log10 probability, backoff)."""
-        use = np.nonzero((self.counts >= least) & (self.before_count >= least) & (self.before >= 0))[0]
+    def walk(self, trie: Trie):
+        """For each order from 2: (places looked up, context, position, log10 probability, backoff)."""
+        use = np.nonzero(self.often & self.led)[0]
         ctx = self.before[use]
         for level in trie.levels:
             pos, prob, back = level.find(ctx, self.ids[use])
@@ -346,18 +387,18 @@ class _Batch:
             at[use] = pos
             # the n-gram that ends before a place is its context in the next order
             longer = np.roll(at, 1)
-            use = np.nonzero((longer >= 0) & ~self.first & (self.counts >= least))[0]
+            use = np.nonzero((longer >= 0) & ~self.first & self.often)[0]
             ctx = longer[use]
         self.next = use, ctx
 
 
-def score_batch(b: _Batch, trie: Trie, least: int) -> np.ndarray:
-    logs = trie.vocabulary.log10(b.counts)
+def score_batch(b: _Batch, trie: Trie) -> np.ndarray:
+    logs = trie.vocabulary.log10(np.where(b.often, trie.vocabulary.counts_of(b.ids), -1 - b.ids))
     # contexts that are known but whose word is too rare to be a child still back off
-    for k, (use, _, pos, prob, back) in enumerate(b.walk(trie, least)):
+    for k, (use, _, pos, prob, back) in enumerate(b.walk(trie)):
         logs[use] = np.where(pos >= 0, prob, back + logs[use])
         if not k:
-            rare = np.nonzero((b.counts < least) & (b.before_count >= least) & (b.before >= 0))[0]
+            rare = np.nonzero(~b.often & b.led)[0]
             _, _, lone = trie.levels[0].find(b.before[rare], np.full(len(rare), trie.vocabulary.size + 1))
             logs[rare] += lone
     return logs
@@ -374,12 +415,12 @@ def _manifest(rows: DataFrame) -> list[Shard]:
 _MANIFEST = "path string, c0 long, w0 long, c1 long, w1 long, n long"
 
 
-def _shards(rows: DataFrame, keys: list[str], per_shard: int, writer) -> list[Shard]:
-    n = rows.count()
+def _shards(rows: DataFrame, n: int, keys: list[str], columns: list[str], per_shard: int, writer) -> list[Shard]:
+    """Of the n rows, those of equal keys are in one shard; the writer gets the columns, in any order of rows, and sorts what it holds anyway."""
     parts = max(1, -(-n // per_shard))
     if not n:
         return []
-    return _manifest(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(writer, _MANIFEST))
+    return _manifest(rows.repartitionByRange(parts, *keys).select(*columns).mapInArrow(writer, _MANIFEST))
 
 
 def _told(path: str, c: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
@@ -402,11 +443,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, least: int = 2, d
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
     with small_batches(docs.sparkSession):
-        return _train(docs.select(text), order, least, discount, per_shard)
+        root = new_path(docs.sparkSession, "trie")
+        trie = _counted(docs.select(text), per_shard, root)
+        ids = written(encoded(docs.select(F.lit(0).alias("doc_id"), text), trie.vocabulary, "doc_id", text, least).select("ids"), "ids")
+        return _grown(trie, ids, order, least, discount, per_shard, root)
 
 
-def _train(docs: DataFrame, order: int, least: int, discount: float, per_shard: int) -> Trie:
-    root = new_path(docs.sparkSession, "trie")
+def _counted(docs: DataFrame, per_shard: int, root: str) -> Trie:
+    """The trie of the words of docs (text), without levels."""
 
     def count_words(batches):
         seen: Counter = Counter()
@@ -431,15 +475,20 @@ def _train(docs: DataFrame, order: int, least: int, discount: float, per_shard:
     def write_words(batches):
         cols = _columns(batches)
         if cols and len(cols[0]):
+            o = np.argsort(cols[0])
+            cols = [x[o] for x in cols]
             save(path := f"{root}/words-{uuid.uuid4().hex}", {"hashes": cols[0], "counts": cols[1]})
             yield _told(path, cols[0], np.zeros(len(cols[0]), np.int64))
 
-    vocabulary = Vocabulary(_shards(counted, ["h"], per_shard, write_words), tokens)
+    vocabulary = Vocabulary(_shards(counted, counted.count(), ["h"], ["h", "c"], per_shard, write_words), tokens)
     end_hash = int(np.array([xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0])
     starts = counted.where(F.col("h") == end_hash).agg(F.sum("c")).first()[0] or 0
-    trie = Trie(vocabulary, [], starts)
+    return Trie(vocabulary, [], starts)
+
+
+def _grown(trie: Trie, ids: DataFrame, order: int, least: int, discount: float, per_shard: int, root: str) -> Trie:
     for k in range(1, order):
-        trie.levels.append(_level(docs, trie, k, least, discount, per_shard, root))
+        trie.levels.append(_level(ids, trie, k, least, discount, per_shard, root))
     return trie
 
 
@@ -476,10 +525,25 @@ def summed(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per_shard: int, root: str) -> Level:
-    """Counts and writes the n-grams of order k + 1."""
+    """Counts and writes the n-grams of order k + 1 of docs (ids)."""
+
+    def seen(ctx: np.ndarray) -> np.ndarray:
+        """The counts of contexts."""
+        if k > 1:
+            return trie.levels[k - 2].counts_of(ctx)
+        return np.where(ctx == trie.vocabulary.size, trie.starts, trie.vocabulary.counts_of(np.where(ctx == trie.vocabulary.size, -1, ctx)))
+
+    def cut(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """w where the context's n-grams may be many, so that shards can divide them; else -1.  m n-grams make a context's count m * least or more."""
+        return np.where(seen(ctx) >= least * max(1, per_shard // 8), w, -1)
+
+    def marked(batches):
+        for b in batches:
+            ctx, w = (b.column(j).to_numpy() for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cut(ctx, w))], [*names, "cut"])
 
     def count(batches):
-        codes, held, n = Codes(trie.vocabulary), [], 0
+        held, n = [], 0
 
         def merged():
             """Equal keys summed."""
@@ -497,12 +561,12 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                t = _Batch(b.column(0).slice(at, 500).to_pylist(), trie, codes)
+                t = _Batch(b.column(0).slice(at, 500), trie, least)
                 if k == 1:
-                    use = np.nonzero((t.counts >= least) & (t.before_count >= least) & (t.before >= 0))[0]
+                    use = np.nonzero(t.often & t.led)[0]
                     ctx = t.before[use]
                 else:
-                    for last, _, pos, _, _ in t.walk(trie, least):
+                    for last, _, pos, _, _ in t.walk(trie):
                         kept = last[pos >= 0]
                     use, ctx = t.next
                     inside = np.isin(use, kept, assume_unique=True)
@@ -521,32 +585,33 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
             keys, n = summed(*(np.concatenate(x) for x in zip(*held)), least)
             ctx, w = keys // span, keys % span
             for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (ctx, w, n)], names)
+                here = [x[at : at + 200_000] for x in (ctx, w, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*here, cut(*here[:2]))], [*names, "cut"])
 
     names = ["ctx", "w", "c"]
+    kinds = ", ".join(f"{x} long" for x in [*names, "cut"])
     parts = 8 * max(1, -(-trie.vocabulary.tokens // 1_500_000))
     span = trie.vocabulary.size + 1
     wide = (trie.vocabulary.size if k == 1 else sum(s.size for s in trie.levels[-1].shards)) * span >= 2**63  # then keys don't fit one number
     if wide:
-        grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        grams = docs.mapInArrow(count, ", ".join(f"{x} long" for x in names)).groupBy("ctx", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= least).mapInArrow(marked, kinds)
     else:
         # most n-grams are seen once: they go to where they are counted in runs of many to a row
-        grams = docs.mapInArrow(count, "part int, keys binary, counts binary").repartition(-(-parts // 8), "part").mapInArrow(total, ", ".join(f"{x} long" for x in names))
+        grams = docs.mapInArrow(count, "part int, keys binary, counts binary").repartition(-(-parts // 8), "part").mapInArrow(total, kinds)
     kept = written(grams, f"grams{k + 1}")
-    # written on its own: the rows of a context with very many words can then be split among tasks in the join
-    mass = written(kept.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass")), "mass")
-    rows = kept.join(mass, "ctx").select("ctx", "w", "c", "mass")
+    many = written(kept.where("cut >= 0").groupBy("ctx").agg((F.sum("c") - F.count("*") * discount).alias("mass")), "mass")
+    rows = kept.join(sized(many, many.count()), "ctx", "left").select("ctx", "w", "c", "mass", "cut")
 
     def write(batches):
         cols = _columns(batches)
         if not cols or not len(cols[0]):
             return
-        ctx, w, c, mass = cols
-        if k == 1:
-            total = np.where(ctx == trie.vocabulary.size, trie.starts, trie.vocabulary.counts_of(np.minimum(ctx, trie.vocabulary.size - 1)))
-        else:
-            total = trie.levels[k - 2].counts_of(ctx)
-        total = np.maximum(total, 1)
+        o = np.lexsort(cols[1::-1])
+        ctx, w, c, mass = (x[o] for x in cols)
+        total = np.maximum(seen(ctx), 1)
+        at = np.nonzero(np.append(True, ctx[1:] != ctx[:-1]))[0]
+        size = np.diff(np.append(at, len(ctx)))
+        mass = np.where(np.isnan(mass.astype(float)), np.repeat(np.add.reduceat(c, at) - size * discount, size), mass.astype(float))
         rest = np.maximum(1 - mass / total, 1e-6)
         lower = trie.vocabulary.log10(trie.vocabulary.counts_of(w))
         if k > 1:  # of the same word after the context without its first word; that n-gram was kept too
@@ -563,28 +628,29 @@ def _level(docs: DataFrame, trie: Trie, k: int, least: int, discount: float, per
         save(path := f"{root}/level{k}-{uuid.uuid4().hex}", ef_build(places) | {"words": w.astype(kind), "probs": probs, "prob_book": prob_book, "back": back, "back_book": back_book, "counts": narrow(c)})
         yield _told(path, ctx, w)
 
-    return Level(_shards(rows, ["ctx", "w"], per_shard, write))
+    return Level(_shards(rows, kept.count(), ["ctx", "cut"], ["ctx", "w", "c", "mass"], per_shard, write))
 
 
 def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    return _scored(encoded(docs, trie.vocabulary, doc_id, text, least), trie, least)
+
+
+def _scored(rows: DataFrame, trie: Trie, least: int) -> DataFrame:
+    """The scores of encoded rows."""
 
     def run(batches):
-        codes = Codes(trie.vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                t = _Batch(part.column(1).to_pylist(), trie, codes)
-                n = part.num_rows
-                base = np.bincount(t.doc, trie.vocabulary.log10(t.counts), n)
-                logs = score_batch(t, trie, least) if trie.levels else trie.vocabulary.log10(t.counts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(t.lengths), pa.array(np.bincount(t.doc, t.counts > 0, n).astype(np.int64)), pa.array(np.full(n, trie.vocabulary.tokens, np.int64)), pa.array(base), pa.array(np.bincount(t.doc, logs, n))],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                n, base = part.num_rows, part.column(3)
+                full = base
+                if trie.levels:
+                    t = _Batch(part.column(4), trie, least)
+                    full = pa.array(np.bincount(t.doc, score_batch(t, trie), n))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(n, trie.vocabulary.tokens, np.int64)), base, full], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.select("doc_id", "n_tokens", "n_known", "base_score", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -592,6 +658,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
-    trie = train(docs.where(~held_out()), order=order)
-    return score(docs, trie).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+def score_documents(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7, per_shard: int = 1_000_000) -> DataFrame:
+    root = new_path(docs.sparkSession, "trie")
+    with small_batches(docs.sparkSession):
+        trie = _counted(docs.where(~held_out()).select("text"), per_shard, root)
+        rows = written(encoded(docs, trie.vocabulary, least=least), "ids")
+        _grown(trie, rows.where(~held_out()).select("ids"), order, least, discount, per_shard, root)
+    return _scored(rows, trie, least).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
