@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,23 @@ def test_stages_act_on_rows_and_not_on_ids(spark, tmp_path):
     assert sorted(r.text for r in corpus_pipeline.drop_copies(spark, again, sf).collect()) == [line(1) * 3, line(2) * 3]
 
 
+def test_encode_takes_texts_in_small_batches(spark, monkeypatch):
+    """Texts reach the encoder's workers in batches of a bounded size, by rows and by bytes."""
+
+    def sizes(docs, *a, **b):
+        def run(batches):
+            for x in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x.num_rows], pa.int64()), pa.array([x.nbytes], pa.int64())], ["rows", "bytes"])
+
+        return docs.select("text").mapInArrow(run, "rows long, bytes long")
+
+    monkeypatch.setattr(corpus_pipeline.byte_bpe, "encode", sizes)
+    for n, length in ((6000, 10), (1000, 40_000)):
+        docs = spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), length).alias("text"))
+        got = corpus_pipeline.encode(spark, docs, SF).collect()
+        assert sum(r.rows for r in got) == n and max(r.rows for r in got) <= 2000 and max(r.bytes for r in got) < 16 << 20
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     out = corpus_pipeline.run(spark, small(spark, str(tmp_path), []))
     assert out.count() == 0 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
