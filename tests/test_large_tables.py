@@ -28,3 +28,18 @@ def test_distance_pairs_of_crowded_cells(spark, monkeypatch):
     d2 = lambda a, b: sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4]))
     want = sorted((a[0], b[0], d2(a, b), a[1], b[1]) for a in rows for b in rows if a[0] < b[0] and a[4] != b[4] and d2(a, b) <= 36)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+
+
+def test_knn_of_crowded_cells(spark, monkeypatch):
+    """Against brute force where cells hold more than a packed row, and points far away take several rounds; no side is broadcast."""
+    monkeypatch.setattr(spatial, "PACK", 5)
+    rows = rows_of(spark, 90, -3, 3) + [(k, 40 * (k - 95), -60, 7, 0) for k in range(95, 101)]
+    df = spark.createDataFrame(rows, "id int, x int, y int, z int, g int").select("id", "x", "y", "z")
+    found = spatial.knn(df, df, 3, same=True)
+    assert "Broadcast" not in plan(found)
+    got = sorted(map(tuple, found.select("id", "rank", "nn", "d2").collect()))
+    want = []
+    for a in rows:
+        near = sorted((sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4])), b[0]) for b in rows if a[0] != b[0])[:3]
+        want += [(a[0], n + 1, b, d) for n, (d, b) in enumerate(near)]
+    assert got == sorted(want)
