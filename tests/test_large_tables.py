@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxstrata.operators import spatial
+from voxstrata.operators import samples, spatial, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +43,31 @@ def test_knn_of_crowded_cells(spark, monkeypatch):
         near = sorted((sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4])), b[0]) for b in rows if a[0] != b[0])[:3]
         want += [(a[0], n + 1, b, d) for n, (d, b) in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_best_rows_are_aggregated(spark):
+    """Pairs deduped, the best of bands, and kinds, against a walk; no pair is sorted before the groups' best rows are known."""
+    rng = np.random.default_rng(4)
+    low = -(1 << 31)
+    rows = list({(int(a), int(b)): (int(a), int(b), int(d), int(s)) for a, b, d, s in zip(rng.integers(-20, 20, 600), rng.integers(50, 90, 600), rng.integers(0, 101, 600), rng.choice([low, -7, 0, 3, (1 << 31) - 1], 600))}.values())
+    df = spark.createDataFrame(rows, "id1 int, id2 int, d2 int, score int")
+    first = {}
+    for r in sorted(rows, key=lambda r: (-r[3], r[1])):
+        first.setdefault(r[0], r)
+    second = {}
+    for r in sorted(first.values(), key=lambda r: (-r[3], r[0])):
+        second.setdefault(r[1], r)
+    pairs = trees.dedupe_pairs(df, "id1", "id2", "score")
+    assert pairs.columns == df.columns and sorted(map(tuple, pairs.collect())) == sorted(second.values())
+    banded = {}
+    for r in sorted(rows, key=lambda r: (np.ceil(np.sqrt(r[2]) / 5), -r[3], r[1])):
+        banded.setdefault(r[0], r)
+    found = samples.banded_pairs(df, 5)
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == sorted(banded.values())
+    assert plan(found).index("HashAggregate") < plan(found).rindex("HashAggregate") and plan(found).count("Sort ") == 1 and "Window" not in plan(pairs) and "SortAggregate" not in plan(pairs)
+    kinds = samples.partner_kinds(spark.createDataFrame([(k,) for k in range(-20, 91)], "id int"), df.select(F.col("id1").alias("pre"), F.col("id2").alias("post")))
+    pre, post = {r[0] for r in rows}, {r[1] for r in rows}
+    for r in kinds.collect():
+        want = min((q[1] for q in rows if q[0] == r.id), default=None) if r.id in pre else min((q[0] for q in rows if q[1] == r.id), default=None)
+        assert (r.kind, r.partner) == ("pre" if r.id in pre else "post" if r.id in post else None, want)
+    assert "SortAggregate" not in plan(kinds)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxstrata.functions.boxes import AXES, ball, cell, closed, shifted
+from voxstrata.functions.ranked import best_of
 from voxstrata.functions.shared import materialised
 from voxstrata.operators.morphology import inside
 from voxstrata.operators.trees import jumps, nearest_above
@@ -66,8 +67,9 @@ def binary_cross_entropy(pairs: DataFrame, weight: str | None = None) -> DataFra
 
 def partner_kinds(points: DataFrame, partners: DataFrame) -> DataFrame:
     """id, kind, partner: pre or post by the partners' column (pre, post) that a point is in; the smallest partner."""
-    both = partners.select(F.col("pre").alias("id"), F.lit("pre").alias("kind"), F.col("post").alias("partner")).unionByName(partners.select(F.col("post").alias("id"), F.lit("post").alias("kind"), F.col("pre").alias("partner")))
-    return points.select("id").join(both.groupBy("id").agg(F.min("kind").alias("kind"), F.min("partner").alias("partner")), "id", "left")
+    sides = F.array(F.struct(F.col("pre").alias("id"), F.lit(0).alias("post"), F.col("post").alias("partner")), F.struct(F.col("post").alias("id"), F.lit(1).alias("post"), F.col("pre").alias("partner")))
+    both = partners.select(F.explode(sides).alias("s")).select("s.*").groupBy("id").agg(F.max("post").alias("post"), F.min("partner").alias("partner"))
+    return points.select("id").join(both, "id", "left").select("id", F.when(F.col("post") == 1, "post").when(F.col("post") == 0, "pre").alias("kind"), "partner")
 
 
 def stamps(points: DataFrame, mask: DataFrame, radius: float, side: int) -> DataFrame:
@@ -119,8 +121,9 @@ def filled_from_tree(nodes: DataFrame, tree: str, column: str, default: float) -
 
 def banded_pairs(pairs: DataFrame, band: int) -> DataFrame:
     """The best-scored pair of each left point within its nearest band of distances that has any; ties to the smaller id."""
-    w = Window.partitionBy("id1").orderBy(F.ceil(F.sqrt("d2") / band), F.desc("score"), "id2")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    banded = best_of(pairs.withColumn("band", F.ceil(F.sqrt("d2") / band)), ["id1", "band"], "score", "id2")
+    w = Window.partitionBy("id1").orderBy("band")
+    return banded.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "band")
 
 
 def malis_passes(labels: DataFrame, ignore: DataFrame) -> DataFrame:
