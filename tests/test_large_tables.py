@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxstrata.operators import samples, spatial, trees
+from voxstrata.operators import reconnect, samples, spatial, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,23 @@ def test_best_rows_are_aggregated(spark):
         want = min((q[1] for q in rows if q[0] == r.id), default=None) if r.id in pre else min((q[0] for q in rows if q[1] == r.id), default=None)
         assert (r.kind, r.partner) == ("pre" if r.id in pre else "post" if r.id in post else None, want)
     assert "SortAggregate" not in plan(kinds)
+
+
+def test_directions_by_tree_equal_those_by_joins(spark, monkeypatch):
+    """Trees walked in one task, larger ones, one whose parent is of another tree, and a parent that isn't there."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for t in range(5):
+        place = rng.integers(0, 25, 3)
+        for n in range(1, 31 if t == 3 else 12):
+            rows.append((100 * t + n, -1 if n == 1 else 100 * t + n - (4 if n == 9 else 1), t, *map(int, place)))
+            place = place + rng.integers(-1, 3, 3)
+    rows.append((900, 205, 4, 1, 2, 3))
+    rows.append((901, 77777, 0, 5, 5, 5))
+    df = spark.createDataFrame(rows, "id int, parent int, tree_id int, x int, y int, z int")
+    ends = df.select("id").where("id % 3 <> 0")
+    plain = {r.end: list(r)[1:] for r in reconnect.directions_at(df, ends, (3, 20)).collect()}
+    monkeypatch.setattr(reconnect, "TREE", 20)
+    monkeypatch.setattr(reconnect, "GROUP", 10)
+    got = {r.end: list(r)[1:] for r in reconnect.directions_at(df, ends, (3, 20), "tree_id").collect()}
+    assert set(got) == set(plain) == {r[0] for r in rows if r[0] % 3} and all(np.allclose(got[e], plain[e]) for e in plain)
