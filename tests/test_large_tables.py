@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxstrata.operators import reconnect, samples, spatial, trees
+from voxstrata.operators import deform, partners, reconnect, samples, spatial, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,33 @@ def test_directions_by_tree_equal_those_by_joins(spark, monkeypatch):
     monkeypatch.setattr(reconnect, "GROUP", 10)
     got = {r.end: list(r)[1:] for r in reconnect.directions_at(df, ends, (3, 20), "tree_id").collect()}
     assert set(got) == set(plain) == {r[0] for r in rows if r[0] % 3} and all(np.allclose(got[e], plain[e]) for e in plain)
+
+
+def test_points_at_one_place_are_moved_once(spark):
+    """Against brute force, with points that share places; no side is broadcast before it is multiplied."""
+    rng = np.random.default_rng(8)
+    asked = [(k, *map(int, p)) for k, p in enumerate(rng.integers(0, 4, (80, 3)))]
+    sources = [(*map(int, p), *map(float, p * 0.7 + rng.integers(-1, 2, 3) * 0.3)) for p in np.argwhere(np.ones((5, 5, 5)))]
+    points = spark.createDataFrame(asked, "id int, x int, y int, z int")
+    mapping = spark.createDataFrame(sources, "x int, y int, z int, sx double, sy double, sz double")
+    moved = deform.move_points(points, mapping, 0.6)
+    assert "Broadcast" not in plan(moved)
+    want = []
+    for k, *p in asked:
+        near = [(round(sum((a - b) ** 2 for a, b in zip(p, s[3:])), 9), s[:3]) for s in sources]
+        d, at = min(near)
+        want += [(k, *at)] if d <= 0.36 else []
+    assert sorted(map(tuple, moved.collect())) == sorted(want) and 0 < len(want) < 80
+
+
+def test_sources_at_one_place_draw_one_ball(spark, monkeypatch):
+    """The smallest id that has a partner takes the place; only its ball is made."""
+    drawn = []
+    monkeypatch.setattr(partners, "shifted", lambda df, *a, f=partners.shifted, **k: (drawn.append(df.count()), f(df, *a, **k))[1])
+    o = spark.createDataFrame([(k, 3, 3, 3) for k in range(1, 9)] + [(9, 9, 3, 3)], "id int, x int, y int, z int")
+    q = spark.createDataFrame([(2, 20, 4, 3, 3), (2, 21, 3, 3, 9), (5, 50, 3, 3, 3), (9, 90, 9, 9, 9)], "id int, partner int, x int, y int, z int")
+    for every in (False, True):
+        got = partners.vector_map(o, q, 1.0, every=every).collect()
+        assert {(r.x, r.id) for r in got} == {(x, 2) for x in (2, 3, 4)} | {(x, 9) for x in (8, 9, 10)} and len(got) == 14
+        assert {r.partner for r in got} == ({20, 21, 90} if every else {20, 90})
+    assert drawn == [2, 2]

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxstrata.functions.boxes import AXES
+from voxstrata.functions.boxes import AXES, offsets
+from voxstrata.operators.spatial import met_in_cells, packed_cells
 
 _CORNERS = list(itertools.product((0, 1), repeat=3))
 _CELL = ["ci", "cj", "ck"]
@@ -97,15 +98,15 @@ def move_points(points: DataFrame, mapping: DataFrame, reach: float) -> DataFram
     """id, x, y, z: the place whose source is nearest to each point (id, x, y, z); points without a source within reach get no row.
 
     Ties, to nine digits, go to the smallest place."""
-    cell = lambda c: F.floor(c / F.lit(reach)).cast("int")
-    sources = mapping.select(*[F.col(a).alias(f"t{a}") for a in AXES], *[f"s{a}" for a in AXES], *[cell(F.col(f"s{a}")).alias(f"c{a}") for a in AXES])
-    asked = points.select("id", *[F.col(a).alias(f"p{a}") for a in AXES])
-    for a in AXES:
-        asked = asked.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"p{a}")) - 1, cell(F.col(f"p{a}")) + 1)))
-    d2 = sum(((F.col(f"p{a}") - F.col(f"s{a}")) * (F.col(f"p{a}") - F.col(f"s{a}")) for a in AXES), F.lit(0.0))
-    near = asked.join(sources, [f"c{a}" for a in AXES]).withColumn("d2", F.round(d2, 9)).where(F.col("d2") <= reach * reach)
-    best = near.groupBy("id").agg(F.min(F.struct("d2", *[f"t{a}" for a in AXES])).alias("m"))
-    return best.select("id", *[F.col(f"m.t{a}").alias(a) for a in AXES])
+    axes = [F.col(a).alias(f"p{a}") for a in AXES]
+    sources = mapping.select(*[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(f"s{a}").alias(a) for a in AXES])
+    asked = points.select(*AXES).distinct().select(*AXES, *axes)  # points at one place have one answer
+    cells = lambda df, k: packed_cells(df, reach, df.columns, [], k)
+    met = met_in_cells(cells(asked, "a"), cells(sources, "b"), [(0, 0, 0), *offsets(1)])
+    d2 = sum(((F.col(f"a_{a}") - F.col(f"b_{a}")) * (F.col(f"a_{a}") - F.col(f"b_{a}")) for a in AXES), F.lit(0.0))
+    near = met.where(d2 <= reach * reach + 1e-6).withColumn("d2", F.round(d2, 9)).where(F.col("d2") <= reach * reach)
+    best = near.groupBy(*[F.col(f"a_p{a}").alias(a) for a in AXES]).agg(F.min(F.struct("d2", *[F.col(f"b_t{a}").alias(f"t{a}") for a in AXES])).alias("m"))
+    return points.select("id", *AXES).join(best.hint("merge"), list(AXES)).select("id", *[F.col(f"m.t{a}").alias(a) for a in AXES])
 
 
 def deskew(voxels: DataFrame, depth: int, pixel: float = 0.406, angle: float = 32.1, step: float = 2.0, direction: int = -1) -> DataFrame:
