@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxstrata.operators import deform, partners, reconnect, samples, spatial, trees
+from voxstrata.sources.tables import swc_nodes
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +122,10 @@ def test_sources_at_one_place_draw_one_ball(spark, monkeypatch):
         assert {(r.x, r.id) for r in got} == {(x, 2) for x in (2, 3, 4)} | {(x, 9) for x in (8, 9, 10)} and len(got) == 14
         assert {r.partner for r in got} == ({20, 21, 90} if every else {20, 90})
     assert drawn == [2, 2]
+
+
+def test_nodes_are_not_broadcast(spark):
+    """Two columns of the nodes seem small to Spark where the table's file is; the driver would hold all of them."""
+    nodes = swc_nodes(spark, SF)
+    for df in (trees.parents(nodes), trees.leaves(nodes), reconnect.end_points(nodes, "tree_id")):
+        assert "BroadcastHashJoin" not in plan(df)
